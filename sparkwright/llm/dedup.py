@@ -13,10 +13,10 @@ Flow, all of it distributed:
    set, the band keys, and one bit per coordinate. Documents of one set are one class.
 2. Each class sends its band keys. A bucket of several classes links all to its least
    (a star, linear in the bucket). Stars are verified on the full sets.
-3. Components of the verified links. Buckets that then hold several components yield the
-   pairs across components only, filtered inside the join by set sizes and sketch bits;
-   these are verified too. What is left unverified lies within one component or shares
-   no band.
+3. Components of the verified links. Buckets that then hold several components may hide
+   links across them. Of up to SMALL members the pairs across components are verified like
+   the stars; for larger ones see ``links_across``. What is left unverified lies within
+   one component or shares no band.
 
 With r = 4 rows in b = 32 bands two sets of similarity 0.75 share no band with
 probability (1 - 0.75**4)**32 < 6e-6, of 0.8 < 5e-8. Of 128 sketch bits such a pair differs
@@ -40,6 +40,8 @@ from .shared import cut, documents, texts
 
 COORDINATES, ROWS, BANDS = 128, 4, 32
 MOST_BITS = 44
+#: Members of a bucket up to which its pairs are listed; larger buckets go another exact way.
+SMALL = 8
 #: Similarity at least NUM / DEN.
 NUM, DEN = 75, 100
 #: Bits of the filter that finds linked candidates in the second scan, at most (8 MB).
@@ -165,6 +167,35 @@ def close(n_a, n_b, s1_a, s1_b, s2_a, s2_b):
     return (apart <= MOST_BITS) & (F.col(n_a) * DEN >= F.col(n_b) * NUM) & (F.col(n_b) * DEN >= F.col(n_a) * NUM)
 
 
+def across(rows: DataFrame, *more: str, condition=None) -> DataFrame:
+    """Pairs of rows (band, doc_id, root, n, s1, s2 and more) of one band and different roots that sizes, sketch bits and the condition allow."""
+    a, b = (rows.select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "root", "n", "s1", "s2", *more))) for x in "ab")
+    on = (a["band"] == b["band"]) & (F.col("root_a") < F.col("root_b")) & close("n_a", "n_b", "s1_a", "s1_b", "s2_a", "s2_b")
+    return a.join(b, on if condition is None else on & condition)
+
+
+def links_across(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b) between the components in large buckets, without a row for each pair that might be one.
+
+    Shingles that no other component has cannot be shared across components. So a document that has
+    fewer than NUM / DEN of its shingles in common with other components has no such link and goes; the edits of
+    loose copies of one text are such shingles. For the rest the join's own condition bounds each pair by
+    these counts, then compares the full sets; only links leave it.
+    """
+    if rows.isEmpty():
+        return rows.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    own = rows.select("doc_id", "root", "n", "s1", "s2").distinct()
+    items = cut(full_sets(docs, own.select("doc_id").distinct()).join(own, "doc_id").filter(F.size("items") == F.col("n")))
+    each = items.select("doc_id", "root", F.explode("items").alias("item"))
+    common = each.groupBy("item").agg((F.min("root") != F.max("root")).alias("common")).filter("common").drop("common")
+    shared = each.join(common, "item").groupBy("doc_id").agg(F.count("*").alias("c")).join(items, "doc_id").filter(F.col("c") * DEN >= F.col("n") * NUM)
+    open_rows = rows.select("band", "doc_id").join(shared, "doc_id")
+    least = lambda c: F.col(c) * (DEN + NUM) >= NUM * (F.col("n_a") + F.col("n_b"))
+    both = F.size(F.array_intersect("items_a", "items_b"))
+    found = across(open_rows, "c", "items", condition=least("c_a") & least("c_b") & (both * (DEN + NUM) >= NUM * (F.col("n_a") + F.col("n_b"))))
+    return cut(found.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct())
+
+
 def components(links: DataFrame) -> DataFrame:
     """doc_id, root: the least id reachable, for every id in links (a, b). Large and small stars in turn, until nothing changes."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
@@ -198,13 +229,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = cut(components(links))
 
     placed = members.join(roots, "doc_id", "left").select("band", "doc_id", "least", F.coalesce("root", "doc_id").alias("root"))
-    mixed = placed.groupBy("band").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").drop("mixed")
+    mixed = placed.groupBy("band").agg((F.min("root") != F.max("root")).alias("mixed"), (F.count("*") <= SMALL).alias("small")).filter("mixed").drop("mixed")
     open_rows = cut(placed.join(mixed, "band").filter("doc_id <> least").join(nodes.select("doc_id", "n", "s1", "s2"), "doc_id"))
-    a, b = (open_rows.select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "root", "n", "s1", "s2"))) for x in "ab")
-    across = a.join(b, (a["band"] == b["band"]) & (F.col("root_a") < F.col("root_b")) & close("n_a", "n_b", "s1_a", "s1_b", "s2_a", "s2_b"))
-    more = verified(docs, across.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct(), nodes)
-    if not more.isEmpty():
-        roots = cut(components(links.unionAll(more)))
+    few = across(open_rows.filter("small")).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    more = verified(docs, few, nodes).unionAll(links_across(docs, cut(open_rows.filter("not small"))))
+    roots = cut(components(links.unionAll(more)))
 
     # only classes of several documents or with links differ from their documents; these few rows are joined to all
     classes = nodes.join(roots, "doc_id", "left").filter("copies > 1 or root is not null").select("d1", "d2", F.coalesce("root", "doc_id").alias("root"))
