@@ -138,11 +138,14 @@ def _member(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
 COUNTED = "kind int, bucket int, key long, n long, h binary, doc binary, times binary, ids binary, uids binary, train binary"
 _names = [c.split()[0] for c in COUNTED.split(", ")]
 _types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
-SUMMED = "kind int, key long, n long, doc_id long, uid long, logs double, known long"
+SUMMED = "kind int, key long, n long, docs binary, uids binary, nulls binary, logs binary, known binary"
+RARE = "doc_id long, uid long, rare_logs double, rare_known long"
+_packed = [*[pa.int32()], *[pa.int64()] * 2, *[pa.binary()] * 5]
+_summed = [c.split()[0] for c in SUMMED.split(", ")]
 
 
 def counted(rows: DataFrame, known: list[np.ndarray], ranges: int, partitions: int) -> DataFrame:
-    """Exact counts of the candidates (kind 1-3, key by ids, n), of the rare words that training has (kind 4), and each document's sums over its rare words (kind 5)."""
+    """Exact counts of the candidates (kind 1-3, key by ids, n), of the rare words that training has (kind 4), and documents' sums over their rare words (kind 5, packed by a hash of the document)."""
     held = rows.sparkSession.sparkContext.broadcast(known)
 
     def pack(batches):
@@ -208,10 +211,9 @@ def counted(rows: DataFrame, known: list[np.ndarray], ranges: int, partitions: i
                 uids.append(raw("uids", "<i8"))
                 flags.append(raw("train", np.uint8))
                 base += len(ids[-1])
-        names = ["kind", "key", "n", "doc_id", "uid", "logs", "known"]
         for kind, own in enumerate(sums, 1):
             n = len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.fromiter(own, np.int64, n)), pa.array(np.fromiter(own.values(), np.int64, n)), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.fromiter(own, np.int64, n)), pa.array(np.fromiter(own.values(), np.int64, n)), *(pa.nulls(n, pa.binary()) for _ in range(5))], _summed)
         if not hs:
             return
         h, d, t, doc, uid, flag = (np.concatenate(x) for x in (hs, ds, ts, ids, uids, flags))
@@ -223,17 +225,41 @@ def counted(rows: DataFrame, known: list[np.ndarray], ranges: int, partitions: i
         each = np.repeat(c, np.diff(np.append(begin, len(h))))
         logs = np.bincount(d, t * np.log10(each + 0.5), len(doc))
         seen = np.bincount(d, np.where(each > 0, t, 0), len(doc)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([4], pa.int32()), pa.array([0], pa.int64()), pa.array([int((c > 0).sum())], pa.int64()), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names)
-        # a document has a row for each slice and range here; rows of one document are summed before they leave
-        order = np.lexsort((uid, doc, flag & 2))
-        doc, uid, null, logs, seen = doc[order], uid[order], (flag & 2)[order], logs[order], seen[order]
-        begin = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (uid[1:] != uid[:-1]) | (null[1:] != null[:-1])))
-        n = len(begin)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 5, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(doc[begin], mask=null[begin] > 0), pa.array(uid[begin]), pa.array(np.add.reduceat(logs, begin)), pa.array(np.add.reduceat(seen, begin))], names)
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([4, 0, int((c > 0).sum()), *[None] * 5], _packed, strict=True)], _summed)
+        for block, own in _by_block(uid ^ W.mix(doc.view(U64)).view(np.int64), ranges):
+            row = [5, block, 0, doc[own].tobytes(), uid[own].tobytes(), (flag[own] & 2).tobytes(), logs[own].tobytes(), seen[own].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _packed, strict=True)], _summed)
 
     return rows.select("doc_id", "uid", "train", "text").mapInArrow(pack, COUNTED).repartition(partitions, "bucket").mapInArrow(total, SUMMED)
 
 
+def _by_block(key: np.ndarray, blocks: int):
+    """Places of the documents of each block, blocks being ranges of a hash of id and text."""
+    block = (W.mix(key.view(U64)) >> U64(32)).astype(np.int64) * blocks >> 32
+    order = np.argsort(block, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+        yield int(block[own[0]]), own
+
+
+def rare_sums(sums: DataFrame, partitions: int) -> DataFrame:
+    """One row for each document that has rare words: the sums of all packed parts."""
+
+    def unpack(batches):
+        parts = [[] for _ in range(5)]
+        for batch in batches:
+            for k, (name, kind) in enumerate((("docs", np.int64), ("uids", np.int64), ("nulls", np.uint8), ("logs", np.float64), ("known", np.int64))):
+                parts[k] += [np.frombuffer(x.as_buffer(), kind) for x in batch.column(name)]
+        if not parts[0]:
+            return
+        doc, uid, null, logs, known = map(np.concatenate, parts)
+        order = np.lexsort((uid, doc, null))
+        doc, uid, null = doc[order], uid[order], null[order]
+        begin = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (uid[1:] != uid[:-1]) | (null[1:] != null[:-1])))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[begin], mask=null[begin] > 0), pa.array(uid[begin]), pa.array(np.add.reduceat(logs[order], begin)), pa.array(np.add.reduceat(known[order], begin))], ["doc_id", "uid", "rare_logs", "rare_known"])
+
+    return sums.filter("kind = 5").select("key", "docs", "uids", "nulls", "logs", "known").repartition(partitions, "key").mapInArrow(unpack, RARE)
+
+
 class Automaton:
     """States from n-gram counts by ids. ``ones``: counts by id, START's being the number of training texts."""
 
@@ -333,7 +359,7 @@ def scored(docs: DataFrame, share: float = SHARE) -> DataFrame:
     whole = rows.select("doc_id", "uid", "held_out", "text").mapInArrow(run, "doc_id long, uid long, held_out boolean, n_tokens long, logs double, known long, rare long, score double")
     zero = lambda kind: F.lit(None).cast(kind)
     parts = whole.select("doc_id", "uid", "held_out", "n_tokens", "logs", "known", "rare", "score", F.lit(1).alias("copies"), F.lit(0.0).alias("rare_logs"), F.lit(0).cast("long").alias("rare_known")).unionAll(
-        sums.filter("kind = 5").select("doc_id", "uid", zero("boolean"), zero("long"), zero("double"), zero("long"), zero("long"), zero("double"), F.lit(0), "logs", "known")
+        rare_sums(sums, ranges).select("doc_id", "uid", zero("boolean"), zero("long"), zero("double"), zero("long"), zero("long"), zero("double"), F.lit(0), "rare_logs", "rare_known")
     )
     # copies of one row have equal figures; the rare words' sums hold all copies
     one = parts.groupBy("doc_id", "uid").agg(*(F.max(c).alias(c) for c in ("held_out", "n_tokens", "logs", "known", "rare", "score")), F.sum("copies").alias("copies"), F.sum("rare_logs").alias("rare_logs"), F.sum("rare_known").alias("rare_known"))
