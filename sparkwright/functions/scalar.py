@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NULL = F.lit(None)
 
 
 def _c(x):
@@ -73,7 +72,7 @@ def substr(x, start: int, length: int | None = None):
     stop = size + 1 if length is None else first + length
     low, high = (F.least(first, stop), F.greatest(first, stop)) if length is not None and length < 0 else (first, stop)
     begin = F.greatest(low, F.lit(1))
-    return F.when(x.isNull(), NULL).otherwise(F.substring(x, begin, F.greatest(high - begin, F.lit(0))))
+    return F.when(x.isNull(), F.lit(None)).otherwise(F.substring(x, begin, F.greatest(high - begin, F.lit(0))))
 
 
 def pad(x, size: int, fill: str, left: bool):
@@ -130,13 +129,13 @@ def typeof(x, data_type: str):
 def to_integer(x):
     """CAST(text AS INTEGER): the longest integer prefix, else 0."""
     x = _c(x)
-    return F.when(x.isNull(), NULL).otherwise(F.coalesce(F.regexp_extract(x, r"^\s*([+-]?[0-9]+)", 1).try_cast("long"), F.lit(0).cast("long")))
+    return F.when(x.isNull(), F.lit(None)).otherwise(F.coalesce(F.regexp_extract(x, r"^\s*([+-]?[0-9]+)", 1).try_cast("long"), F.lit(0).cast("long")))
 
 
 def to_real(x):
     """CAST(text AS REAL): the longest number prefix, else 0."""
     x = _c(x)
-    return F.when(x.isNull(), NULL).otherwise(F.coalesce(F.regexp_extract(x, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1).try_cast("double"), F.lit(0.0)))
+    return F.when(x.isNull(), F.lit(None)).otherwise(F.coalesce(F.regexp_extract(x, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1).try_cast("double"), F.lit(0.0)))
 
 
 def int_div(x, y):
@@ -163,7 +162,7 @@ def shift_right(x, n):
 
 
 def iif(condition, yes, no=None):
-    return F.when(condition, _c(yes)).otherwise(_c(no) if no is not None else NULL)
+    return F.when(condition, _c(yes)).otherwise(_c(no) if no is not None else F.lit(None))
 
 
 # --- mathematics: outside their domains functions are null ---
