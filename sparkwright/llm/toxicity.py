@@ -20,6 +20,8 @@ the score of no evidence; a null doc_id is not held out and no training row;
 several labels of one id count as the greatest; without labelled rows of both kinds all score 0.
 """
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +32,7 @@ from .shared import chosen, documents, fold
 
 SAMPLE, SAMPLE_CHARS = 2500, 20_000
 SPAN, DECAY = 5, 0.6
-MOST_LANDMARKS, OTHER_LANDMARKS, OTHER_UNITS, MI_ROUNDS, RIDGE, SLACK = 256, 64, 8000, 3, 1e-3, 0.1
+MOST_LANDMARKS, OTHER_LANDMARKS, OTHER_UNITS, MI_ROUNDS, RIDGE, SLACK, OFTEN, CHANCE = 256, 64, 8000, 3, 1e-3, 0.1, 1.0, 0.02
 FOLDS, HELD = 5, 0
 SLICE_CHARS = 1 << 20
 
@@ -157,89 +159,91 @@ def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
     return w
 
 
-def _contexts(bags) -> dict[bytes, int]:
-    """How many different units each unit follows, and at most how many rows hold it: neither copies of a text nor repeats in one count."""
-    pairs, held = set(), {}
-    for bag in bags:
-        pairs.update(bag)
-        for unit in {u for _, u in bag}:
-            held[unit] = held.get(unit, 0) + 1
-    out = dict.fromkeys(held, 0)
-    for _, unit in pairs:
-        out[unit] += 1
-    return {u: min(n, held[u]) for u, n in out.items()}
+def _contexts(pairs: list[np.ndarray], n: int) -> np.ndarray:
+    """For each unit how many different units it follows, and at most how many rows hold it: neither copies of a text nor repeats in one count."""
+    every = np.unique(np.concatenate([*pairs, np.zeros(0, np.int64)]))
+    rows = np.concatenate([*(np.unique(p & 0xFFFFFFFF) for p in pairs), np.zeros(0, np.int64)])
+    return np.minimum(np.bincount(every & 0xFFFFFFFF, minlength=n), np.bincount(rows, minlength=n))
 
 
-def seeds(toxic, clean) -> list[bytes]:
+def seeds(toxic: list[np.ndarray], clean: list[np.ndarray], n: int) -> np.ndarray:
     """Units that occur in toxic rows in many contexts and hardly elsewhere, most contexts first.
 
     How many contexts are needed is read off the mirror image: equally many clean rows hold
     hardly any unit of that many contexts that toxic rows lack, so chance gives as few.
     """
-    inside, outside, mirror = _contexts(toxic), _contexts(clean), _contexts(clean[: len(toxic)])
-    ratio = len(toxic) / len(clean)
-    hits = {u: n for u, n in inside.items() if outside.get(u, 0) * ratio <= 0.05 * n}
-    chance = np.array(sorted(n for u, n in mirror.items() if inside.get(u, 0) <= 0.05 * n))
-    found = np.array(sorted(hits.values()))
-    least = next((n for n in range(2, 200) if (chance >= n).sum() <= 0.1 * (found >= n).sum()), 200)
-    return sorted((u for u, n in hits.items() if n >= least), key=lambda u: (-hits[u], u))
+    inside, outside, mirror = _contexts(toxic, n), _contexts(clean, n), _contexts(clean[: len(toxic)], n)
+    hit = (inside > 0) & (outside * (len(toxic) / len(clean)) <= 0.05 * inside)
+    chance, found = mirror[(mirror > 0) & (inside <= 0.05 * mirror)], inside[hit]
+    least = next((k for k in range(2, 200) if (chance >= k).sum() <= CHANCE * (found >= k).sum()), 200)
+    own = np.flatnonzero(hit & (inside >= least))
+    return own[np.argsort(-inside[own], kind="stable")]
 
 
 def fit(rows) -> dict | None:
     """The model of (text, toxic) rows: a weight per triple and the calibration."""
     rng = np.random.default_rng(11)
+    number: dict[bytes, int] = {}
     bags, labels, seen = [], [], set()
     for text, toxic in rows:
         chars, begin, _ = units([text or ""])
         raw, stops = chars.tobytes(), [*begin[1:].tolist(), len(chars)]
-        own = [raw[a:b] for a, b in zip(begin.tolist(), stops, strict=True)]
-        bag = frozenset((before, u) for before, u in zip([b"", *own], own, strict=False) if len(u) >= 3)
-        if bag and (bag, toxic) not in seen:
-            seen.add((bag, toxic))
+        own = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(begin.tolist(), stops, strict=True)], np.int64)
+        before = np.append(0, own[:-1] + 1) if len(own) else own
+        bag = np.unique((before << 32) | own) if len(own) else own
+        key = hashlib.blake2b(bag.tobytes(), digest_size=16).digest(), toxic
+        if len(bag) and key not in seen:
+            seen.add(key)
             bags.append(bag)
             labels.append(int(toxic))
+    names = list(number)
+    wide = np.array([len(u) >= 3 for u in names], bool)
+    bags = [b[wide[b & 0xFFFFFFFF]] for b in bags]
+    labels = [t for b, t in zip(bags, labels, strict=True) if len(b)]
+    bags = [b for b in bags if len(b)]
     toxic = [b for b, t in zip(bags, labels, strict=True) if t]
     clean = [b for b, t in zip(bags, labels, strict=True) if not t]
     if not toxic or not clean:
         return None
-    words = [sorted({u for _, u in b}) for b in bags]
-    outside: dict[bytes, int] = {}
-    for own, t in zip(words, labels, strict=True):
-        if not t:
-            for u in own:
-                outside[u] = outside.get(u, 0) + 1
-    positive = seeds(toxic, clean)
-    positive = (positive or [max((u for own, t in zip(words, labels, strict=True) if t for u in own), key=lambda u: (-outside.get(u, 0), len(u), u))])[: 4 * MOST_LANDMARKS]
-    others = sorted(outside)
-    weight = np.array([outside[w] for w in others], float) ** 0.5
-    others = [others[k] for k in rng.choice(len(others), min(OTHER_UNITS, len(others)), replace=False, p=weight / weight.sum())]
+    words = [np.unique(b & 0xFFFFFFFF) for b in bags]
+    outside = np.bincount(np.concatenate([w for w, t in zip(words, labels, strict=True) if not t]), minlength=len(names))
+    found = seeds(toxic, clean, len(names))[: 4 * MOST_LANDMARKS]
+    if not len(found):  # too few rows to tell: the unit of toxic rows that is rarest elsewhere
+        own = np.unique(np.concatenate([w for w, t in zip(words, labels, strict=True) if t]))
+        found = own[np.argsort(outside[own], kind="stable")[:1]]
+    positive = [names[i] for i in found]
+    pool = np.flatnonzero(outside)
+    weight = outside[pool] ** 0.5
+    others = [names[i] for i in pool[rng.choice(len(pool), min(OTHER_UNITS, len(pool)), replace=False, p=weight / weight.sum())]]
     landmarks = positive[:MOST_LANDMARKS] + others[:OTHER_LANDMARKS]
     columns = _codes(landmarks)
     base = _features(landmarks, columns)
     values, vectors = np.linalg.eigh((base @ base.T).astype(float))
     whiten = (vectors / np.sqrt(np.maximum(values, RIDGE))) @ vectors.T
     nystrom = lambda words: np.vstack([_features(words[k : k + 500], columns) @ base.T for k in range(0, len(words), 500)]) @ whiten
-    norm, lengths = norms(64), [np.array([len(u) for u in own]) for own in words]
-    blobs = [np.frombuffer(b"".join(own), np.uint8) for own in words]
     bent = []
     for w in positive:  # an inserted character leaves an insult an insult
         at = int(rng.integers(1, len(w)))
         bent.append(w[:at] + bytes([int(rng.integers(1, 27))]) + w[at:])
-    x = np.vstack([nystrom(positive), nystrom(bent)])
+    x, norm = np.vstack([nystrom(positive), nystrom(bent)]), norms(64)
     hard: dict[bytes, None] = dict.fromkeys(others)
     for _ in range(MI_ROUNDS):
         negative = list(hard)
         features = np.vstack([x, nystrom(negative)])
         y = np.concatenate([np.ones(len(x)), -np.ones(len(negative))])
-        w = _svm(features, y, np.where(y > 0, 0.5 * len(negative) / len(x), 1.0))
+        often = np.array([outside[number[u]] for u in negative]) ** OFTEN  # a unit of many other rows is the dearer mistake
+        w = _svm(features, y, np.append(np.full(len(x), 0.5 * often.sum() / len(x)), often))
+        del features
         table = np.zeros(1 << 18, np.float32)
         table[columns] = (whiten @ w[:-1]) @ base
-        score = np.zeros(len(bags))
-        for k, own in enumerate(words):
-            found = unit_scores(blobs[k], np.cumsum(lengths[k]) - lengths[k], table, norm)
-            score[k] = found.max()
-            if not labels[k]:  # the units of other rows that come closest are the next round's negatives
-                hard.update(dict.fromkeys(own[i] for i in np.flatnonzero(found + w[-1] > -0.5)))
+        used = np.unique(np.concatenate(words))
+        value = np.zeros(len(names))
+        for part in np.array_split(used, max(1, len(used) // 50_000)):
+            length = np.array([len(names[i]) for i in part])
+            value[part] = unit_scores(np.frombuffer(b"".join(names[i] for i in part), np.uint8), np.cumsum(length) - length, table, norm)
+        score = np.array([value[own].max() for own in words])
+        # the units of other rows that come closest are the next round's negatives
+        hard.update(dict.fromkeys(names[i] for i in pool[value[pool] + w[-1] > -0.5]))
     y = np.array(labels, float)
     a, b = 1.0, float(w[-1])
     share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
