@@ -15,6 +15,9 @@ shingles; that loses nothing.
 The benchmark is the stated query set. It is sent to the executors in blocks of at most
 BLOCK_CHARS characters (one item at least), one scan of the documents for each, so what is broadcast is bounded.
 
+An item of fewer than five words is one shingle, which only a document of fewer than five
+words can hold; it matches such documents only.
+
 Defined results: null or empty documents and items without words match nothing; repeated rows of documents each
 have their matches; items with the same text each match; of equal windows the first counts;
 empty tables give no rows.
