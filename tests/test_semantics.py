@@ -125,3 +125,27 @@ def test_stream_view(spark, tmp_path):
     for _ in range(2):  # a repeated batch changes nothing
         view(readers.values(spark, [(1, 3.0, -1), (2, 1.0, 1)], f"k int, v double, {H.W} long"), 1)
     assert sorted(map(tuple, view.state(spark, 1).collect())) == [(1, 1, 2.0), (2, 1, 1.0)]
+
+
+def test_dialect(spark):
+    from sparkwright.dialect import normalise
+
+    rows = readers.values(spark, [(1, "Abc", 5.0), (2, None, None), (3, "xbc", 7.0)], "k int, s string, v double")
+    rows.createOrReplaceTempView("dialect_rows")
+    run = lambda q: [tuple(r) for r in spark.sql(normalise(q)).collect()]
+    assert run("SELECT k FROM dialect_rows WHERE s LIKE 'a%' AND s GLOB '[A-C]*' AND k == 1") == [(1,)]
+    assert run("SELECT k FROM dialect_rows WHERE s ISNULL OR s REGEXP '^x'") == [(2,), (3,)]
+    assert run("SELECT k FROM dialect_rows WHERE s IS NOT 'Abc' ORDER BY k LIMIT 1, 5") == [(3,)]
+    assert run("SELECT total(v), iif(count(*) > 2, 'many', 'few'), log(100) FROM dialect_rows") == [(12.0, "many", 2.0)]
+    assert run("SELECT count(*) FROM (SELECT k FROM dialect_rows WHERE s IS NULL LIMIT -1) t") == [(1,)]
+    assert run("SELECT group_concat(s) FROM (SELECT s FROM dialect_rows WHERE k = 1) t") == [("Abc",)]
+    assert normalise("SELECT 'a LIKE b == c'") == "SELECT 'a LIKE b == c'"
+
+
+def test_extras(spark):
+    from sparkwright.functions import extras as X
+
+    assert X.edit_distance("ca", "abc", True, True) == 2 and X.edit_distance("ca", "abc", True, False) == 3 and X.edit_distance("kitten", "sitting", False, False) == 3
+    x = F.lit("héß")
+    assert one(spark, X.translit(x), X.rsoundex(F.lit("Braz")), X.unistr(F.lit("\\0041\\+01F600")), X.decode(X.encode(F.encode(x, "UTF-8"), "base32"), "base32")) == ("hess", "B1905", "A😀", "héß".encode())
+    assert one(spark, X.network_contains(F.lit("2001:db8::/32"), F.lit("2001:db8::1")), X.network_of(F.lit("10.1.2.3/8")), X.network_of(F.lit("bad")), X.json_error_position(F.lit("{a")), X.damerau_levenshtein(F.lit("ab"), F.lit(None).cast("string"))) == (True, "10.0.0.0/8", None, 2, None)
