@@ -40,6 +40,8 @@ from .shared import cut, documents, texts
 
 COORDINATES, ROWS, BANDS = 128, 4, 32
 MOST_BITS = 44
+#: Links that a task of the components' rounds gets.
+TASK_LINKS = 50_000
 #: Members of a bucket up to which its pairs are listed; larger buckets go another exact way.
 SMALL = 8
 #: Similarity at least NUM / DEN.
@@ -199,18 +201,20 @@ def links_across(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """doc_id, root: the least id reachable, for every id in links (a, b). Large and small stars in turn, until nothing changes."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    state = None
+    state = edges.count(), None
     while True:
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        few = lambda df, n=max(1, -(-state[0] // TASK_LINKS)): df.coalesce(n)  # noqa: E731  tasks follow the links, not the session's setting
+        now = few(edges)
+        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = few(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = few(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = few(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == state:
+        edges = cut(few(small.distinct()))
+        found = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        if found == state:
             break
-        state = now
+        state = found
     roots = edges.select(F.col("v").alias("doc_id"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("root")).unionAll(roots)
 
