@@ -3,6 +3,7 @@
 import base64
 import ipaddress
 import re
+import struct
 import unicodedata
 import urllib.parse
 
@@ -143,3 +144,59 @@ def json_error_position(x):
         return 0
 
     return _arrow("int", lambda v: place(v))(x)
+
+
+#: Fixed values of BLAKE3: the initial state and the order of message words from round to round.
+BLAKE3_IV = (0x6A09E667, 0xBB67AE85, 0x3C6EF372, 0xA54FF53A, 0x510E527F, 0x9B05688C, 0x1F83D9AB, 0x5BE0CD19)
+BLAKE3_ORDER = (2, 6, 3, 10, 7, 0, 4, 13, 1, 11, 12, 5, 9, 14, 15, 8)
+_START, _END, _PARENT, _ROOT = 1, 2, 4, 8
+_MIXES = [(0, 4, 8, 12), (1, 5, 9, 13), (2, 6, 10, 14), (3, 7, 11, 15), (0, 5, 10, 15), (1, 6, 11, 12), (2, 7, 8, 13), (3, 4, 9, 14)]
+
+
+def _compress(state, block: bytes, counter: int, flags: int):
+    """The first eight words of BLAKE3's compression."""
+    m = struct.unpack("<16I", block.ljust(64, b"\0"))
+    v = [*state, *BLAKE3_IV[:4], counter & 0xFFFFFFFF, counter >> 32, len(block), flags]
+    for _ in range(7):
+        for k, (a, b, c, d) in enumerate(_MIXES):
+            for word, right, left in ((m[2 * k], 16, 12), (m[2 * k + 1], 8, 7)):
+                v[a] = (v[a] + v[b] + word) & 0xFFFFFFFF
+                x = v[d] ^ v[a]
+                v[d] = (x >> right | x << (32 - right)) & 0xFFFFFFFF
+                v[c] = (v[c] + v[d]) & 0xFFFFFFFF
+                x = v[b] ^ v[c]
+                v[b] = (x >> left | x << (32 - left)) & 0xFFFFFFFF
+        m = [m[i] for i in BLAKE3_ORDER]
+    return [v[i] ^ v[i + 8] for i in range(8)]
+
+
+def blake3_digest(data: bytes) -> bytes:
+    """The 32-byte BLAKE3 hash: chunks of 1,024 bytes are leaves, full subtrees are merged as they complete."""
+
+    def chunk(at: int, root: int):
+        state, piece = BLAKE3_IV, data[at * 1024 : at * 1024 + 1024]
+        last = max(0, (len(piece) - 1) // 64)
+        for b in range(last + 1):
+            flags = (_START if b == 0 else 0) | (_END | root if b == last else 0)
+            state = _compress(state, piece[b * 64 : b * 64 + 64], at, flags)
+        return state
+
+    def parent(left, right, root: int):
+        return _compress(BLAKE3_IV, struct.pack("<16I", *left, *right), 0, _PARENT | root)
+
+    chunks = max(1, -(-len(data) // 1024))
+    stack = []
+    for at in range(chunks - 1):
+        node, done = chunk(at, 0), at + 1
+        while done % 2 == 0:
+            node, done = parent(stack.pop(), node, 0), done // 2
+        stack.append(node)
+    node = chunk(chunks - 1, 0 if stack else _ROOT)
+    while stack:
+        node = parent(stack.pop(), node, 0 if stack else _ROOT)
+    return struct.pack("<8I", *node)
+
+
+def blake3(x):
+    """BLAKE3 of text (its UTF-8) or binary."""
+    return _arrow("binary", lambda v: blake3_digest(v.encode() if isinstance(v, str) else bytes(v)))(x)

@@ -9,6 +9,7 @@ from ..functions import temporal as D
 from ..operators import changes as H
 from ..operators import fulltext as FT
 from ..operators import recursion as R
+from ..operators import triggers as T
 from ..operators import windows as WN
 from ..session import table
 from ..sources import readers
@@ -475,3 +476,28 @@ def stream_replay_counts(spark, d):
 def session_windows(spark, d):
     gap = F.col("ts").cast("timestamp").cast("double") - F.lag(F.col("ts").cast("timestamp").cast("double")).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return table(spark, d, "events").select("user_id", F.when(gap < 6 * 3600, 0).otherwise(1).alias("first")).filter("first = 1").groupBy("user_id").agg(F.count("*").alias("sessions"))
+
+
+@entry(
+    f"SELECT CASE WHEN o.o_orderkey IS NULL THEN 'added' WHEN n.o_orderkey IS NULL THEN 'gone' ELSE 'dearer' END AS what, coalesce(n.o_orderkey, o.o_orderkey) AS o_orderkey, coalesce(n.o_totalprice, 0) - coalesce(o.o_totalprice, 0) AS difference "
+    f"FROM {OLD} FULL JOIN {NEW} ON o.o_orderkey = n.o_orderkey WHERE o.o_orderkey IS NULL OR n.o_orderkey IS NULL OR n.o_totalprice > o.o_totalprice"
+)
+def trigger_audit(spark, d):
+    old, new, _ = _states(spark, d)
+    price = lambda side: F.col(f"{side}.o_totalprice")
+    row = lambda what, key, difference: {"what": F.lit(what), "o_orderkey": F.col(key), "difference": difference}
+    return T.fired(
+        T.row_changes(old, new, ["o_orderkey"]),
+        [
+            T.Trigger("insert", row("added", "new.o_orderkey", price("new"))),
+            T.Trigger("delete", row("gone", "old.o_orderkey", -price("old"))),
+            T.Trigger("update", row("dearer", "new.o_orderkey", price("new") - price("old")), price("new") > price("old"), ["o_totalprice"]),
+        ],
+    )
+
+
+@entry()
+def crypto_blake3(spark, d):
+    from ..functions import extras
+
+    return table(spark, d, "part").select("p_partkey", F.hex(extras.blake3("p_name")).alias("h"))

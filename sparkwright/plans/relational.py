@@ -108,11 +108,21 @@ BOTH = {
     "tpch_q19": "SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN part ON p_partkey = l_partkey WHERE (p_size BETWEEN 1 AND 5 AND l_quantity BETWEEN 1 AND 11) OR (p_size BETWEEN 6 AND 10 AND l_quantity BETWEEN 10 AND 20) OR (p_size BETWEEN 11 AND 15 AND l_quantity BETWEEN 20 AND 30)",
     "tpch_q21": "SELECT s_name, count(*) AS numwait FROM supplier JOIN lineitem a ON s_suppkey = a.l_suppkey WHERE a.l_returnflag = 'R' AND EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_suppkey <> a.l_suppkey) AND NOT EXISTS (SELECT 1 FROM lineitem c WHERE c.l_orderkey = a.l_orderkey AND c.l_suppkey <> a.l_suppkey AND c.l_returnflag = 'R') GROUP BY s_name",
     "tpch_q22": "SELECT c_nationkey, count(*) AS numcust, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) GROUP BY c_nationkey",
+    "agg_median": "SELECT p_brand, median(p_retailprice) AS m FROM part GROUP BY p_brand",
+    "agg_bool": "SELECT p_brand, bool_and(p_size > 1) AS every_one, bool_or(p_size > 49) AS some FROM part GROUP BY p_brand",
+    "tpch_q2": "SELECT s_suppkey, s_name, n_name, l_partkey FROM (SELECT DISTINCT l_partkey, l_suppkey, l_extendedprice / l_quantity AS cost FROM lineitem) l JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON p_partkey = l_partkey WHERE p_size < 15 AND cost = (SELECT min(m.l_extendedprice / m.l_quantity) FROM lineitem m WHERE m.l_partkey = p_partkey)",
+    "tpch_q7": "SELECT a.n_name AS supp_nation, b.n_name AS cust_nation, year(l_shipdate) AS y, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey WHERE a.n_regionkey = 1 AND b.n_regionkey = 2 GROUP BY a.n_name, b.n_name, year(l_shipdate)",
+    "tpch_q8": "SELECT year(o_orderdate) AS y, round(sum(CASE WHEN n.n_regionkey = 1 THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS share FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation n ON s_nationkey = n.n_nationkey JOIN orders ON o_orderkey = l_orderkey WHERE p_size BETWEEN 10 AND 30 GROUP BY year(o_orderdate)",
+    "tpch_q9": "SELECT n_name, year(o_orderdate) AS y, round(sum(l_extendedprice * (1 - l_discount) - p_retailprice * l_quantity * 0.5), 2) AS profit FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey WHERE p_size > 20 GROUP BY n_name, year(o_orderdate)",
+    "tpch_q11": "SELECT l_partkey, round(sum(l_extendedprice), 2) AS value FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey < 12 GROUP BY l_partkey HAVING sum(l_extendedprice) > (SELECT 0.001 * sum(l_extendedprice) FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey < 12)",
+    "tpch_q16": "SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS suppliers FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size IN (1, 9, 14, 19, 23, 36, 45, 49) AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size",
+    "tpch_q20": "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 20 GROUP BY l_suppkey HAVING sum(l_quantity) > (SELECT avg(q) FROM (SELECT sum(l_quantity) AS q FROM lineitem GROUP BY l_suppkey) t) * 0.3)",
     "graph_cooccurrence": "SELECT a.l_partkey AS x, b.l_partkey AS y, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY a.l_partkey, b.l_partkey HAVING count(*) > 1",
     "graph_streaks": "WITH days AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events), runs AS (SELECT user_id, d, CAST(row_number() OVER (PARTITION BY user_id ORDER BY d) AS INT) AS rn FROM days) SELECT user_id, count(*) AS active FROM runs GROUP BY user_id",
 }
 
 PAIRS = {
+    "agg_bare_column_max": ("SELECT p_brand, max(p_retailprice) AS top, max_by(p_partkey, struct(p_retailprice, -p_partkey)) AS p_partkey FROM part GROUP BY p_brand", "SELECT p_brand, p_retailprice AS top, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part) t WHERE k = 1"),
     "filter_like_ci": ("SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%O%' AND p_name NOT ILIKE 'a!_%' ESCAPE '!'", None),
     "filter_regexp": ("SELECT p_partkey, p_name FROM part WHERE p_name RLIKE '[aeiou]{2}'", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '[aeiou]{2}')"),
     "arith_int_div_null": ("SELECT p_partkey, p_size div nullif(p_size % 5, 0) AS q, p_size % nullif(p_size % 5, 0) AS r FROM part", "SELECT p_partkey, CAST(p_size // nullif(p_size % 5, 0) AS BIGINT) AS q, p_size % nullif(p_size % 5, 0) AS r FROM part"),

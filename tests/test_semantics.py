@@ -149,3 +149,27 @@ def test_extras(spark):
     x = F.lit("héß")
     assert one(spark, X.translit(x), X.rsoundex(F.lit("Braz")), X.unistr(F.lit("\\0041\\+01F600")), X.decode(X.encode(F.encode(x, "UTF-8"), "base32"), "base32")) == ("hess", "B1905", "A😀", "héß".encode())
     assert one(spark, X.network_contains(F.lit("2001:db8::/32"), F.lit("2001:db8::1")), X.network_of(F.lit("10.1.2.3/8")), X.network_of(F.lit("bad")), X.json_error_position(F.lit("{a")), X.damerau_levenshtein(F.lit("ab"), F.lit(None).cast("string"))) == (True, "10.0.0.0/8", None, 2, None)
+
+
+def test_blake3():
+    from sparkwright.functions.extras import blake3_digest
+
+    known = {
+        0: "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262",
+        1: "2d3adedff11b61f14c886e35afa036736dcd87a74d27b5c1510225d0f592e213",
+        1024: "42214739f095a406f3fc83deb889744ac00df831c10daa55189b5d121c855af7",
+        1025: "d00278ae47eb27b34faecf67b4fe263f82d5412916c1ffd97c8cb7fb814b8444",
+    }
+    assert {n: blake3_digest(bytes(i % 251 for i in range(n))).hex() for n in known} == known
+
+
+def test_triggers(spark):
+    from pyspark.sql import functions as F
+
+    from sparkwright.operators import triggers as T
+
+    rows = lambda *x: spark.createDataFrame(x, "id int, v int, w int")
+    changes = T.row_changes(rows((1, 1, 1), (2, None, 2), (3, 3, 3), (4, 4, 4)), rows((1, 1, 1), (2, 5, 2), (3, 3, 9), (5, 5, 5)), ["id"])
+    assert sorted((r.event, (r.new or r.old).id) for r in changes.collect()) == [("delete", 4), ("insert", 5), ("update", 2), ("update", 3)]
+    log = [T.Trigger("update", {"id": F.col("new.id"), "was": F.col("old.v")}, of=["v"]), T.Trigger("delete", {"id": F.col("old.id"), "was": F.col("old.v")}, F.col("old.v") > 9)]
+    assert [tuple(r) for r in T.fired(changes, log).collect()] == [(2, None)]
