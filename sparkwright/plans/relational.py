@@ -111,9 +111,9 @@ BOTH = {
     "agg_median": "SELECT p_brand, median(p_retailprice) AS m FROM part GROUP BY p_brand",
     "agg_bool": "SELECT p_brand, bool_and(p_size > 1) AS every_one, bool_or(p_size > 49) AS some FROM part GROUP BY p_brand",
     "tpch_q2": "SELECT s_suppkey, s_name, n_name, l_partkey FROM (SELECT DISTINCT l_partkey, l_suppkey, l_extendedprice / l_quantity AS cost FROM lineitem) l JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON p_partkey = l_partkey WHERE p_size < 15 AND cost = (SELECT min(m.l_extendedprice / m.l_quantity) FROM lineitem m WHERE m.l_partkey = p_partkey)",
-    "tpch_q7": "SELECT a.n_name AS supp_nation, b.n_name AS cust_nation, year(l_shipdate) AS y, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey WHERE a.n_regionkey = 1 AND b.n_regionkey = 2 GROUP BY a.n_name, b.n_name, year(l_shipdate)",
+    "tpch_q7": "SELECT a.n_name AS supp_nation, b.n_name AS cust_nation, year(l_shipdate) AS y, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey WHERE a.n_regionkey = 1 AND b.n_regionkey = 2 GROUP BY a.n_name, b.n_name, year(l_shipdate)",
     "tpch_q8": "SELECT year(o_orderdate) AS y, round(sum(CASE WHEN n.n_regionkey = 1 THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS share FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation n ON s_nationkey = n.n_nationkey JOIN orders ON o_orderkey = l_orderkey WHERE p_size BETWEEN 10 AND 30 GROUP BY year(o_orderdate)",
-    "tpch_q9": "SELECT n_name, year(o_orderdate) AS y, round(sum(l_extendedprice * (1 - l_discount) - p_retailprice * l_quantity * 0.5), 2) AS profit FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey WHERE p_size > 20 GROUP BY n_name, year(o_orderdate)",
+    "tpch_q9": "SELECT n_name, year(o_orderdate) AS y, CAST(sum(CAST(l_extendedprice * (1 - l_discount) - p_retailprice * l_quantity * 0.5 AS DECIMAL(18, 4))) AS DOUBLE) AS profit FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey WHERE p_size > 20 GROUP BY n_name, year(o_orderdate)",
     "tpch_q11": "SELECT l_partkey, round(sum(l_extendedprice), 2) AS value FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey < 12 GROUP BY l_partkey HAVING sum(l_extendedprice) > (SELECT 0.001 * sum(l_extendedprice) FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey < 12)",
     "tpch_q16": "SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS suppliers FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size IN (1, 9, 14, 19, 23, 36, 45, 49) AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size",
     "tpch_q20": "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 20 GROUP BY l_suppkey HAVING sum(l_quantity) > (SELECT avg(q) FROM (SELECT sum(l_quantity) AS q FROM lineitem GROUP BY l_suppkey) t) * 0.3)",
