@@ -2,29 +2,28 @@
 
 Tokens are words (lower-cased A-Z), then one end. Unigrams are smoothed as in the base score,
 P(w) = (c + 0.5) / (N + 0.5 (V + 1)), over all training tokens. Bigrams and trigrams are
-smoothed by absolute discounting, interpolated with the next lower order; n-grams that make
-up less than SHARE of the training tokens are pruned, their mass going to the backoff
-weight, so that each state's probabilities sum to one. Contexts are states; a state's
+smoothed by absolute discounting, interpolated with the next lower order, so that each
+state's probabilities sum to one. No n-gram is left out. Contexts are states; a state's
 arcs carry log10 probabilities to the next state, its failure arc the backoff weight to
 the shorter context. A text is one left-to-right traversal from the start state.
 
-At most 1 / SHARE n-grams of an order can make up SHARE of all tokens each. That bounds the
-automaton and its broadcast, whatever the corpus. Frequent n-grams are found exactly by
-two scans: local counts with those below LOSSY * SHARE of a chunk left out (lossy
-counting: what is lost of an n-gram is under that share of N, so a bounded set of
-candidates holds all frequent ones), then exact counts of the candidates.
-
-Words that are not candidates are counted over the whole corpus by shuffle: occurrences are
-packed into rows by hash range, about ENTRIES to a range, and the task that holds a range counts its words
-and sums their share of each document's score at once. A word of such a range is
-rarer than SHARE, so no range is hot, and nothing unbounded is broadcast or collected.
+The automaton is never in one place. Its counts lie in ranges of hashes: a pair and all triples
+that begin with it in one, a word in one. Texts are packed into blocks; a block asks each range
+once for its distinct n-grams, with its own training counts of them, and the task that holds a
+range adds the blocks' counts and answers each block. A block that has its answers knows every
+arc on its texts' ways. Ranges and blocks grow in number, not in size; a frequent n-gram
+comes once from each block. Nothing that grows is broadcast or collected. ``Automaton`` is the same automaton
+in one piece, for small counts.
 
 Defined results: null and empty texts are one end; a null doc_id is not held out and no
 training row; repeated rows each have a result; without training rows N and V are 0 and all
 tokens are equally unlikely; an empty table gives no rows.
 """
 
+import gc
 import math
+import time
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +33,13 @@ from pyspark.sql import functions as F
 from . import words as W
 from .shared import cut, documents, fold
 
-SHARE, LOSSY, DISCOUNT = 1e-5, 0.1, 0.75
-CHUNK_TOKENS, ENTRIES = 4_000_000, 4_000_000
+DISCOUNT = 0.75
+#: Tokens of a block and of a range; at least so many ranges, counted in so many waves, so that only one wave's shuffle lies on disk.
+BLOCK, ENTRIES, RANGES, WAVES = 1_500_000, 4_000_000, 64, 2
 FOLDS, HELD = 5, 1
 
 U64 = np.uint64
-_two, _three = W.mix(np.arange(50, 52, dtype=U64)) | U64(1), W.mix(np.arange(60, 63, dtype=U64)) | U64(1)
+_two = W.mix(np.arange(50, 52, dtype=U64)) | U64(1)
 #: Ids of the start and the end in the automaton; words have ids from 2.
 START, END = 0, 1
 START_HASH, END_HASH = W.mix(np.array([1, 2], U64))
@@ -57,15 +57,6 @@ def framed(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, at
 
 
-def two(h: np.ndarray) -> np.ndarray:
-    """Keys of neighbours; those that begin with an end join two texts and are to be left out."""
-    return W.mix(h[:-1] * _two[0] + h[1:] * _two[1])
-
-
-def three(h: np.ndarray) -> np.ndarray:
-    return W.mix(h[:-2] * _three[0] + h[1:-1] * _three[1] + h[2:] * _three[2])
-
-
 def _slices(batch):
     """(row range, framed hashes, starts) of an Arrow batch's texts."""
     data, offsets = W.buffers(batch.column("text"))
@@ -80,186 +71,6 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("text").alias("uid"), F.coalesce(number == HELD, F.lit(False)).alias("held_out"), F.coalesce(number != HELD, F.lit(False)).alias("train"), "text")
 
 
-def candidates(rows: DataFrame, share: float) -> tuple[int, list[np.ndarray]]:
-    """N, and for each order the sorted keys of all n-grams that may make up ``share`` of N."""
-
-    def run(batches):
-        held, tokens = [[], [], []], 0
-
-        def flush():
-            for order, parts in enumerate(held):
-                keys, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, U64), np.zeros(0, np.int64))
-                keep = n >= LOSSY * share * tokens
-                parts.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), order + 1, np.int32)), pa.array(keys[keep].astype(np.int64)), pa.array(n[keep])], ["kind", "key", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([tokens], pa.int64())], ["kind", "key", "n"])
-
-        for batch in batches:
-            for _, _, h, at in _slices(batch):
-                ends = np.zeros(len(h), bool)
-                ends[at[1:] - 1] = True
-                starts = np.zeros(len(h), bool)
-                starts[at[:-1]] = True
-                held[0].append(h[~starts & ~ends])
-                held[1].append(two(h)[~ends[:-1]])
-                held[2].append(three(h)[~(ends[:-2] | ends[1:-1])])
-                tokens += len(h) - (len(at) - 1)
-                if tokens >= CHUNK_TOKENS:
-                    yield from flush()
-                    tokens = 0
-        if tokens:
-            yield from flush()
-
-    found = cut(rows.filter("train").select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    total = found.filter("kind = 0").first()
-    total = int(total["n"]) if total else 0
-    likely = found.filter((F.col("kind") > 0) & (F.col("n") >= (1 - LOSSY) * share * total)).select("kind", "key").toArrow()
-    kind, key = np.asarray(likely["kind"]), np.asarray(likely["key"]).astype(np.int64).view(U64)
-    return total, [np.sort(key[kind == order]) for order in (1, 2, 3)]
-
-
-def _ids(known: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Ids of framed hashes: START, END, 2 + place among the known words, or -1."""
-    if not len(known):
-        out = np.full(len(h), -1, np.int64)
-    else:
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        out = np.where(known[at] == h, at + 2, -1)
-    out[h == START_HASH], out[h == END_HASH] = START, END
-    return out
-
-
-def _member(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(keys), bool)
-    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
-
-
-COUNTED = "kind int, bucket int, key long, n long, h binary, doc binary, times binary, ids binary, uids binary, train binary"
-_names = [c.split()[0] for c in COUNTED.split(", ")]
-_types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
-SUMMED = "kind int, key long, n long, docs binary, uids binary, nulls binary, logs binary, known binary"
-RARE = "doc_id long, uid long, rare_logs double, rare_known long"
-_packed = [*[pa.int32()], *[pa.int64()] * 2, *[pa.binary()] * 5]
-_summed = [c.split()[0] for c in SUMMED.split(", ")]
-
-
-def counted(rows: DataFrame, known: list[np.ndarray], ranges: int, partitions: int) -> DataFrame:
-    """Exact counts of the candidates (kind 1-3, key by ids, n), of the rare words that training has (kind 4), and documents' sums over their rare words (kind 5, packed by a hash of the document)."""
-    held = rows.sparkSession.sparkContext.broadcast(known)
-
-    def pack(batches):
-        single, double, triple = held.value
-        size = len(single) + 2
-        ones, sums = np.zeros(size, np.int64), [{}, {}]
-        for batch in batches:
-            doc_ids = np.asarray(batch.column("doc_id").fill_null(0))
-            empty = np.asarray(batch.column("doc_id").is_null())
-            uids, train = np.asarray(batch.column("uid")), np.asarray(batch.column("train"))
-            for i, j, h, at in _slices(batch):
-                ids = _ids(single, h)
-                text = np.repeat(np.arange(j - i), np.diff(at))
-                learn = train[i:j][text]
-                ones += np.bincount(ids[learn & (ids >= 0)], minlength=size)
-                ends = ids == END
-                pair = ~ends[:-1] & (ids[:-1] >= 0) & (ids[1:] >= 0) & learn[:-1]
-                at2 = np.flatnonzero(pair)
-                at2 = at2[_member(double, W.mix(h[at2] * _two[0] + h[at2 + 1] * _two[1]))]
-                at3 = np.flatnonzero(pair[:-1] & pair[1:])
-                at3 = at3[_member(triple, W.mix(h[at3] * _three[0] + h[at3 + 1] * _three[1] + h[at3 + 2] * _three[2]))]
-                for k, keys in enumerate((ids[at2] * size + ids[at2 + 1], (ids[at3] * size + ids[at3 + 1]) * size + ids[at3 + 2])):
-                    own = sums[k]
-                    for key, n in zip(*(x.tolist() for x in np.unique(keys, return_counts=True)), strict=True):
-                        own[key] = own.get(key, 0) + n
-                rare = np.flatnonzero(ids < 0)
-                order = np.argsort(h[rare], kind="stable")
-                rh, rd = h[rare][order], text[rare][order]
-                new = np.ones(len(rh), bool)
-                new[1:] = (rh[1:] != rh[:-1]) | (rd[1:] != rd[:-1])
-                begin = np.flatnonzero(new)
-                times = np.diff(np.append(begin, len(rh)))
-                rh, rd = rh[begin], rd[begin]
-                bucket = (rh >> U64(32)).astype(np.int64) * ranges >> 32
-                edges = np.searchsorted(bucket, np.arange(ranges + 1))
-                for b in np.flatnonzero(np.diff(edges)).tolist():
-                    part = slice(edges[b], edges[b + 1])
-                    own, place = np.unique(rd[part], return_inverse=True)
-                    flags = train[i:j][own].astype(np.uint8) | (empty[i:j][own].astype(np.uint8) << 1)
-                    row = [4, b, 0, 0, rh[part].tobytes(), place.astype("<u4").tobytes(), times[part].astype("<u4").tobytes(), doc_ids[i:j][own].astype("<i8").tobytes(), uids[i:j][own].astype("<i8").tobytes(), flags.tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _types, strict=True)], _names)
-        every = [np.flatnonzero(ones), *(np.fromiter(s, np.int64, len(s)) for s in sums)]
-        values = [ones[every[0]], *(np.fromiter(s.values(), np.int64, len(s)) for s in sums)]
-        for kind, (key, n) in enumerate(zip(every, values, strict=True), 1):
-            blank = pa.nulls(len(key), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array((key % ranges).astype(np.int32)), pa.array(key), pa.array(n.astype(np.int64)), *[blank] * 6], _names)
-
-    def total(batches):
-        hs, ds, ts, ids, uids, flags, base = [], [], [], [], [], [], 0
-        sums: list[dict[int, int]] = [{}, {}, {}]
-        for batch in batches:
-            kind = np.asarray(batch.column("kind"))
-            for k in (1, 2, 3):
-                own = sums[k - 1]
-                for key, n in zip(np.asarray(batch.column("key"))[kind == k].tolist(), np.asarray(batch.column("n"))[kind == k].tolist(), strict=True):
-                    own[key] = own.get(key, 0) + n
-            for r in np.flatnonzero(kind == 4).tolist():
-                raw = lambda c, t, r=r, batch=batch: np.frombuffer(batch.column(c)[r].as_py(), t)
-                hs.append(raw("h", U64))
-                ds.append(raw("doc", "<u4") + np.int64(base))
-                ts.append(raw("times", "<u4"))
-                ids.append(raw("ids", "<i8"))
-                uids.append(raw("uids", "<i8"))
-                flags.append(raw("train", np.uint8))
-                base += len(ids[-1])
-        for kind, own in enumerate(sums, 1):
-            n = len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.fromiter(own, np.int64, n)), pa.array(np.fromiter(own.values(), np.int64, n)), *(pa.nulls(n, pa.binary()) for _ in range(5))], _summed)
-        if not hs:
-            return
-        h, d, t, doc, uid, flag = (np.concatenate(x) for x in (hs, ds, ts, ids, uids, flags))
-        hs.clear(), ds.clear(), ts.clear()
-        order = np.argsort(h)
-        h, d, t = h[order], d[order], t[order]
-        begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        c = np.add.reduceat(np.where(flag[d] & 1, t, 0).astype(np.int64), begin)
-        each = np.repeat(c, np.diff(np.append(begin, len(h))))
-        logs = np.bincount(d, t * np.log10(each + 0.5), len(doc))
-        seen = np.bincount(d, np.where(each > 0, t, 0), len(doc)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([4, 0, int((c > 0).sum()), *[None] * 5], _packed, strict=True)], _summed)
-        for block, own in _by_block(uid ^ W.mix(doc.view(U64)).view(np.int64), ranges):
-            row = [5, block, 0, doc[own].tobytes(), uid[own].tobytes(), (flag[own] & 2).tobytes(), logs[own].tobytes(), seen[own].tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _packed, strict=True)], _summed)
-
-    return rows.select("doc_id", "uid", "train", "text").mapInArrow(pack, COUNTED).repartition(partitions, "bucket").mapInArrow(total, SUMMED)
-
-
-def _by_block(key: np.ndarray, blocks: int):
-    """Places of the documents of each block, blocks being ranges of a hash of id and text."""
-    block = (W.mix(key.view(U64)) >> U64(32)).astype(np.int64) * blocks >> 32
-    order = np.argsort(block, kind="stable")
-    for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-        yield int(block[own[0]]), own
-
-
-def rare_sums(sums: DataFrame, partitions: int) -> DataFrame:
-    """One row for each document that has rare words: the sums of all packed parts."""
-
-    def unpack(batches):
-        parts = [[] for _ in range(5)]
-        for batch in batches:
-            for k, (name, kind) in enumerate((("docs", np.int64), ("uids", np.int64), ("nulls", np.uint8), ("logs", np.float64), ("known", np.int64))):
-                parts[k] += [np.frombuffer(x.as_buffer(), kind) for x in batch.column(name)]
-        if not parts[0]:
-            return
-        doc, uid, null, logs, known = map(np.concatenate, parts)
-        order = np.lexsort((uid, doc, null))
-        doc, uid, null = doc[order], uid[order], null[order]
-        begin = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (uid[1:] != uid[:-1]) | (null[1:] != null[:-1])))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[begin], mask=null[begin] > 0), pa.array(uid[begin]), pa.array(np.add.reduceat(logs[order], begin)), pa.array(np.add.reduceat(known[order], begin))], ["doc_id", "uid", "rare_logs", "rare_known"])
-
-    return sums.filter("kind = 5").select("key", "docs", "uids", "nulls", "logs", "known").repartition(partitions, "key").mapInArrow(unpack, RARE)
-
-
 class Automaton:
     """States from n-gram counts by ids. ``ones``: counts by id, START's being the number of training texts."""
 
@@ -323,58 +134,296 @@ class Automaton:
         return total
 
 
-def scored(docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark, rows = docs.sparkSession, _rows(docs)
-    n, known = candidates(rows, share)
-    ranges = max(1, -(-n // ENTRIES), spark.sparkContext.defaultParallelism)
-    sums = cut(counted(rows, known, ranges, ranges))
-    few = sums.filter("kind < 5").groupBy("kind", "key").agg(F.sum("n").alias("n")).filter((F.col("kind").isin(1, 4)) | (F.col("n") >= share * n)).toArrow()  # at most 3 / share rows
-    kind, key, times = (np.asarray(few[c]) for c in ("kind", "key", "n"))
-    ones = np.zeros(len(known[0]) + 2, np.int64)
-    ones[key[kind == 1]] = times[kind == 1]
-    v = int(times[kind == 4].sum()) + int((ones[1:] > 0).sum())
-    tables = [dict(zip(key[kind == k].tolist(), times[kind == k].tolist(), strict=True)) for k in (2, 3)]
-    held = spark.sparkContext.broadcast((known[0], ones, *tables, n, v))
+def _blocks(batches):
+    """Ids, null ids, held out, train, framed hashes and starts of about BLOCK tokens of texts each."""
+    parts, tokens = [], 0
+
+    def joined():
+        *columns, h, at = zip(*parts, strict=True)
+        begin = np.cumsum([0, *map(len, h)])
+        return *map(np.concatenate, columns), np.concatenate(h), np.append(np.concatenate([a[:-1] + b for a, b in zip(at, begin[:-1], strict=True)]), begin[-1])
+
+    for batch in batches:
+        columns = np.asarray(batch.column("doc_id").fill_null(0)), np.asarray(batch.column("doc_id").is_null()), np.asarray(batch.column("held_out")), np.asarray(batch.column("train"))
+        for i, j, h, at in _slices(batch):
+            parts.append((*(c[i:j] for c in columns), h, at))
+            tokens += len(h)
+            if tokens >= BLOCK:
+                yield joined()
+                parts, tokens = [], 0
+    if parts:
+        yield joined()
+
+
+def _name(h: np.ndarray) -> int:
+    """A block's name from its content, so that each scan gives it the same."""
+    return int(W.mix(W.mix(h + np.arange(len(h), dtype=U64) * _two[1]).sum(dtype=U64, keepdims=True)).view(np.int64)[0])
+
+
+def _range(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    return (hashes >> U64(32)).astype(np.int64) * ranges >> 32
+
+
+def _squeeze(a: np.ndarray) -> bytes:
+    raw = a.astype("<u4").tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _spread(b: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd"), "<u4").astype(np.int64)
+
+
+class Grams:
+    """A block's distinct words, pairs and triples, and which of them stands at each place; -1 where none ends. Triples only of pairs in the ranges ``own``."""
+
+    def __init__(self, h: np.ndarray, at: np.ndarray, ranges: int, own: range | None = None):
+        self.words, self.word = np.unique(h, return_inverse=True)
+        size = len(self.words)
+        ends = np.ones(len(h), bool)  # a pair ends wherever no text starts, a triple where also a pair ended before
+        ends[at[:-1]] = False
+        self.pair, self.triple = np.full(len(h), -1), np.full(len(h), -1)
+        k = np.flatnonzero(ends)
+        pairs, self.pair[k] = np.unique(self.word[k - 1] * size + self.word[k], return_inverse=True)
+        self.first = self.words[pairs // size]
+        self.pairs = W.mix(self.first * _two[0] + self.words[pairs % size] * _two[1])
+        self.of, self.own = _range(self.pairs, ranges), own or range(ranges)
+        k = k[ends[k - 1]]
+        if own:
+            k = k[((self.of >= own.start) & (self.of < own.stop))[self.pair[k - 1]]]
+        triples, self.triple[k] = np.unique(self.pair[k - 1] * size + self.word[k], return_inverse=True)
+        self.context, self.third = triples // size, self.words[triples % size]
+
+    def places(self):
+        """For each own range that has some: its pairs, and the triples that begin with them, by pair."""
+        of, of3, low, high = self.of, self.of[self.context], self.own.start, self.own.stop
+        pairs = np.flatnonzero((of >= low) & (of < high))
+        pairs, triples = pairs[np.argsort(of[pairs], kind="stable")], np.argsort(of3, kind="stable")
+        cut2, cut3 = (np.searchsorted(x, np.arange(low, high + 1)) for x in (of[pairs], of3[triples]))
+        for k in np.flatnonzero(np.diff(cut2)).tolist():
+            yield low + k, pairs[cut2[k] : cut2[k + 1]], triples[cut3[k] : cut3[k + 1]]
+
+
+def _word_places(words: np.ndarray, ranges: int):
+    of = _range(words, ranges)
+    order = np.argsort(of, kind="stable")
+    edges = np.searchsorted(of[order], np.arange(ranges + 1))
+    for r in np.flatnonzero(np.diff(edges)).tolist():
+        yield r, order[edges[r] : edges[r + 1]]
+
+
+#: A row goes to the range or block ``to``; what it holds goes back to, or is from, ``at``.
+MESSAGE = "kind int, to long, at long, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
+_fields = [c.split()[0] for c in MESSAGE.split(", ")]
+_kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 7]
+PAIRS, WORDS, PART, PAIRS_BACK, WORDS_BACK, TEXTS, SEEN = range(7)
+
+
+def _message(*row) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([*row, *[None] * (10 - len(row))], _kinds, strict=True)], _fields)
+
+
+def _groups(batches):
+    """Rows in lists of equal ``to``; they come sorted by it."""
+    own: list[dict] = []
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {c: batch.column(c)[k].as_py() for c in _fields}
+            if own and own[-1]["to"] != row["to"]:
+                yield own
+                own = []
+            own.append(row)
+    if own:
+        yield own
+
+
+def _dealt(rows: DataFrame, partitions: int) -> DataFrame:
+    return rows.repartition(partitions, "to").sortWithinPartitions("to")
+
+
+def _joined(own: list[dict], column: str, read) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' arrays in one, and where each begins."""
+    parts = [read(r[column]) for r in own]
+    return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+
+_hashes = lambda b: np.frombuffer(b, U64)
+
+
+def _short(hashes: np.ndarray, size: int) -> bytes:
+    """So many bytes of each hash: 7 tell the pairs of a range apart, 6 the words after one pair."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def _long(b: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(b) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(b, np.uint8).reshape(-1, size)
+    return out.reshape(-1).view("<u8")
+
+
+def pairs_counted(rows: DataFrame, ranges: int, own: range, least: float) -> DataFrame:
+    """Of the pairs in the ranges ``own``, and of the triples that begin with them, the training counts back to each block that has them; of their first words, the pairs and their counts to the words' ranges."""
+
+    def pack(batches):
+        for _, _, _, train, h, at in _blocks(batches):
+            g, name, learn = Grams(h, at, ranges, own), _name(h), np.repeat(train, np.diff(at))
+            n2 = np.bincount(g.pair[learn & (g.pair >= 0)], minlength=len(g.pairs))
+            n3 = np.bincount(g.triple[learn & (g.triple >= 0)], minlength=len(g.third))
+            after = np.bincount(g.context, minlength=len(g.pairs))
+            for r, p, t in g.places():
+                runs = np.flatnonzero(np.append(True, np.diff(g.first[p]) != 0))  # pairs stand by first word
+                yield _message(PAIRS, r, name, g.first[p][runs].tobytes(), _short(g.pairs[p], 7), _squeeze(n2[p]), _squeeze(after[p]), _short(g.third[t], 6), _squeeze(n3[t]), _squeeze(np.diff(np.append(runs, len(p)))))
+
+    def total(batches):
+        for rows in _groups(batches):
+            first = np.repeat(_joined(rows, "a", _hashes)[0], _joined(rows, "g", _spread)[0])
+            pair, edge2 = _joined(rows, "b", lambda b: _long(b, 7))
+            n2, n3, after = (_joined(rows, c, _spread)[0] for c in "cfd")
+            third, edge3 = _joined(rows, "e", lambda b: _long(b, 6))
+            _, begin, place2 = np.unique(pair, return_index=True, return_inverse=True)
+            n2 = np.bincount(place2, n2, len(begin)).astype(np.int64)
+            place3 = np.repeat(place2, after)
+            order = np.lexsort((third, place3))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(place3[order]) != 0) | (np.diff(third[order]) != 0)
+            where = np.empty(len(order), np.int64)
+            where[order] = np.cumsum(new) - 1
+            n3 = np.bincount(where, n3, int(new.sum())).astype(np.int64)
+            n3[n3 < least] = 0
+            context = place3[order][new]
+            kept, types = np.bincount(context, n3, len(begin)).astype(np.int64), np.bincount(context[n3 > 0], minlength=len(begin))
+            for k, r in enumerate(rows):
+                p, t = place2[edge2[k] : edge2[k + 1]], where[edge3[k] : edge3[k + 1]]
+                yield _message(PAIRS_BACK, r["at"], r["to"], _squeeze(n2[p]), _squeeze((n2 - kept)[p]), _squeeze(types[p]), _squeeze(n3[t]))
+            had = (n2 > 0) & (n2 >= least)
+            word, place = np.unique(first[begin][had], return_inverse=True)
+            of, n = _range(word, ranges), np.bincount(place, n2[had], len(word)).astype(np.int64)
+            types = np.bincount(place, minlength=len(word))
+            for q in np.unique(of).tolist():
+                w = of == q
+                yield _message(PART, q, 0, word[w].tobytes(), _squeeze(n[w]), _squeeze(types[w]))
+
+    return _dealt(rows.mapInArrow(pack, MESSAGE), len(own)).mapInArrow(total, MESSAGE)
+
+
+def words_counted(rows: DataFrame, parts: DataFrame, ranges: int) -> DataFrame:
+    """Of the words of each block the training counts, and the pairs that begin with them and their counts, back to the block; how many words training has (SEEN)."""
+
+    def pack(batches):
+        for _, _, _, train, h, at in _blocks(batches):
+            name, (words, word) = _name(h), np.unique(h, return_inverse=True)
+            n = np.bincount(word[np.repeat(train, np.diff(at))], minlength=len(words))
+            for r, w in _word_places(words, ranges):
+                yield _message(WORDS, r, name, words[w].tobytes(), _squeeze(n[w]))
+
+    def total(batches):
+        for rows in _groups(batches):
+            asked, pairs = ([r for r in rows if r["kind"] == k] for k in (WORDS, PART))
+            if not asked:
+                continue
+            word, edge = _joined(asked, "a", _hashes)
+            known, place = np.unique(word, return_inverse=True)
+            n = np.bincount(place, _joined(asked, "b", _spread)[0], len(known)).astype(np.int64)
+            kept, types = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+            for r in pairs:
+                at = np.searchsorted(known, _hashes(r["a"]))
+                kept[at] += _spread(r["b"])
+                types[at] += _spread(r["c"])
+            yield _message(SEEN, 0, int(((n > 0) & (known != START_HASH)).sum()))
+            for k, r in enumerate(asked):
+                p = place[edge[k] : edge[k + 1]]
+                yield _message(WORDS_BACK, r["at"], r["to"], _squeeze(n[p]), _squeeze((n - kept)[p]), _squeeze(types[p]))
+
+    return _dealt(rows.mapInArrow(pack, MESSAGE).unionAll(parts), ranges).mapInArrow(total, MESSAGE)
+
+
+def _backoff(n: np.ndarray, lost: np.ndarray, types: np.ndarray) -> np.ndarray:
+    """Weights of the failure arcs of contexts seen n times, ``lost`` of them before n-grams that are left out."""
+    return np.where(n > 0, np.maximum((lost + DISCOUNT * types) / np.maximum(n, 1), 1e-12), 1.0)
+
+
+def traversed(rows: DataFrame, back: DataFrame, ranges: int, blocks: int, least: float, n: int, v: int) -> DataFrame:
+    """Each text's way through the automaton, with the arcs' counts that its block got back."""
+    floor = math.log10(n + 0.5 * (v + 1)) if n or v else math.log10(0.5)
+
+    def pack(batches):
+        for ids, null, held_out, _, h, at in _blocks(batches):
+            words, word = np.unique(h, return_inverse=True)
+            yield _message(TEXTS, _name(h), 0, ids.astype("<i8").tobytes(), (null | held_out.astype(np.uint8) << 1).astype(np.uint8).tobytes(), at.astype("<i8").tobytes(), words.tobytes(), word.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : 3 if len(words) < 1 << 24 else 4].tobytes())
+
+    def run(batches):
+        for rows in _groups(batches):
+            answers = {(r["kind"], r["at"]): r for r in rows if r["kind"] != TEXTS}
+            for r in (r for r in rows if r["kind"] == TEXTS):
+                ids, flags, at, words = (np.frombuffer(r[c], t) for c, t in zip("abcd", ("<i8", np.uint8, "<i8", U64), strict=True))
+                width = 3 if len(words) < 1 << 24 else 4
+                word = np.zeros((len(r["e"]) // width, 4), np.uint8)
+                word[:, :width] = np.frombuffer(r["e"], np.uint8).reshape(-1, width)
+                g = Grams(words[word.reshape(-1).view("<u4")], at, ranges)
+                one, lost1, types1 = np.zeros((3, len(g.words)), np.int64)
+                two, lost2, types2 = np.zeros((3, len(g.pairs)), np.int64)
+                three = np.zeros(len(g.third), np.int64)
+                for k, w in _word_places(g.words, ranges):
+                    a = answers[WORDS_BACK, k]
+                    one[w], lost1[w], types1[w] = (_spread(a[c]) for c in "abc")
+                for k, p, t in g.places():
+                    a = answers[PAIRS_BACK, k]
+                    two[p], lost2[p], types2[p], three[t] = (_spread(a[c]) for c in "abcd")
+                k = np.flatnonzero(g.pair >= 0)
+                n1, n2 = one[g.word[k - 1]], two[g.pair[k]]
+                logs = np.log10(one[g.word[k]] + 0.5)
+                chance = np.where((n2 > 0) & (n2 >= least), (n2 - DISCOUNT) / np.maximum(n1, 1), 0) + _backoff(one, lost1, types1)[g.word[k - 1]] * 10 ** (logs - floor)
+                deep = g.triple[k] >= 0
+                context, n3 = g.pair[k[deep] - 1], three[g.triple[k[deep]]]
+                chance[deep] = np.where(n3 > 0, (n3 - DISCOUNT) / np.maximum(two[context], 1), 0) + _backoff(two, lost2, types2)[context] * chance[deep]
+                tokens = np.diff(at) - 1
+                begin = np.cumsum(tokens) - tokens
+                known = np.add.reduceat(one[g.word[k]] > 0, begin, dtype=np.int64)
+                base, score = np.add.reduceat(logs, begin) - tokens * floor, np.add.reduceat(np.log10(chance), begin)
+                columns = [pa.array(ids, mask=flags & 1 > 0), pa.array(flags & 2 > 0), *map(pa.array, (tokens, known, np.full(len(ids), n), base, score))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return _dealt(rows.mapInArrow(pack, MESSAGE).unionAll(back), blocks).mapInArrow(run, SCORED)
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def tokens(rows: DataFrame) -> tuple[int, int]:
+    """Of all texts with their starts, and of the training texts without."""
 
     def run(batches):
-        single, ones, double, triple, n, v = held.value
-        automaton = Automaton(ones, double, triple, n, v)
-        logs = automaton.logs
         for batch in batches:
-            out = [[], [], [], [], []]
-            for _, _, h, at in _slices(batch):
-                ids = _ids(single, h)
-                ids_list, begins = ids.tolist(), at.tolist()
-                out[0].append(np.diff(at) - 1)
-                plain = np.where((ids >= 0) & (ids != START), logs[ids], 0.0)
-                out[1].append(np.add.reduceat(plain, at[:-1]))
-                out[2].append(np.add.reduceat((ids > START) & (ones[ids] > 0), at[:-1], dtype=np.int64))
-                out[3].append(np.add.reduceat(ids < 0, at[:-1], dtype=np.int64))
-                out[4].append([automaton.traverse(ids_list[a + 1 : b]) for a, b in zip(begins[:-1], begins[1:], strict=True)])
-            joined = [np.concatenate([np.zeros(0), *x]) for x in out]
-            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), batch.column("held_out"), *(pa.array(x).cast(t) for x, t in zip(joined, kinds, strict=True))], ["doc_id", "uid", "held_out", "n_tokens", "logs", "known", "rare", "score"])
-
-    whole = rows.select("doc_id", "uid", "held_out", "text").mapInArrow(run, "doc_id long, uid long, held_out boolean, n_tokens long, logs double, known long, rare long, score double")
-    zero = lambda kind: F.lit(None).cast(kind)
-    parts = whole.select("doc_id", "uid", "held_out", "n_tokens", "logs", "known", "rare", "score", F.lit(1).alias("copies"), F.lit(0.0).alias("rare_logs"), F.lit(0).cast("long").alias("rare_known")).unionAll(
-        rare_sums(sums, ranges).select("doc_id", "uid", zero("boolean"), zero("long"), zero("double"), zero("long"), zero("long"), zero("double"), F.lit(0), "rare_logs", "rare_known")
-    )
-    # copies of one row have equal figures; the rare words' sums hold all copies
-    one = parts.groupBy("doc_id", "uid").agg(*(F.max(c).alias(c) for c in ("held_out", "n_tokens", "logs", "known", "rare", "score")), F.sum("copies").alias("copies"), F.sum("rare_logs").alias("rare_logs"), F.sum("rare_known").alias("rare_known"))
-    one = one.withColumn("rare_logs", F.col("rare_logs") / F.col("copies")).withColumn("rare_known", (F.col("rare_known") / F.col("copies")).cast("long"))
-    floor = math.log10(n + 0.5 * (v + 1)) if n or v else math.log10(0.5)
-    return one.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.col("rare_known")).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.col("rare_logs") - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
-        (F.col("score") + F.col("rare_logs") - F.col("rare") * F.lit(floor)).alias("score"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-    ).drop("copy")
+            train = np.asarray(batch.column("train"))
+            for i, j, h, at in _slices(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([len(h)]), pa.array([int((np.diff(at) - 1)[train[i:j]].sum())])], ["every", "n"])
+
+    found = rows.mapInArrow(run, "every long, n long").agg(F.sum("every"), F.sum("n")).first()
+    return found[0] or 0, found[1] or 0
+
+
+def _release(spark: SparkSession) -> None:
+    """Shuffle files go only when the driver collects the frames that made them: Python's first, then the JVM's."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def scored(docs: DataFrame, share: float = 0.0) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Pairs and triples under ``share`` of the training tokens are left out."""
+    spark, rows = docs.sparkSession, _rows(docs)
+    every, n = tokens(rows)
+    ranges, blocks = max(RANGES, -(-every // ENTRIES)), max(spark.sparkContext.defaultParallelism, -(-every // BLOCK))
+    waves = []
+    for k in range(WAVES):
+        waves.append(cut(pairs_counted(rows, ranges, range(k * ranges // WAVES, (k + 1) * ranges // WAVES), share * n)))
+        _release(spark)
+    pairs = reduce(DataFrame.unionAll, waves)
+    words = cut(words_counted(rows, pairs.filter(F.col("kind") == PART), ranges))
+    _release(spark)
+    v = words.filter(F.col("kind") == SEEN).agg(F.sum("at")).first()[0] or 0
+    back = pairs.filter(F.col("kind") == PAIRS_BACK).unionAll(words.filter(F.col("kind") == WORDS_BACK))
+    return traversed(rows, back, ranges, blocks, share * n, n, int(v))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -330,6 +330,25 @@ def test_lm_base_score_and_normalisation(spark):
     assert lm.scored(frame(spark, [])).count() == 0
 
 
+def test_lm_keeps_every_ngram(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(0, 30)))) for i in range(300)]
+    train = [split(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    ids = {w: k for k, w in enumerate(sorted({w for t in train for w in t}), 2)}
+    size = len(ids) + 2
+    ones, double, triple = np.zeros(size, np.int64), Counter(), Counter()
+    for t in train:
+        way = [lm.START, *(ids[w] for w in t), lm.END]
+        np.add.at(ones, way, 1)
+        double.update(a * size + b for a, b in zip(way, way[1:], strict=False))
+        triple.update((a * size + b) * size + d for a, b, d in zip(way, way[1:], way[2:], strict=False))
+    assert min(triple.values()) == 1
+    whole = lm.Automaton(ones, double, triple, int(ones[1:].sum()), size - 1)
+    got = {r["doc_id"]: r["score"] for r in lm.scored(frame(spark, rows).repartition(5, "doc_id")).collect()}
+    assert len(got) == len(rows)
+    assert all(abs(got[i] - whole.traverse([*(ids[w] for w in split(t)), lm.END])) < 1e-6 for i, t in rows)
+
+
 def test_automaton_sums_to_one_and_follows_counts():
     rng = random.Random(8)
     texts = [[rng.randint(2, 6) for _ in range(rng.randint(0, 12))] for _ in range(60)]
