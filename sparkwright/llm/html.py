@@ -31,11 +31,14 @@ TRAINING_PAGES, STEPS, RATE, L2 = 300, 120, 0.2, 1e-3
 
 #: Elements by the HTML standard.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-HIDDEN = "script|style|noscript|template|textarea|select|svg|iframe|object|math"
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object param svg".split())
+#: Of MathML, whose text is part of the line that it stands in.
+INLINE |= set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced maction msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd mlabeledtr semantics annotation annotation-xml".split())
+HIDDEN = "script|style|noscript|template|textarea|select|svg|iframe"
+ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 
 TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<hidden>{HIDDEN})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=hidden)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?!svg(?=[\s/]){ATTRIBUTES}(?<=/)>)(?P<hidden>{HIDDEN})(?=[\s/>]){ATTRIBUTES}>.*?(?:</(?P=hidden)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][\w:-]*)(?P<attributes2>[^>]*+)>|<[!?][^>]*+>",
     re.S | re.I,
 )

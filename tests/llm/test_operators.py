@@ -248,6 +248,15 @@ def test_html(spark):
     assert len(got) == 7 and all(r["n_chars"] == len(r["text"]) for r in got) and {r["text"] for r in got if r["page_id"] in (1, 2, 5)} == {""}
 
 
+def test_html_only_hidden_elements_are_dropped():
+    texts = lambda page: [t for t, *_ in html.leaf_blocks(page)]
+    assert texts('<article><p>one <svg class="i"/> two</p><p>three</p></article>') == ["one two", "three"]
+    assert texts("<p>a <math/> b <object data='x'/> c <SVG/> d</p><p>e</p>") == ["a b c d", "e"]
+    assert texts("<select-box>one</select-box><p>two</p><object-x>three</object-x><template-x>four</template-x>") == ["one", "two", "three", "four"]
+    assert texts("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then <object><param name=a>plain</object> text</p>") == ["if x=1 then plain text"]
+    assert texts("<p>a<svg viewBox='0 0 1 1'><text>no</text></svg><script>no</script><select><option>no</select>b</p><style/>no</style>c") == ["ab", "c"]
+
+
 def test_viterbi_is_the_best_path():
     model = html.train()
     e = html.Extractor(model)
