@@ -151,6 +151,12 @@ def num_bitwise(spark, d):
     return table(spark, d, "part").filter("p_size < 41").select("p_partkey", k.bitwiseAND(F.col("p_size")).alias("a"), k.bitwiseOR(F.col("p_size")).alias("o"), F.bitwise_not(k).alias("n"), S.shift_left(k % 8, "p_size").alias("l"), S.shift_right(k, 2).alias("r"))
 
 
+@entry("SELECT p_partkey, p_partkey & p_size AS a, p_partkey | p_size AS o, ~p_partkey AS n, CASE WHEN p_size >= 64 THEN 0 ELSE (p_partkey % 8) << p_size END AS l, p_partkey >> 2 AS r FROM part")
+def num_bitwise_all(spark, d):
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select("p_partkey", k.bitwiseAND(F.col("p_size")).alias("a"), k.bitwiseOR(F.col("p_size")).alias("o"), F.bitwise_not(k).alias("n"), S.shift_left(k % 8, "p_size").alias("l"), S.shift_right(k, 2).alias("r"))
+
+
 @entry("SELECT p_partkey, round(p_retailprice, 1) AS r, CAST(sign(p_size - 20) AS BIGINT) AS s, abs(p_size - 20) AS a, CASE WHEN p_size % 2 = 0 THEN NULL ELSE greatest(p_size, 10) END AS g, CAST(trunc((p_size - 20) / 7) AS DOUBLE) AS t FROM part")
 def num_round(spark, d):
     p = F.col("p_size")
@@ -174,6 +180,11 @@ def math_gcd_lcm(spark, d):
     return table(spark, d, "lineitem").filter("l_orderkey < 500").select("l_orderkey", "l_linenumber", S.gcd("l_partkey", "l_suppkey").alias("g"), S.lcm("l_partkey", "l_suppkey").alias("l"))
 
 
+@entry("SELECT l_orderkey, l_linenumber, CAST(gcd(l_partkey, l_suppkey) AS BIGINT) AS g, CAST(lcm(l_partkey, l_suppkey) AS BIGINT) AS l FROM lineitem")
+def math_gcd_lcm_all(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.gcd("l_partkey", "l_suppkey").alias("g"), S.lcm("l_partkey", "l_suppkey").alias("l"))
+
+
 @entry()
 def net_ip(spark, d):
     rows = readers.values(spark, [("192.168.16.5/20", "192.168.31.9"), ("10.0.0.1/8", "11.0.0.1"), ("::1", "1.2.3.4")], "a string, b string")

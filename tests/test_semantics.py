@@ -173,3 +173,21 @@ def test_triggers(spark):
     assert sorted((r.event, (r.new or r.old).id) for r in changes.collect()) == [("delete", 4), ("insert", 5), ("update", 2), ("update", 3)]
     log = [T.Trigger("update", {"id": F.col("new.id"), "was": F.col("old.v")}, of=["v"]), T.Trigger("delete", {"id": F.col("old.id"), "was": F.col("old.v")}, F.col("old.v") > 9)]
     assert [tuple(r) for r in T.fired(changes, log).collect()] == [(2, None)]
+
+
+def _table(spark, folder, name, rows, kind):
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_gcd_and_bits_of_every_row(spark, tmp_path):
+    import math
+
+    from sparkwright import plans
+
+    rows = [(k, 1, k * 7 % 90 + 1, k * 11 % 60 + 1) for k in range(1, 1500, 7)]
+    d = _table(spark, tmp_path, "lineitem", rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
+    assert sorted(map(tuple, plans.QUERIES["math_gcd_lcm_all"](spark, d).collect())) == [(k, n, math.gcd(a, b), math.lcm(a, b)) for k, n, a, b in rows]
+    parts = [(k, k % 50 + 1) for k in range(1, 200)]
+    d = _table(spark, tmp_path, "part", parts, "p_partkey long, p_size int")
+    assert sorted(map(tuple, plans.QUERIES["num_bitwise_all"](spark, d).collect())) == [(k, k & s, k | s, ~k, k % 8 << s, k >> 2) for k, s in parts]
