@@ -343,6 +343,12 @@ def recursive_queue_order(spark, d):
     return R.walk(p, spark.range(1), depth_first=True).select("id", "depth")
 
 
+@entry("WITH RECURSIVE t(id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT p_partkey, depth + 1 FROM t JOIN part ON p_partkey // 3 = id AND p_partkey > 0) SELECT id, depth FROM t")
+def recursive_queue_order_all(spark, d):
+    p = table(spark, d, "part").filter("p_partkey > 0").select(F.floor(F.col("p_partkey") / 3).alias("parent"), F.col("p_partkey").alias("child"))
+    return R.walk(p, spark.range(1), depth_first=True).select("id", "depth")
+
+
 @entry("SELECT CAST(unnest(generate_series(20, 3, -4)) AS BIGINT) AS value")
 def generate_series_desc(spark, d):
     return readers.generate_series(spark, 20, 3, -4)

@@ -191,3 +191,16 @@ def test_gcd_and_bits_of_every_row(spark, tmp_path):
     parts = [(k, k % 50 + 1) for k in range(1, 200)]
     d = _table(spark, tmp_path, "part", parts, "p_partkey long, p_size int")
     assert sorted(map(tuple, plans.QUERIES["num_bitwise_all"](spark, d).collect())) == [(k, k & s, k | s, ~k, k % 8 << s, k >> 2) for k, s in parts]
+
+
+def test_queue_order_walks_every_part(spark, tmp_path):
+    from sparkwright import plans
+
+    d = _table(spark, tmp_path, "part", [(k, 1) for k in range(1, 1000)], "p_partkey long, p_size int")
+
+    def tree(k, depth=0):
+        yield k, depth
+        for child in range(max(1, 3 * k), min(1000, 3 * k + 3)):
+            yield from tree(child, depth + 1)
+
+    assert list(map(tuple, plans.QUERIES["recursive_queue_order_all"](spark, d).collect())) == list(tree(0))
