@@ -73,6 +73,7 @@ BOTH = {
     "win_correlated_subquery": "SELECT o_orderkey, (SELECT max(r) FROM (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS BIGINT) AS r FROM lineitem) x WHERE x.l_orderkey = o.o_orderkey) AS lines FROM orders o",
     # order, limit, sets
     "sort_nulls_last": "SELECT k, v FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer) t ORDER BY v DESC NULLS LAST, k LIMIT 700",
+    "sort_nulls_last_all": "SELECT k, v FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer) t ORDER BY v DESC NULLS LAST, k",
     "topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "limit_offset": "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 20 OFFSET 35",
     "union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier",
@@ -122,6 +123,7 @@ BOTH = {
 }
 
 PAIRS = {
+    "agg_mode_all": ("SELECT o_custkey, mode() WITHIN GROUP (ORDER BY o_orderpriority) AS m FROM orders GROUP BY o_custkey", "SELECT o_custkey, o_orderpriority AS m FROM (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY count(o_orderpriority) DESC, o_orderpriority) AS r FROM orders GROUP BY o_custkey, o_orderpriority) t WHERE r = 1"),
     "agg_bare_column_max": ("SELECT p_brand, max(p_retailprice) AS top, max_by(p_partkey, struct(p_retailprice, -p_partkey)) AS p_partkey FROM part GROUP BY p_brand", "SELECT p_brand, p_retailprice AS top, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part) t WHERE k = 1"),
     "filter_like_ci": ("SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%O%' AND p_name NOT ILIKE 'a!_%' ESCAPE '!'", None),
     "filter_regexp": ("SELECT p_partkey, p_name FROM part WHERE p_name RLIKE '[aeiou]{2}'", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '[aeiou]{2}')"),

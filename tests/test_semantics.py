@@ -204,3 +204,15 @@ def test_queue_order_walks_every_part(spark, tmp_path):
             yield from tree(child, depth + 1)
 
     assert list(map(tuple, plans.QUERIES["recursive_queue_order_all"](spark, d).collect())) == list(tree(0))
+
+
+def test_sort_returns_nulls_and_mode_counts(spark, tmp_path):
+    from sparkwright import plans
+
+    rows = [(k, float(k * 37 % 500)) for k in range(1, 1201)]
+    d = _table(spark, tmp_path, "customer", rows, "c_custkey long, c_acctbal double")
+    want = sorted(((k, v if k % 3 else None) for k, v in rows), key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert list(map(tuple, plans.QUERIES["sort_nulls_last_all"](spark, d).collect())) == want
+    orders = [(1, "5"), (1, "5"), (1, "1"), (2, "4"), (2, "3"), (3, None), (3, "2"), (3, None), (4, None)]
+    d = _table(spark, tmp_path, "orders", orders, "o_custkey long, o_orderpriority string")
+    assert sorted(map(tuple, plans.QUERIES["agg_mode_all"](spark, d).collect())) == [(1, "5"), (2, "3"), (3, "2"), (4, None)]
