@@ -1,12 +1,12 @@
-"""What the operators share: columns, folds and cutting lineage."""
+"""What the operators share: columns, folds, samples and cutting lineage."""
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,10 +23,13 @@ def fold(column, of: int):
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own only where none is set."""
+    """The folder that all executors share: spark.checkpoint.dir. Only in local mode, where there is one machine, one of our own if none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkwright-"))
+        own = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not own and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="sparkwright-"))
     return sc.getCheckpointDir()
 
 
@@ -37,7 +40,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def chosen(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """A bounded sample for fitting: the ``most`` rows whose key hashes lowest. Only hashes are gathered for the cut, never texts."""
+    """A bounded sample for fitting: the ``most`` keys that hash lowest, one row each (of repeated keys the row that sorts first).
+
+    Each task finds its lowest distinct hashes, so that neither texts nor all keys are gathered to find the cut.
+    """
+
+    def lowest(batches):
+        held = np.zeros(0, np.int64)
+        for batch in batches:
+            held = np.unique(np.concatenate([held, np.asarray(batch.column(0))]))[:most]
+        yield pa.RecordBatch.from_arrays([pa.array(held)], ["h"])
+
     order = F.xxhash64(F.col(key))
-    edge = rows.select(order.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    return rows.filter(order <= F.lit(edge)) if edge is not None else rows.limit(0)
+    few = rows.select(order.alias("h")).mapInArrow(lowest, "h long").distinct().orderBy("h").limit(most)
+    edge = few.agg(F.max("h")).first()[0]
+    if edge is None:
+        return rows.limit(0)
+    rest = [c for c in rows.columns if c != key]
+    one = rows.filter(order <= F.lit(edge)).groupBy(key)
+    return one.agg(F.min(F.struct(*rest)).alias("row")).select(key, "row.*") if rest else one.agg(F.count("*").alias("n")).select(key)

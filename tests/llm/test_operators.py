@@ -184,7 +184,7 @@ def test_sketch_fills_and_estimates():
 
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(9)
-    items = [(k, prose(rng, rng.randint(3, 50))) for k in range(12)] + [(50, None), (51, "")]
+    items = [(k, prose(rng, k + 1 if k < 5 else rng.randint(3, 50))) for k in range(12)] + [(50, None), (51, ""), (52, "alpha beta gamma")]
     docs = []
     for i in range(40):
         own = prose(rng, rng.randint(0, 80)).split()
@@ -195,22 +195,24 @@ def test_decontamination_equals_brute_force(spark):
             at = rng.randint(0, len(own))
             own[at:at] = item
         docs.append((i, " ".join(own)))
+    docs += [(100, "x y z Alpha beta\ngamma w v u t"), (101, "alpha beta gamma"), (102, "alpha beta"), (103, "alpha beta x gamma " * 50), (104, prose(rng, 9000) + " " + " ".join(items[11][1].split()[:-2]))]
 
-    def grams(w):
-        return Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)]) if w else Counter()
+    def grams(w, unit):
+        return Counter(tuple(w[k : k + unit]) for k in range(len(w) - unit + 1)) if len(w) >= unit else Counter([tuple(w)]) if w else Counter()
 
     want = {}
     for i, t in docs:
         w = split(t)
         for k, item in items:
             m = split(item)
-            own = grams(m)
+            unit = min(5, max(1, len(m)))
+            own = grams(m, unit)
             best = 0
             for s in range(max(1, len(w) - len(m) + 1)):
-                g = grams(w[s : s + len(m)])
+                g = grams(w[s : s + len(m)], unit)
                 if m and sum((g | own).values()):
                     best = max(best, sum((g & own).values()) / sum((g | own).values()))
-            if best >= 0.75 and not (len(m) < 5 and len(w) >= 5):
+            if best >= 0.75:
                 want[i, k] = round(best, 9)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in decontam.contaminated(frame(spark, docs), bench).collect()}
@@ -220,14 +222,39 @@ def test_decontamination_equals_brute_force(spark):
     assert decontam.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
 
 
-def test_blocks_lose_nothing_within_the_radius():
+def test_hamming_index_proposes_all_within_the_radius_and_few_others():
     rng = np.random.default_rng(2)
-    for _ in range(300):
-        a = rng.integers(0, 2**63, 1).astype(np.uint64)
-        b = a.copy()
-        for bit in rng.choice(64, decontam.RADIUS, replace=False):
-            b ^= np.uint64(1) << np.uint64(bit)
-        assert (decontam.block_values(a) == decontam.block_values(b)).any()
+    index = decontam.Index([(k, " ".join(f"w{x}" for x in rng.integers(0, 10**9, 40))) for k in range(60)])
+    bits = np.unpackbits(index.prints.astype("<u2").view(np.uint8), axis=1, bitorder="little")
+    for _ in range(200):
+        k, turned = int(rng.integers(60)), bits[0].copy()
+        turned = bits[k].copy()
+        turned[rng.choice(256, decontam.RADIUS, replace=False)] ^= 1
+        prints = np.packbits(turned[None], axis=1, bitorder="little").view("<u2").astype(np.uint32)
+        assert decontam.apart(prints[0], index.prints[k]) == decontam.RADIUS
+        assert any(k in item for _, item in index.proposals(0, prints))
+    strange = rng.integers(0, 1 << 16, (500, decontam.BLOCKS)).astype(np.uint32)
+    share = sum(len(w) for w, _ in index.proposals(0, strange)) / (500 * 60)
+    assert 0.12 < share < 0.2
+
+
+def test_windows_at_the_least_similarity_are_recalled():
+    rng, found, total = np.random.default_rng(5), 0, 0
+    for size in (12, 30, 60, 150, 400):
+        for _ in range(60):
+            words = [f"w{x}" for x in rng.integers(0, 10**9, size)]
+            index = decontam.Index([(1, " ".join(words))])
+            changed, n = list(words), size - 4
+            for _ in range(50):  # as many words changed as the similarity allows
+                trial = list(changed)
+                trial[int(rng.integers(size))] = f"x{rng.integers(10**9)}"
+                both = len({tuple(words[k : k + 5]) for k in range(n)} & {tuple(trial[k : k + 5]) for k in range(n)})
+                if both * 100 >= (2 * n - both) * 75:
+                    changed = trial
+            total += 1
+            text = " ".join([*(f"y{x}" for x in rng.integers(0, 10**9, 30)), *changed])
+            found += len(list(decontam.scan(pa.array([text]), index)))
+    assert found == total
 
 
 # --- 5 ---
