@@ -1,19 +1,20 @@
 """Exact top-k search: exhaustive term-at-a-time accumulation in blocks.
 
 A component of a vector is a term, its value in a candidate the posting's weight.
-Candidates are packed into blocks, as they are read, without a shuffle; queries into
-blocks of at most QUERY_ROWS rows. Each pair of blocks is one step: for each
-term, the query rows that have it scatter their weight times the posting list into a dense
-score array (queries by candidates). Partition selection keeps the k best of each query
-in the block; the blocks' lists are merged by a window.
-
-Blocks of candidates meet the query blocks by an equi-join on the query block's number.
-The query blocks are broadcast only when counted to be within BROADCAST_BYTES; otherwise each is
-copied SALTS times and joined by shuffle, so that no key holds all candidates.
-
-Defined results: vectors null, empty-by-null components or non-finite take no part; a vector of another length
-than the query's scores over the components that both have; a query's own row is not a candidate for it
-(same vec_id); a null vec_id takes no part; repeated vec_ids are candidates each; ties go to the smaller vec_id.
+Queries are taken in chunks of at most CHUNK_BYTES, each sent to all tasks; candidates are read
+where they lie, without a shuffle, in blocks of at most BLOCK_BYTES. A block's posting lists
+are made once. For each term, the query rows that have it scatter their weight times the posting
+list into a dense score array (queries by candidates). Partition selection keeps the best of each query
+in the block, which are merged into the task's lists; a window merges the tasks' lists.
+
+A query's own row is one of the candidates, so that one more than k are kept, and one entry with
+the query's id and the score of the query with itself goes if it is among them: rows of equal id and
+score give equal results, whichever of them goes. Equal queries are searched for once and returned each.
+
+Defined results: vectors null, with null or with non-finite components take no part; a vector of another length
+than the query's scores over the components that both have; a null vec_id takes no part; repeated vec_ids are
+candidates each, also for one another, and queries each, with ranks of their own; ties go to the smaller vec_id; only vec_id and
+embedding are read, whatever other columns there are; an empty table gives no rows.
 """
 
 import numpy as np
@@ -22,10 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .shared import documents
+from .shared import cut, documents
 
-QUERY_ROWS, CANDIDATE_ROWS, SALTS = 1024, 8192, 16
-BROADCAST_BYTES = 32 << 20
+#: Bytes of queries sent at once; of a block of candidates; of the dense score array.
+CHUNK_BYTES, BLOCK_BYTES, SCORE_BYTES = 16 << 20, 4 << 20, 1 << 20
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -35,30 +36,40 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & finite).select("vec_id", F.transform("x", lambda x: F.floor(x * scale)).alias("v"))
 
 
-def _packed(ids, rows):
-    width = max(map(len, rows), default=0)
-    out = np.zeros((len(rows), width), np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
-    return np.asarray(ids, np.int64), out
-
-
-def _matrix(batch):
-    lists = batch.column("v")
-    flat, at = np.asarray(lists.flatten()), np.asarray(lists.offsets) - lists.offsets[0].as_py()
-    return _packed(np.asarray(batch.column("vec_id")), [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
-
-
-def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Integer inner products, term at a time."""
-    scores = np.zeros((len(queries), len(candidates)), np.int64)
-    for term in range(min(queries.shape[1], candidates.shape[1])):
-        postings = np.flatnonzero(candidates[:, term])
-        rows = np.flatnonzero(queries[:, term])
-        if len(postings) == len(candidates) and len(rows) == len(queries):
-            scores += queries[:, term, None] * candidates[None, :, term]
-        elif len(postings) and len(rows):
-            scores[np.ix_(rows, postings)] += queries[rows, term, None] * candidates[None, postings, term]
+def matrix(lists) -> np.ndarray:
+    """An Arrow column of lists as rows of one width, with zeros where a list is shorter."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    flat, at = np.asarray(lists.flatten()), np.asarray(lists.offsets)
+    at, size = at - at[0], np.diff(at)
+    width = int(size.max()) if len(size) else 0
+    if (size == width).all():
+        return flat.reshape(len(size), width)
+    out = np.zeros((len(size), width), np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    out[row, np.arange(len(flat)) - np.repeat(at[:-1], size)] = flat
+    return out
+
+
+def postings(candidates: np.ndarray) -> list[tuple[np.ndarray | None, np.ndarray]]:
+    """For each term the candidates that have it (None: all) and their weights."""
+    out = []
+    for column in np.ascontiguousarray(candidates.T):
+        have = np.flatnonzero(column)
+        out.append((None, column) if len(have) == len(column) else (have, column[have]))
+    return out
+
+
+def accumulate(queries: np.ndarray, lists, n: int) -> np.ndarray:
+    """Integer inner products of queries and n candidates, term at a time."""
+    scores = np.zeros((len(queries), n), np.int64)
+    for weights, (have, values) in zip(queries.T, lists, strict=False):
+        rows = np.flatnonzero(weights)
+        if have is None and len(rows) == len(weights):
+            scores += weights[:, None] * values
+        elif len(rows) and len(values):
+            at = np.ix_(rows, np.arange(n) if have is None else have)
+            scores[at] += weights[rows, None] * values
     return scores
 
 
@@ -76,48 +87,67 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return places[np.lexsort((ids[places], -scores[places]))]
 
 
+class Lists:
+    """The k best candidates so far of each of n queries; empty places have found False."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.ids, self.scores, self.found = k, np.zeros((n, k), np.int64), np.zeros((n, k), np.int64), np.zeros((n, k), bool)
+
+    def merge(self, query: int, ids: np.ndarray, scores: np.ndarray):
+        own = self.found[query]
+        if own.all() and scores.max(initial=np.iinfo(np.int64).min) < self.scores[query].min():
+            return
+        places = best(scores, ids, self.k)
+        ids, scores = np.concatenate([self.ids[query][own], ids[places]]), np.concatenate([self.scores[query][own], scores[places]])
+        places = best(scores, ids, self.k)
+        self.ids[query, : len(places)], self.scores[query, : len(places)], self.found[query, : len(places)] = ids[places], scores[places], True
+
+
+def chunks(queries: DataFrame):
+    """Distinct queries in bounded parts, by ranges of a hash: ids, times that each occurs, vectors."""
+    n, size = queries.agg(F.count("*"), F.sum(F.size("v") * 8 + 24)).first()
+    parts = -(-int(size or 0) // CHUNK_BYTES)
+    queries = cut(queries.groupBy("vec_id", "v").agg(F.count("*").alias("times")))  # a query and its hash stay the same in all scans
+    for k in range(parts):
+        own = queries.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)) == k).toArrow().sort_by([("vec_id", "ascending")])
+        if own.num_rows:
+            yield np.asarray(own["vec_id"]), np.asarray(own["times"]), matrix(own["v"])
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k best candidates; both inputs as from quantised()."""
-    n, width = queries.agg(F.count("*"), F.max(F.size("v"))).first()
-    blocks = max(1, -(-n // QUERY_ROWS))
-    per_row = 8 * ((width or 0) + 1)
-
-    def pack(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, CANDIDATE_ROWS):
-                ids, m = _matrix(batch.slice(i, CANDIDATE_ROWS))
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([m.tobytes()]), pa.array([m.shape[1]], pa.int32())], ["ids", "m", "width"])
-
-    packed = candidates.mapInArrow(pack, "ids binary, m binary, width int")
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
-    packed = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    if n * per_row <= BROADCAST_BYTES:
-        pairs = packed.join(F.broadcast(asked), "block")
-    else:
-        salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pairs = packed.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int")).join(salted, ["block", "salt"])
-
-    def score(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[row].as_py(), np.int64)
-                m = np.frombuffer(batch.column("m")[row].as_py(), np.int64).reshape(len(ids), batch.column("width")[row].as_py())
-                own = batch.column("q")[row].values
-                q_ids, q = _matrix(pa.RecordBatch.from_arrays(own.flatten(), ["vec_id", "v"]))
-                out = [[], [], []]
-                for i in range(0, len(q), 128):  # bounds the dense score array at 8 MB
-                    scores = accumulate(q[i : i + 128], m)
-                    for j, query in enumerate(q_ids[i : i + 128]):
-                        others = np.flatnonzero(ids != query)
-                        places = others[best(scores[j, others], ids[others], k)] if len(others) < len(ids) else best(scores[j], ids, k)
-                        out[0].append(np.full(len(places), query))
-                        out[1].append(ids[places])
-                        out[2].append(scores[j, places])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)) for x in out], ["query_id", "vec_id", "score"])
-
-    found = pairs.select("ids", "m", "width", "q").mapInArrow(score, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    """query_id, rank, vec_id, score of each query's k best candidates; both inputs as from quantised(), queries being among the candidates."""
+    sc, out = queries.sparkSession.sparkContext, None
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    for ids, times, vectors in chunks(queries):
+        held = sc.broadcast((ids, vectors))
+
+        def run(batches, held=held):
+            q_ids, q = held.value
+            lists, seen = Lists(len(q), k + 1), False
+            for batch in batches:
+                c_ids, c = np.asarray(batch.column("vec_id")), matrix(batch.column("v"))
+                step = max(1, BLOCK_BYTES // (8 * max(1, c.shape[1])))
+                for i in range(0, len(c), step):
+                    seen = True
+                    own, part = c_ids[i : i + step], postings(c[i : i + step])
+                    rows = max(1, SCORE_BYTES // (8 * len(own)))
+                    for j in range(0, len(q), rows):
+                        for query, scores in enumerate(accumulate(q[j : j + rows], part, len(own)), j):
+                            lists.merge(query, own, scores)
+            if seen:
+                query, place = np.nonzero(lists.found)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (query, lists.ids[query, place], lists.scores[query, place])], ["query", "vec_id", "score"])
+
+        found = candidates.mapInArrow(run, "query long, vec_id long, score long")
+        found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1)
+        asked = queries.sparkSession.createDataFrame(pa.table({"query": np.arange(len(ids)), "query_id": ids, "times": times, "self": (vectors * vectors).sum(axis=1)}))
+        found = found.join(F.broadcast(asked), "query")  # of a chunk, so bounded
+        own = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("self"))
+        first = F.min(F.when(own, F.col("rank"))).over(Window.partitionBy("query"))  # one of its own entries goes
+        found = found.withColumn("own", first).filter("own is null or rank <> own").withColumn("rank", F.when(F.col("rank") > F.col("own"), F.col("rank") - 1).otherwise(F.col("rank"))).filter(F.col("rank") <= k)
+        found = found.withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).select("query_id", "rank", "vec_id", "score")
+        out = found if out is None else out.unionAll(found)
+    return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long") if out is None else out
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,15 +157,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH q AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+  SELECT a.row_id AS query_row, a.vec_id AS query_id, b.vec_id AS vec_id,
          CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+  FROM q a JOIN q b ON a.row_id <> b.row_id WHERE a.vec_id % 50 = 0
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS rank FROM s
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """

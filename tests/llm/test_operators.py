@@ -330,20 +330,25 @@ def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(int(i), [float(x) for x in rng.choice([0.0, 0.5, -0.25, 1.0], 6)]) for i in range(0, 260)]
     rows += [(50, [float("nan")] * 6), (400, None), (450, [0.1, None]), (500, [1.0] * 6), (550, [1.0] * 6), (None, [1.0] * 6)]
+    rows += [(100, [1.0] * 6), (100, [1.0] * 6), (100, [0.5] * 6), (7, [1.0] * 6), (7, [1.0] * 6), (600, [2.0, 2.0]), (650, [])]  # repeated queries and candidates, other lengths
     table = search.quantised(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, score int"))
     good = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
-    want = {}
-    for i, q in good:
+    want = Counter()
+    for a, (i, q) in enumerate(good):
         if i % 50 == 0:
-            want[i] = sorted(((-int(q @ c), j) for j, c in good if j != i))[:5]
-    for most in (search.BROADCAST_BYTES, 0):  # by broadcast and by shuffle
-        old, search.BROADCAST_BYTES = search.BROADCAST_BYTES, most
-        got: dict[int, list] = {}
-        for r in search.top_k(table.filter("vec_id % 50 = 0"), table).orderBy("query_id", "rank").collect():
-            got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
-        search.BROADCAST_BYTES = old
+            found = sorted((-int(q[: len(c)] @ c[: len(q)]), j) for b, (j, c) in enumerate(good) if a != b)[:5]
+            want.update((i, r, j, -s) for r, (s, j) in enumerate(found, 1))
+    for chunk, block, dense in ((search.CHUNK_BYTES, search.BLOCK_BYTES, search.SCORE_BYTES), (300, 200, 100)):
+        old = search.CHUNK_BYTES, search.BLOCK_BYTES, search.SCORE_BYTES
+        search.CHUNK_BYTES, search.BLOCK_BYTES, search.SCORE_BYTES = chunk, block, dense
+        try:
+            got = Counter(map(tuple, search.top_k(table.filter("vec_id % 50 = 0"), table).collect()))
+        finally:
+            search.CHUNK_BYTES, search.BLOCK_BYTES, search.SCORE_BYTES = old
         assert got == want
     assert search.top_k(table.limit(0), table.limit(0)).count() == 0
+    one = table.filter("vec_id = 500")
+    assert search.top_k(one, one).count() == 0
 
 
 # --- 8 ---
