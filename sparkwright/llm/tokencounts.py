@@ -1,18 +1,27 @@
-"""Token counts by a separator scan over flat, unindexed token data.
+"""Token counts by a separator scan over flat, unindexed token files.
 
 A token file is nothing but ids of fixed width, each document ended by one separator.
-It is read in blocks cut anywhere. A block is searched for the separator at once
-(vectorised), which gives the lengths between its separators, the tokens before its
-first and those after its last. A prefix scan over the blocks of a file stitches the
-boundaries: a document that ends in a block also has the tokens that earlier blocks left
-open since the last separator. The scan has two levels, of SPAN blocks and of spans, so that
-a file of any length is not one task's group of blocks.
+It is read by offset in ranges of RANGE_BLOCKS blocks, so that no file is one task's and none is too
+long. A block of BLOCK_TOKENS ids, cut anywhere, is searched for the separator at once (vectorised). Its row has
+the lengths between its separators, how many there are and where the last one stands in the file. A prefix scan
+over the blocks (the number of separators and the greatest place so far) stitches the boundaries: a document that
+ends in a block began after the last separator of an earlier block, and its number is that of the separators before it. The
+scan has two levels, of SPAN blocks and of spans, so that a file of any length is not one task's group.
+
+``write_flat`` makes such files of a corpus in the folder that all executors share: each task writes one
+file of its own name as it encodes, and only the names that successful tasks return are read.
+Files are opened by pyarrow's file systems (local or mounted paths, hdfs, s3, gs).
 
 Counts leave out the separator. Tokens after the last separator of a file are one more
 document, with ``closed`` false. Defined results: an empty file has no documents; two
-separators in a row enclose a document of 0 tokens; a file whose size is no multiple of the id's width raises an error.
+separators in a row enclose a document of 0 tokens; a file whose size is no multiple of the id's width, and a
+separator that is a rank of the vocabulary, raise an error. ``op9``: null and empty texts have 0 tokens;
+null doc_ids and repeated rows have a result each; texts of any length and ids that tie need nothing special; only
+doc_id and text are read, whatever other columns there are; an empty table gives no rows.
 """
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,120 +30,127 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from . import bpe
-from .shared import cut, documents, texts
+from .shared import cut, documents, folder, texts
 
 SEPARATOR = 50256
-BLOCK_TOKENS, SPAN = 1 << 16, 1024
-SCANNED = "file string, block long, lengths array<long>, tail long, ends array<long>"
+BLOCK_TOKENS, RANGE_BLOCKS, SPAN = 1 << 16, 64, 1024
+#: Ranges that a task of the scan gets.
+TASK_RANGES = 4
+SCANNED = "file string, block long, n long, last long, lengths array<long>"
+
 
+def opened(uri: str):
+    """A file system and the path in it."""
+    from pyarrow import fs
 
-def scan_block(ids: np.ndarray, separator: int) -> tuple[np.ndarray, int]:
-    """Tokens before each separator since the one before or the block's start; tokens after the last."""
+    if "://" not in uri and not uri.startswith("file:"):
+        return fs.LocalFileSystem(), uri
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+def scan_block(ids: np.ndarray, separator: int) -> tuple[np.ndarray, int | None]:
+    """Tokens before each separator since the one before or the block's start; the last separator's place."""
     at = np.flatnonzero(ids == separator)
-    if not len(at):
-        return np.zeros(0, np.int64), len(ids)
-    return np.diff(at, prepend=-1) - 1, len(ids) - 1 - int(at[-1])
+    return np.diff(at, prepend=-1) - 1, int(at[-1]) if len(at) else None
 
 
-def scan_blocks(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame:
-    """blocks: file, block, data (binary), ends (array of long or null: carried along). One small row for each block."""
-    kind = {2: "<u2", 4: "<u4"}[width]
+def scanned(files: DataFrame, separator: int, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """files: file, tokens. One small row for each block."""
+    kind, blocks = {2: "<u2", 4: "<u4"}[width], RANGE_BLOCKS
 
     def run(batches):
         for batch in batches:
-            found = [scan_block(np.frombuffer(d.as_buffer(), kind), separator) for d in batch.column("data")]
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([t for _, t in found], pa.int64()), batch.column("ends")], ["file", "block", "lengths", "tail", "ends"])
-
-    return blocks.select("file", "block", "data", "ends").mapInArrow(run, SCANNED)
-
-
-def stitched(scanned: DataFrame) -> DataFrame:
-    """Adds ``carry``, the tokens that the blocks before left open. A block with a separator resets it."""
-    rows = scanned.withColumn("span", F.floor(F.col("block") / SPAN)).withColumn("resets", (F.size("lengths") > 0).cast("int"))
-    within = Window.partitionBy("file", "span").orderBy("block")
-    before = within.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("part", F.coalesce(F.sum("resets").over(before), F.lit(0)))
-    # what is open before a block: the tails since the last reset in the span, that block's own tail included
-    rows = rows.withColumn("last", F.max(F.when(F.col("resets") == 1, F.col("block"))).over(before)).withColumn("sum", F.coalesce(F.sum("tail").over(before), F.lit(0)))
-    rows = rows.withColumn("base", F.max(F.struct(F.when(F.col("resets") == 1, F.col("block")).alias("b"), F.col("sum").alias("s"))).over(before))
-    rows = rows.withColumn("local", F.when(F.col("last").isNull(), F.col("sum")).otherwise(F.col("sum") - F.col("base.s")))
-    spans = rows.groupBy("file", "span").agg(F.sum("tail").alias("total"), F.max("resets").alias("any"), F.max(F.struct("block", (F.when(F.col("resets") == 1, F.col("tail")).otherwise(F.col("local") + F.col("tail"))).alias("open"))).alias("end"))
-    over = Window.partitionBy("file").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("flow", F.coalesce(F.sum("total").over(over), F.lit(0)))
-    spans = spans.withColumn("from", F.max(F.when(F.col("any") == 1, F.struct("span", "flow", "total", F.col("end.open").alias("open")))).over(over))
-    spans = spans.select("file", "span", F.when(F.col("from").isNull(), F.col("flow")).otherwise(F.col("from.open") + F.col("flow") - F.col("from.flow") - F.col("from.total")).alias("into"))
-    rows = rows.join(spans, ["file", "span"])
-    return rows.withColumn("carry", F.when(F.col("part") > 0, F.col("local")).otherwise(F.col("local") + F.col("into")))
-
-
-def counts(scanned: DataFrame) -> DataFrame:
-    """file, block, place (from 0 in the block), n_tokens, end (the carried value of that document's separator) of every closed document."""
-    rows = stitched(scanned).filter("resets = 1")
-    one = rows.select("file", "block", "carry", "ends", F.posexplode("lengths").alias("place", "n"))
-    return one.select("file", "block", "place", (F.col("n") + F.when(F.col("place") == 0, F.col("carry")).otherwise(0)).alias("n_tokens"), F.get("ends", F.col("place")).alias("end"))
-
-
-def open_ends(scanned: DataFrame) -> DataFrame:
-    """file, n_tokens of what follows a file's last separator, where that is not empty."""
-    rows = stitched(scanned).groupBy("file").agg(F.max(F.struct("block", F.when(F.col("resets") == 1, F.col("tail")).otherwise(F.col("carry") + F.col("tail")).alias("n"))).alias("last"))
-    return rows.select("file", F.col("last.n").alias("n_tokens")).filter("n_tokens > 0")
-
-
-def file_blocks(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of flat binary files that Spark reads, by any path that it can open."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", "length")
-    files = files.filter((F.col("length") % width == 0) | F.raise_error(F.concat(F.lit("not a whole number of ids: "), F.col("file"))).cast("boolean"))
-    step = width * block_tokens
-    cut = files.filter("length > 0").select("file", "content", F.posexplode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / step))).alias("block", "k"))
-    return cut.select("file", F.col("block").cast("long").alias("block"), F.substring("content", F.col("block") * step + 1, F.lit(step)).alias("data"), F.lit(None).cast("array<long>").alias("ends"))
+            for file, at in zip(batch.column("file").to_pylist(), batch.column("range").to_pylist(), strict=True):
+                system, path = opened(file)
+                with system.open_input_file(path) as f:
+                    f.seek(at * blocks * block_tokens * width)
+                    ids = np.frombuffer(f.read(blocks * block_tokens * width), kind)
+                base, found = at * blocks, [scan_block(ids[k : k + block_tokens], separator) for k in range(0, len(ids), block_tokens)]
+                last = [None if x is None else (base + k) * block_tokens + x for k, (_, x) in enumerate(found)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file] * len(found)), pa.array(np.arange(base, base + len(found))), pa.array([len(x) for x, _ in found], pa.int64()), pa.array(last, pa.int64()), pa.array([x for x, _ in found], pa.list_(pa.int64()))],
+                    ["file", "block", "n", "last", "lengths"],
+                )
+
+    step = block_tokens * blocks
+    total = files.agg(F.sum(F.ceil(F.col("tokens") / step))).first()[0] or 0
+    ranges = files.filter("tokens > 0").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / step))).alias("range"))
+    return ranges.repartition(max(1, -(-int(total) // TASK_RANGES)), "file", "range").mapInArrow(run, SCANNED)
+
+
+def stitched(blocks: DataFrame) -> DataFrame:
+    """Adds ``before``, the separators in the file's earlier blocks, and ``since``, the place of the last of them (-1: none)."""
+    rows = blocks.withColumn("span", F.floor(F.col("block") / SPAN))
+    earlier = lambda window: window.rowsBetween(Window.unboundedPreceding, -1)
+    spans = rows.groupBy("file", "span").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    over = earlier(Window.partitionBy("file").orderBy("span"))
+    spans = spans.select("file", "span", F.sum("n").over(over).alias("span_n"), F.max("last").over(over).alias("span_last"))
+    within = earlier(Window.partitionBy("file", "span").orderBy("block"))
+    rows = rows.withColumn("own_n", F.sum("n").over(within)).withColumn("own_last", F.max("last").over(within)).join(spans, ["file", "span"])
+    zero = F.lit(0).cast("long")
+    return rows.select("file", "block", "n", "last", "lengths", (F.coalesce("own_n", zero) + F.coalesce("span_n", zero)).alias("before"), F.coalesce("own_last", "span_last", F.lit(-1).cast("long")).alias("since"))
+
+
+def counts(blocks: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """file, document (from 0), n_tokens of every closed document."""
+    one = stitched(blocks).filter("n > 0").select("file", "block", "before", "since", F.posexplode("lengths").alias("place", "own"))
+    first = F.col("block") * block_tokens + F.col("own") - F.col("since") - 1
+    return one.select("file", (F.col("before") + F.col("place")).alias("document"), F.when(F.col("place") == 0, first).otherwise(F.col("own")).alias("n_tokens"))
 
 
 def token_counts(spark: SparkSession, path: str, separator: int = SEPARATOR, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """file, document (from 0), n_tokens, closed of every document of the flat token files at path."""
-    scanned = cut(scan_blocks(file_blocks(spark, path, width, block_tokens), separator, width))
-    order = Window.partitionBy("file").orderBy("block", "place")
-    closed = counts(scanned).withColumn("document", F.row_number().over(order) - 1)
-    n = closed.groupBy("file").agg(F.count("*").alias("n"))
-    rest = open_ends(scanned).join(n, "file", "left").select("file", F.coalesce("n", F.lit(0)).cast("int").alias("document"), "n_tokens", F.lit(False).alias("closed"))
-    return closed.select("file", "document", "n_tokens", F.lit(True).alias("closed")).unionAll(rest)
-
-
-def flat_blocks(docs: DataFrame, ranks_path: str, pattern: str, separator: int = SEPARATOR, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The token data of a corpus: each partition is one file of 16-bit ids, cut into blocks without regard to documents.
-
-    ``ends`` names the documents whose separators lie in the block, in order; the scan does not use it.
-    """
-    raw = docs.sparkSession.sparkContext.broadcast(bpe.rank_file(ranks_path))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")  # the listing only: contents are not read
+    files = files.filter((F.col("length") % width == 0) | F.raise_error(F.concat(F.lit("not a whole number of ids: "), F.col("file"))).cast("boolean"))
+    files = files.select("file", (F.col("length") / width).cast("long").alias("tokens"))
+    blocks = cut(scanned(files, separator, width, block_tokens))
+    ends = blocks.groupBy("file").agg(F.sum("n").alias("document"), F.max("last").alias("last"))
+    rest = files.join(ends, "file").select("file", "document", (F.col("tokens") - F.coalesce("last", F.lit(-1)) - 1).alias("n_tokens"), F.lit(False).alias("closed")).filter("n_tokens > 0")
+    return counts(blocks, block_tokens).withColumn("closed", F.lit(True)).unionAll(rest)
+
+
+def write_flat(docs: DataFrame, at: str, ranks_path: str, pattern: str, separator: int = SEPARATOR) -> tuple[DataFrame, int]:
+    """Writes a corpus as flat token files in the folder ``at``. Rows file, first, tokens, doc_ids: documents from number ``first`` on, and their tokens with separators; and the ids' width."""
+    raw = bpe.rank_file(ranks_path)
+    ranks = set(bpe.load_ranks(raw).values())
+    if separator in ranks:
+        raise ValueError(f"the separator {separator} is the id of a token")
+    width = 2 if max(max(ranks, default=0), separator) < 1 << 16 else 4
+    raw = docs.sparkSession.sparkContext.broadcast(raw)
 
     def run(batches):
-        codec = bpe.Codec(raw.value, pattern)
-        name, block, held, size, ends = f"part-{TaskContext.get().partitionId():05d}", 0, [], 0, []
-
-        def row(data, ends, block):
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([data.tobytes()], pa.binary()), pa.array([ends], pa.list_(pa.int64()))], ["file", "block", "data", "ends"])
-
+        codec, out, first = bpe.Codec(raw.value, pattern), None, 0
+        file = f"{at}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.bin"
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.array([*codec.encode(text.as_py()), separator], "<u2")
-                while len(ids):
-                    part = ids[: block_tokens - size]
-                    ids = ids[len(part) :]
-                    held.append(part)
-                    size += len(part)
-                    if not len(ids):
-                        ends.append(doc_id)
-                    if size == block_tokens:
-                        yield row(np.concatenate(held), ends, block)
-                        block, held, size, ends = block + 1, [], 0, []
-        if size:
-            yield row(np.concatenate(held), ends, block)
-
-    return texts(docs).mapInArrow(run, "file string, block long, data binary, ends array<long>")
+            if out is None:
+                system, path = opened(file)
+                system.create_dir(path.rpartition("/")[0], recursive=True)
+                out = system.open_output_stream(path)
+            tokens = 0
+            for text in batch.column("text"):
+                ids = np.array([*codec.encode(text.as_py()), separator], f"<u{width}")
+                out.write(ids.tobytes())
+                tokens += len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([first]), pa.array([tokens]), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64()))], ["file", "first", "tokens", "doc_ids"])
+            first += batch.num_rows
+        if out is not None:
+            out.close()
+
+    return cut(texts(docs).mapInArrow(run, "file string, first long, tokens long, doc_ids array<long>")), width
+
+
+def documents_counted(docs: DataFrame, ranks_path: str, pattern: str, separator: int = SEPARATOR) -> DataFrame:
+    """doc_id, n_tokens, file, document of a corpus: written as flat files, counted by the scan of these."""
+    at = f"{folder(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    written, width = write_flat(docs, at, ranks_path, pattern, separator)
+    found = counts(cut(scanned(written.groupBy("file").agg(F.sum("tokens").alias("tokens")), separator, width)))
+    names = written.select("file", "first", F.posexplode("doc_ids").alias("place", "doc_id")).select("file", (F.col("first") + F.col("place")).alias("document"), "doc_id")
+    return found.join(names, ["file", "document"]).select("doc_id", "n_tokens", F.substring_index("file", "/", -1).alias("file"), "document")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    blocks = flat_blocks(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    scanned = cut(scan_blocks(blocks, SEPARATOR))  # small rows, read twice by the stitching
-    return counts(scanned).select(F.col("end").alias("doc_id"), "n_tokens", "file", "block", "place")
+    return documents_counted(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -439,24 +439,30 @@ def test_automaton_sums_to_one_and_follows_counts():
 
 def test_token_counts(spark, tmp_path, codec):
     rng = np.random.default_rng(7)
-    old, tokencounts.SPAN = tokencounts.SPAN, 3
+    old = tokencounts.SPAN, tokencounts.RANGE_BLOCKS, tokencounts.TASK_RANGES
+    tokencounts.SPAN, tokencounts.RANGE_BLOCKS, tokencounts.TASK_RANGES = 3, 2, 2
     try:
-        want = {}
-        for f, high in enumerate((2, 6, 60, 600)):
-            ids = rng.integers(0, high, 700).astype("<u2")
-            ids.tofile(tmp_path / f"f{f}.bin")
-            parts = np.split(ids, np.flatnonzero(ids == 1) + 1)
-            want[f"f{f}.bin"] = [(len(x) - 1, True) if k < len(parts) - 1 else (len(x), False) for k, x in enumerate(parts) if k < len(parts) - 1 or len(x)]
-        (tmp_path / "empty.bin").write_bytes(b"")
-        got: dict[str, list] = {}
-        for r in tokencounts.token_counts(spark, str(tmp_path), 1, 2, 16).orderBy("file", "document").collect():
-            got.setdefault(r["file"].rpartition("/")[2], []).append((r["n_tokens"], r["closed"]))
-        assert got == want
-        blocks = tokencounts.flat_blocks(frame(spark, ODD), RANKS, public_tokenizers.PATTERN, block_tokens=8)
-        rows = tokencounts.counts(tokencounts.scan_blocks(blocks, tokencounts.SEPARATOR)).collect()
-        assert Counter((r["end"], r["n_tokens"]) for r in rows) == Counter((i, len(codec.encode(t))) for i, t in ODD)
+        for kind, width in (("<u2", 2), ("<u4", 4)):
+            want, at = {}, tmp_path / kind[1:]
+            at.mkdir()
+            for f, high in enumerate((2, 6, 60, 600)):
+                ids = rng.integers(0, high, 700).astype(kind)
+                ids.tofile(at / f"f{f}.bin")
+                parts = np.split(ids, np.flatnonzero(ids == 1) + 1)
+                want[f"f{f}.bin"] = [(len(x) - 1, True) if k < len(parts) - 1 else (len(x), False) for k, x in enumerate(parts) if k < len(parts) - 1 or len(x)]
+            (at / "empty.bin").write_bytes(b"")
+            got: dict[str, list] = {}
+            for r in tokencounts.token_counts(spark, str(at), 1, width, 16).orderBy("file", "document").collect():
+                assert r["document"] == len(got.setdefault(r["file"].rpartition("/")[2], []))
+                got[r["file"].rpartition("/")[2]].append((r["n_tokens"], r["closed"]))
+            assert got == want
+        rows = tokencounts.documents_counted(frame(spark, ODD).repartition(3), RANKS, public_tokenizers.PATTERN).collect()
+        assert Counter((r["doc_id"], r["n_tokens"]) for r in rows) == Counter((i, len(codec.encode(t))) for i, t in ODD)
+        assert tokencounts.documents_counted(frame(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
     finally:
-        tokencounts.SPAN = old
+        tokencounts.SPAN, tokencounts.RANGE_BLOCKS, tokencounts.TASK_RANGES = old
+    with pytest.raises(ValueError, match="id of a token"):
+        tokencounts.documents_counted(frame(spark, ODD), RANKS, public_tokenizers.PATTERN, 100)
     with pytest.raises(Exception, match="whole number"):
         (tmp_path / "odd.bin").write_bytes(b"abc")
         tokencounts.token_counts(spark, str(tmp_path / "odd.bin")).collect()
