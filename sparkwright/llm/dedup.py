@@ -22,10 +22,15 @@ With r = 4 rows in b = 32 bands two sets of similarity 0.75 share no band with
 probability (1 - 0.75**4)**32 < 6e-6, of 0.8 < 5e-8. Of 128 sketch bits such a pair differs
 in 16 on average, deviation 3.8; pairs of more than MOST_BITS = 44 are not verified.
 
+Hot groups: all buckets are tables before they are joined, so that a join's sides are plain shuffles, which
+adaptive execution splits where one band is large; the pairs of a large bucket are dealt by pairs of its chunks
+of CHUNK members.
+
 Defined results: null or empty text, or one of white space only, has 0 shingles and is linked with nothing; a null
 doc_id takes no part in linking, is kept and has a null component_id; repeated rows
-each have a result; rows with one doc_id count as one document in components; an empty
-table gives no rows.
+each have a result; rows with one doc_id count as one document in components; texts of any length are read whole,
+in slices of bounded size; of equal documents the least doc_id stands for all; only doc_id and text are read, and
+extra columns of any names pass through ``kept_documents``; an empty table gives no rows.
 """
 
 import hashlib
@@ -46,8 +51,12 @@ TASK_LINKS = 50_000
 SMALL = 8
 #: Similarity at least NUM / DEN.
 NUM, DEN = 75, 100
-#: Bits of the filter that finds linked candidates in the second scan, at most (8 MB).
+#: Members of a large bucket that meet in one group of its pairs.
+CHUNK = 1024
+#: Bits of the filter that finds linked candidates in the second scan, at most (8 MB): with 16 a document, as many documents as it can tell.
 MOST_FILTER_BITS = 1 << 26
+#: Rows of keys up to which they are broadcast (about 64 MB); more are joined by shuffle.
+MOST_BROADCAST = 1_000_000
 
 U64 = np.uint64
 _seed = W.mix(np.arange(1, 2 * COORDINATES + 1, dtype=U64) * U64(0xD1342543DE82EF95))
@@ -118,20 +127,30 @@ def _positions(column, bits: int):
     return F.explode(F.array(*(F.pmod(F.xxhash64(column, F.lit(k)), F.lit(bits)) for k in range(4))))
 
 
-def bloom(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the column doc_id, as 64-bit words; its size is bounded, and beyond it false positives grow."""
-    bits = int(min(MOST_FILTER_BITS, max(1024, 16 * ids.count())))
+def bloom(ids: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of the column doc_id, as 64-bit words."""
     out = np.zeros(-(-bits // 64), np.int64)
     words = ids.select(_positions(F.col("doc_id"), bits).alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
-    for row in words.toLocalIterator():
+    for row in words.toLocalIterator():  # MOST_FILTER_BITS at most
         out[row["w"]] = row["bits"]
-    return out, bits
+    return out
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, items of (at least) the documents whose id is among ids. The second scan computes sets only where a Bloom filter hits."""
-    filter_words, bits = bloom(ids)
-    held = docs.sparkSession.sparkContext.broadcast(filter_words)
+    """doc_id, items of (at least) the documents whose id is among ids.
+
+    The second scan computes sets only where a Bloom filter hits, as long as the filter can tell the ids apart;
+    more ids are joined by shuffle, so that no other document's set is made.
+    """
+    n, rows = ids.count(), texts(docs).filter("doc_id is not null and text is not null")
+
+    def made(batch):
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(np.int64) for x in sets(batch.column("text"))], pa.list_(pa.int64()))], ["doc_id", "items"])
+
+    if 16 * n > MOST_FILTER_BITS:
+        return rows.join(ids, "doc_id", "left_semi").mapInArrow(lambda batches: map(made, batches), "doc_id long, items array<long>")
+    bits = max(1024, 16 * n)
+    held = docs.sparkSession.sparkContext.broadcast(bloom(ids, bits))
 
     def run(batches):
         member = held.value
@@ -142,9 +161,8 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 hit &= (member[p // 64] >> (p % 64)) & 1 == 1
             batch = batch.filter(pa.array(hit))
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(np.int64) for x in sets(batch.column("text"))], pa.list_(pa.int64()))], ["doc_id", "items"])
+                yield made(batch)
 
-    rows = texts(docs).filter("doc_id is not null and text is not null")
     rows = rows.select("*", *(F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)).alias(f"p{k}") for k in range(4)))
     return rows.mapInArrow(run, "doc_id long, items array<long>")
 
@@ -170,9 +188,14 @@ def close(n_a, n_b, s1_a, s1_b, s2_a, s2_b):
 
 
 def across(rows: DataFrame, *more: str, condition=None) -> DataFrame:
-    """Pairs of rows (band, doc_id, root, n, s1, s2 and more) of one band and different roots that sizes, sketch bits and the condition allow."""
-    a, b = (rows.select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "root", "n", "s1", "s2", *more))) for x in "ab")
-    on = (a["band"] == b["band"]) & (F.col("root_a") < F.col("root_b")) & close("n_a", "n_b", "s1_a", "s1_b", "s2_a", "s2_b")
+    """Pairs of rows (band, doc_id, root, n, s1, s2, chunks and more) of one band and different roots that sizes, sketch bits and the condition allow.
+
+    A band's members lie in ``chunks`` parts by a hash; each pair of parts is a group of its own, so that a hot band's pairs are many tasks' work.
+    """
+    part = F.pmod(F.xxhash64("doc_id"), F.col("chunks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    a, b = (rows.select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "root", "n", "s1", "s2", *more)), part.alias(x), other.alias("a" if x == "b" else "b")) for x in "ab")
+    on = (a["band"] == b["band"]) & (a["a"] == b["a"]) & (a["b"] == b["b"]) & (F.col("root_a") < F.col("root_b")) & close("n_a", "n_b", "s1_a", "s1_b", "s2_a", "s2_b")
     return a.join(b, on if condition is None else on & condition)
 
 
@@ -191,7 +214,9 @@ def links_across(docs: DataFrame, rows: DataFrame) -> DataFrame:
     each = items.select("doc_id", "root", F.explode("items").alias("item"))
     common = each.groupBy("item").agg((F.min("root") != F.max("root")).alias("common")).filter("common").drop("common")
     shared = each.join(common, "item").groupBy("doc_id").agg(F.count("*").alias("c")).join(items, "doc_id").filter(F.col("c") * DEN >= F.col("n") * NUM)
-    open_rows = rows.select("band", "doc_id").join(shared, "doc_id")
+    open_rows = cut(rows.select("band", "doc_id").join(shared.drop("items"), "doc_id"))
+    chunks = cut(open_rows.groupBy("band").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks")))
+    open_rows = open_rows.join(chunks, "band").join(items.select("doc_id", "items"), "doc_id")
     least = lambda c: F.col(c) * (DEN + NUM) >= NUM * (F.col("n_a") + F.col("n_b"))
     both = F.size(F.array_intersect("items_a", "items_b"))
     found = across(open_rows, "c", "items", condition=least("c_a") & least("c_b") & (both * (DEN + NUM) >= NUM * (F.col("n_a") + F.col("n_b"))))
@@ -226,16 +251,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         prints.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "s1", "s2", "bands")))
     )
     keys = nodes.select(F.explode("bands").alias("band"), "doc_id")
-    buckets = keys.groupBy("band").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).filter("members > 1").drop("members")
+    buckets = cut(keys.groupBy("band").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).filter("members > 1").drop("members"))
     members = cut(keys.join(buckets, "band"))
 
     links = verified(docs, members.filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct(), nodes)
     roots = cut(components(links))
 
     placed = members.join(roots, "doc_id", "left").select("band", "doc_id", "least", F.coalesce("root", "doc_id").alias("root"))
-    mixed = placed.groupBy("band").agg((F.min("root") != F.max("root")).alias("mixed"), (F.count("*") <= SMALL).alias("small")).filter("mixed").drop("mixed")
+    mixed = cut(placed.groupBy("band").agg((F.min("root") != F.max("root")).alias("mixed"), (F.count("*") <= SMALL).alias("small")).filter("mixed").drop("mixed"))
     open_rows = cut(placed.join(mixed, "band").filter("doc_id <> least").join(nodes.select("doc_id", "n", "s1", "s2"), "doc_id"))
-    few = across(open_rows.filter("small")).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    few = across(open_rows.filter("small").withColumn("chunks", F.lit(1).cast("long"))).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
     more = verified(docs, few, nodes).unionAll(links_across(docs, cut(open_rows.filter("not small"))))
     roots = cut(components(links.unionAll(more)))
 
@@ -247,14 +272,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near duplicates, all columns as they were; of repeated rows of one id and text one stays."""
-    stay = near_duplicates(docs).filter("kept").select("doc_id", "text_key").distinct()
+    """docs with one row of each group of near duplicates, all columns as they were; of repeated rows of one id and text one stays; rows with a null id all stay.
+
+    Only keys of rows that go, or that are repeated, meet the rows: broadcast when counted to be few, else by shuffle.
+    """
+    found = cut(near_duplicates(docs).filter("doc_id is not null").select("doc_id", "text_key", "kept").groupBy("doc_id", "text_key").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1"))
     names = docs.columns
-    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
     lower = [n.lower() for n in names]
+    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
     rows = rows.withColumn("row_id", F.col(f"c{lower.index('doc_id')}").cast("long")).withColumn("row_key", F.xxhash64(F.col(f"c{lower.index('text')}").cast("string")))
-    same = rows["row_id"].eqNullSafe(stay["doc_id"]) & (rows["row_key"] == stay["text_key"])
-    return rows.join(stay, same, "left_semi").dropDuplicates(["row_id", "row_key"]).drop("row_id", "row_key").toDF(*names)
+
+    def met(rows, keys, how):
+        keys = keys.select(F.col("doc_id").alias("row_id"), F.col("text_key").alias("row_key"))
+        return rows.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, ["row_id", "row_key"], how)
+
+    gone, repeated = found.filter("not kept"), found.filter("kept")
+    rows = met(rows, gone, "left_anti")
+    if not repeated.isEmpty():
+        rows = met(rows, repeated, "left_anti").unionByName(met(rows, repeated, "left_semi").dropDuplicates(["row_id", "row_key"]))
+    return rows.select(*(f"c{i}" for i in range(len(names)))).toDF(*names)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

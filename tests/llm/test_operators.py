@@ -145,7 +145,12 @@ def brute_components(rows):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("large", [False, True])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, large):
+    if large:  # what large inputs do: ids beyond the filter, chunks of hot buckets, keys joined by shuffle
+        monkeypatch.setattr(dedup, "MOST_FILTER_BITS", 64)
+        monkeypatch.setattr(dedup, "CHUNK", 3)
+        monkeypatch.setattr(dedup, "MOST_BROADCAST", 0)
     rng, rows = random.Random(3), []
     for _ in range(6):
         base = prose(rng, rng.randint(30, 200)).split()
@@ -157,15 +162,18 @@ def test_near_duplicates_equal_brute_force(spark):
     rows += [(10_000 + i, prose(rng, rng.randint(1, 60))) for i in range(60)] + [(20_000, "a b c"), (20_001, "A  b\nC"), (20_002, "a b")]
     rng.shuffle(rows)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in dedup.near_duplicates(frame(spark, rows)).collect()}
-    assert got == brute_components(rows)
+    want = brute_components(rows)
+    assert got == want
+    assert sorted(r["doc_id"] for r in dedup.kept_documents(frame(spark, rows + rows[:40])).collect()) == sorted(i for i, (_, root) in want.items() if i == root)
 
 
 def test_near_duplicates_odd_rows(spark):
     got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in dedup.near_duplicates(frame(spark, [*ODD, (8, "one")])).collect()]
     assert len(got) == len(ODD) + 1
     assert {(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (None, 2, None, True), (8, 1, 4, False)} <= set(got) and got.count((4, 1, 4, True)) == 2
-    kept = dedup.kept_documents(frame(spark, [*ODD, (8, "one")]))
-    assert kept.columns == frame(spark, []).columns and kept.count() == len(ODD) - 1
+    kept = dedup.kept_documents(frame(spark, [*ODD, (None, ODD[5][1]), (8, "one")]))
+    assert kept.columns == frame(spark, []).columns and kept.count() == len(ODD)  # both null ids stay, one of (4, "one") goes
+    assert dedup.kept_documents(frame(spark, [])).count() == 0
     assert dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
