@@ -1,26 +1,38 @@
-"""Toxicity by a support vector machine on a subsequence string kernel with Nyström landmarks.
+"""Toxicity by a support vector machine on a subsequence string kernel with Nyström landmarks, trained on labelled sentences.
 
 A unit is a word in lower case without punctuation; single letters in a row are one
 unit, so that spelt-out and punctuated insults meet the plain form. A unit's features
 are its subsequences of three characters within SPAN positions, each occurrence weighted by
 DECAY per skipped position; the kernel of two units is the product of these features,
 each divided by the length's norm. Gaps and inserted characters thus lower the kernel but do not
-void it. A document's score is that of its most toxic unit, calibrated to 0..1.
+void it. Letters of all scripts are told apart: a-z, ß-ÿ and digits have classes of their own, other letters
+one of 67 by a hash.
 
 Fitting, on the driver, on at most SAMPLE toxic and SAMPLE other labelled training rows
-of at most SAMPLE_CHARS characters (ids that hash lowest; a documented bound):
-positive examples are the units that toxic rows hold in many contexts and other rows
-hardly do (``seeds``), also with one character inserted; negative ones are units of other rows, in
-MI_ROUNDS rounds also those that come closest. Landmarks are units of both kinds. Nyström features
-whiten the kernel to the landmarks, and a squared-hinge SVM is fitted by Newton steps. The kernel expansion over landmarks is linear in the
-features, so it is folded into one weight per triple of characters, and whole texts are scored by table look-ups.
+of at most SAMPLE_CHARS characters (ids that hash lowest; a documented bound). A sentence has its text's label:
+
+1. A squared-hinge SVM on sentences, by the sum of its units' kernels. It needs no landmarks, as only
+   triples of units that occur in two rows or more take part.
+2. What makes a toxic text toxic is in some of its sentences only. So, in ROUNDS rounds, each toxic text gives the unit of its
+   sentences that the machine so far scores highest (its witness), those of other texts give units at random and all that come
+   closest, and an SVM is fitted to these in the kernel's Nyström features; landmarks are witnesses and other units.
+   Witnesses also take part with one character inserted. A witness that no other toxic text shares counts only if
+   none is shared.
+
+A text's score is that of its highest unit, which is that of its most toxic sentence, calibrated to 0..1. The kernel expansion over
+landmarks is linear in the features, so it is folded into one weight per triple of characters, and whole texts are
+scored by table look-ups.
 
 Defined results: null and empty texts and texts without a unit of three characters have
-the score of no evidence; a null doc_id is not held out and no training row;
-several labels of one id count as the greatest; without labelled rows of both kinds all score 0.
+the score of no evidence; a null doc_id is not held out and no training row; repeated rows have a result each, and count once
+in fitting; several labels of one id count as the greatest; of witnesses that tie the one seen first counts; texts of any
+length are read whole, in slices; columns of other names pass through ``civil_documents`` and are not read; an empty table gives no
+rows, and without labelled rows of both kinds all score 0.
 """
 
 import hashlib
+import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +44,45 @@ from .shared import chosen, documents, fold
 
 SAMPLE, SAMPLE_CHARS = 2500, 20_000
 SPAN, DECAY = 5, 0.6
-MOST_LANDMARKS, OTHER_LANDMARKS, OTHER_UNITS, MI_ROUNDS, RIDGE, SLACK, OFTEN, CHANCE = 256, 64, 8000, 3, 1e-3, 0.1, 1.0, 0.02
+MOST_LANDMARKS, OTHER_LANDMARKS, OTHER_UNITS, ROUNDS, RIDGE, SLACK, LIKELIER, BENT = 256, 64, 8000, 4, 1e-3, 0.1, 10, 3
+SENTENCE_STEPS, SENTENCE_RATE, SENTENCE_L2 = 60, 0.1, 1e-4
 FOLDS, HELD = 5, 0
 SLICE_CHARS = 1 << 20
+SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+
+#: Bits of a character's class. 0 separates, SKIP is left out, 1-26 a-z, 27-58 ß-ÿ, 59 digits, from 60 other letters.
+BITS, SKIP, OTHERS = 7, 255, 60
+TOP = 0x20000
+
+
+def _classes() -> np.ndarray:
+    out = np.full(TOP + 1, SKIP, np.uint8)
+    out[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85]] = 0
+    for code in range(0x80, TOP):
+        kind = unicodedata.category(chr(code))
+        if kind[0] in "LNZ":
+            out[code] = 0 if kind[0] == "Z" else 59 if kind[0] == "N" else _other(code)
+    out[97:123], out[48:58] = np.arange(1, 27), 59
+    accented = [c for c in range(0xDF, 0x100) if c != 0xF7]
+    out[accented] = np.arange(27, 27 + len(accented))
+    out[[0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE]] = SKIP
+    out[TOP] = OTHERS  # rarer ideographs
+    return out
+
+
+def _other(code: int) -> int:
+    return OTHERS + (code * 2654435761 >> 12) % ((1 << BITS) - OTHERS)
+
+
+_made: list[np.ndarray] = []
+
+
+def classes() -> np.ndarray:
+    if not _made:
+        _made.append(_classes())
+    return _made[0]
+
 
-#: Characters to 6-bit classes: 0 separates, 255 is skipped, 1-26 a-z, 27-58 ß-ÿ, 59 digits, 60 other letters.
-CLASS = np.full(0x300, 60, np.uint8)
-CLASS[:0xC0] = 255
-CLASS[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0]] = 0
-CLASS[97:123] = np.arange(1, 27)
-CLASS[48:58] = 59
-CLASS[0xDF:0x100] = np.arange(27, 60)
-CLASS[0xF7], CLASS[0xD7] = 255, 255
-CLASS[0xF8:0x100] -= 1
 OFFSETS = [(a, b) for b in range(2, SPAN + 1) for a in range(1, b)]
 
 
@@ -59,14 +97,8 @@ def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lowered = [t.lower() for t in texts]
     code = np.frombuffer("\n".join(lowered).encode("utf-32-le", "replace"), "<u4")
     ends = np.cumsum([len(t) + 1 for t in lowered])
-    high = code >= 0x300
-    cls = CLASS[np.where(high, 0x2FF, code)]
-    if high.any():
-        odd = high & (code >= 0x2000) & (code < 0x2070)
-        cls[odd] = np.where((code[odd] <= 0x200A) | (code[odd] == 0x2028) | (code[odd] == 0x2029) | (code[odd] == 0x205F), 0, 255)
-        cls[high & (code >= 0x300) & (code < 0x370)] = 255
-        cls[code == 0x3000] = 0
-    keep = cls != 255
+    cls = classes()[np.minimum(code, TOP)]
+    keep = cls != SKIP
     place = np.flatnonzero(keep)
     cls = cls[place]
     letter = cls != 0
@@ -93,7 +125,7 @@ def triples(chars: np.ndarray, begin: np.ndarray):
     for a, b in OFFSETS:
         n = len(chars) - b
         if n > 0:
-            yield n, unit[:n] == unit[b:], (wide[:n] << 12) | (wide[a : n + a] << 6) | wide[b:], DECAY ** (b - 2), unit
+            yield n, unit[:n] == unit[b:], (wide[:n] << 2 * BITS) | (wide[a : n + a] << BITS) | wide[b:], DECAY ** (b - 2), unit
 
 
 def unit_scores(chars, begin, table, norm) -> np.ndarray:
@@ -159,92 +191,112 @@ def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
     return w
 
 
-def _contexts(pairs: list[np.ndarray], n: int) -> np.ndarray:
-    """For each unit how many different units it follows, and at most how many rows hold it: neither copies of a text nor repeats in one count."""
-    every = np.unique(np.concatenate([*pairs, np.zeros(0, np.int64)]))
-    rows = np.concatenate([*(np.unique(p & 0xFFFFFFFF) for p in pairs), np.zeros(0, np.int64)])
-    return np.minimum(np.bincount(every & 0xFFFFFFFF, minlength=n), np.bincount(rows, minlength=n))
-
-
-def seeds(toxic: list[np.ndarray], clean: list[np.ndarray], n: int) -> np.ndarray:
-    """Units that occur in toxic rows in many contexts and hardly elsewhere, most contexts first.
-
-    How many contexts are needed is read off the mirror image: equally many clean rows hold
-    hardly any unit of that many contexts that toxic rows lack, so chance gives as few.
-    """
-    inside, outside, mirror = _contexts(toxic, n), _contexts(clean, n), _contexts(clean[: len(toxic)], n)
-    hit = (inside > 0) & (outside * (len(toxic) / len(clean)) <= 0.05 * inside)
-    chance, found = mirror[(mirror > 0) & (inside <= 0.05 * mirror)], inside[hit]
-    least = next((k for k in range(2, 200) if (chance >= k).sum() <= CHANCE * (found >= k).sum()), 200)
-    own = np.flatnonzero(hit & (inside >= least))
-    return own[np.argsort(-inside[own], kind="stable")]
+def _sentence_machine(sentences: list[np.ndarray], text: np.ndarray, labels: np.ndarray, names: list[bytes], used: np.ndarray) -> np.ndarray:
+    """The score of each unit in ``used`` by an SVM on sentences (arrays of units), whose features are the sums of their units'."""
+    place = np.full(len(names), -1)
+    place[used] = np.arange(len(used))
+    word = place[np.concatenate(sentences)]
+    sentence = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])[word >= 0]
+    word = word[word >= 0]
+    chars = np.frombuffer(b"".join(names[i] for i in used), np.uint8)
+    length = np.array([len(names[i]) for i in used])
+    parts = [(np.flatnonzero(same), code[same], np.float32(weight), unit) for _, same, code, weight, unit in triples(chars, np.cumsum(length) - length)]
+    owner = np.concatenate([unit[at] for at, _, _, unit in parts])
+    codes, triple = np.unique(np.concatenate([code for _, code, _, _ in parts]), return_inverse=True)
+    value = np.concatenate([np.full(len(at), weight) for at, _, weight, _ in parts]) / norms(int(length.max()))[length][owner]
+    y = np.where(labels[text] > 0, 1.0, -1.0)
+    share = 1 / np.bincount(text)[text]  # each text counts once, however many sentences it has, and both labels weigh the same
+    for kind in (1.0, -1.0):
+        share[y == kind] *= 0.5 / share[y == kind].sum()
+    scale = 1 / np.sqrt(np.maximum(1, np.bincount(sentence, minlength=len(sentences))))
+    w, first, second, bias = np.zeros((4, len(codes)))
+    bias = np.zeros(3)
+    for step in range(1, SENTENCE_STEPS + 1):
+        score = np.bincount(owner, value * w[triple], len(used))
+        margin = 1 - y * (np.bincount(sentence, score[word], len(sentences)) * scale + bias[0])
+        pull = share * y * np.maximum(0, margin)  # of the squared hinge
+        gradient = np.bincount(triple, value * np.bincount(word, (pull * scale)[sentence], len(used))[owner], len(codes)) - SENTENCE_L2 * w
+        first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
+        w += SENTENCE_RATE * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-7)
+        bias[1:] = 0.9 * bias[1] + 0.1 * pull.sum(), 0.99 * bias[2] + 0.01 * pull.sum() ** 2
+        bias[0] += SENTENCE_RATE * bias[1] / (1 - 0.9**step) / (np.sqrt(bias[2] / (1 - 0.99**step)) + 1e-7)
+    return np.bincount(owner, value * w[triple], len(used))
 
 
 def fit(rows) -> dict | None:
     """The model of (text, toxic) rows: a weight per triple and the calibration."""
     rng = np.random.default_rng(11)
     number: dict[bytes, int] = {}
-    bags, labels, seen = [], [], set()
-    for text, toxic in rows:
-        chars, begin, _ = units([text or ""])
+    sentences, text, bags, labels, seen = [], [], [], [], set()
+    for whole, toxic in rows:
+        own = []
+        parts = SENTENCE.split(whole or "")
+        chars, begin, of = units(parts)
         raw, stops = chars.tobytes(), [*begin[1:].tolist(), len(chars)]
-        own = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(begin.tolist(), stops, strict=True)], np.int64)
-        before = np.append(0, own[:-1] + 1) if len(own) else own
-        bag = np.unique((before << 32) | own) if len(own) else own
-        key = hashlib.blake2b(bag.tobytes(), digest_size=16).digest(), toxic
-        if len(bag) and key not in seen:
+        ids = np.array([number.setdefault(raw[a:b], len(number)) if b - a >= 3 else -1 for a, b in zip(begin.tolist(), stops, strict=True)], np.int64)
+        ids, of = ids[ids >= 0], of[ids >= 0]
+        key = hashlib.blake2b(np.unique(ids).tobytes(), digest_size=16).digest(), toxic
+        if len(ids) and key not in seen:  # copies count once
             seen.add(key)
-            bags.append(bag)
+            own = np.split(ids, np.flatnonzero(np.diff(of)) + 1)
+            sentences += own
+            text += [len(bags)] * len(own)
+            bags.append(np.unique(ids))
             labels.append(int(toxic))
-    names = list(number)
-    wide = np.array([len(u) >= 3 for u in names], bool)
-    bags = [b[wide[b & 0xFFFFFFFF]] for b in bags]
-    labels = [t for b, t in zip(bags, labels, strict=True) if len(b)]
-    bags = [b for b in bags if len(b)]
+    names, labels, text = list(number), np.array(labels), np.array(text)
+    if len(labels) == 0 or labels.min() or not labels.max():
+        return None
     toxic = [b for b, t in zip(bags, labels, strict=True) if t]
+    size = len(names)
     clean = [b for b, t in zip(bags, labels, strict=True) if not t]
-    if not toxic or not clean:
-        return None
-    words = [np.unique(b & 0xFFFFFFFF) for b in bags]
-    outside = np.bincount(np.concatenate([w for w, t in zip(words, labels, strict=True) if not t]), minlength=len(names))
-    found = seeds(toxic, clean, len(names))[: 4 * MOST_LANDMARKS]
-    if not len(found):  # too few rows to tell: the unit of toxic rows that is rarest elsewhere
-        own = np.unique(np.concatenate([w for w, t in zip(words, labels, strict=True) if t]))
-        found = own[np.argsort(outside[own], kind="stable")[:1]]
-    positive = [names[i] for i in found]
+    inside, outside = (np.bincount(np.concatenate(x), minlength=size) for x in (toxic, clean))
+    every = inside + outside
+    shared = np.flatnonzero(every >= (2 if (every > 1).any() else 1))
+    value = np.full(size, -np.inf)
+    value[shared] = _sentence_machine(sentences, text, labels, names, shared)
     pool = np.flatnonzero(outside)
     weight = outside[pool] ** 0.5
     others = [names[i] for i in pool[rng.choice(len(pool), min(OTHER_UNITS, len(pool)), replace=False, p=weight / weight.sum())]]
-    landmarks = positive[:MOST_LANDMARKS] + others[:OTHER_LANDMARKS]
-    columns = _codes(landmarks)
-    base = _features(landmarks, columns)
-    values, vectors = np.linalg.eigh((base @ base.T).astype(float))
-    whiten = (vectors / np.sqrt(np.maximum(values, RIDGE))) @ vectors.T
-    nystrom = lambda words: np.vstack([_features(words[k : k + 500], columns) @ base.T for k in range(0, len(words), 500)]) @ whiten
-    bent = []
-    for w in positive:  # an inserted character leaves an insult an insult
-        at = int(rng.integers(1, len(w)))
-        bent.append(w[:at] + bytes([int(rng.integers(1, 27))]) + w[at:])
-    x, norm = np.vstack([nystrom(positive), nystrom(bent)]), norms(64)
     hard: dict[bytes, None] = dict.fromkeys(others)
-    for _ in range(MI_ROUNDS):
+    norm, bound = norms(64), np.inf
+    for _ in range(ROUNDS):
+        # what a toxic text is thought toxic for: its highest unit, and all others beyond the machine's bound; likelier in toxic texts than elsewhere
+        witness = np.concatenate([b[(value[b] > bound) | (value[b] == value[b].max())] for b in toxic])
+        found, times = np.unique(witness, return_counts=True)
+        likely = inside[found] * len(clean) > LIKELIER * outside[found] * len(toxic)
+        for keep in (likely & (inside[found] > 1), likely, times > 0):
+            if keep.any():
+                break
+        found, times = found[keep], times[keep]
+        order = np.argsort(-times, kind="stable")
+        found, times = found[order], times[order].astype(float)
+        positive = [names[i] for i in found]
+        landmarks = positive[:MOST_LANDMARKS] + others[:OTHER_LANDMARKS]
+        columns = _codes(landmarks)
+        base = _features(landmarks, columns)
+        values, vectors = np.linalg.eigh((base @ base.T).astype(float))
+        whiten = (vectors / np.sqrt(np.maximum(values, RIDGE))) @ vectors.T
+        nystrom = lambda words: np.vstack([_features(words[k : k + 500], columns) @ base.T for k in range(0, len(words), 500)]) @ whiten  # noqa: B023, E731
+        bent = []
+        for w in positive * BENT:  # an inserted character leaves an insult an insult
+            at = int(rng.integers(1, len(w)))
+            bent.append(w[:at] + bytes([int(rng.integers(1, 27))]) + w[at:])
         negative = list(hard)
-        features = np.vstack([x, nystrom(negative)])
-        y = np.concatenate([np.ones(len(x)), -np.ones(len(negative))])
-        often = np.array([outside[number[u]] for u in negative]) ** OFTEN  # a unit of many other rows is the dearer mistake
-        w = _svm(features, y, np.append(np.full(len(x), 0.5 * often.sum() / len(x)), often))
+        features = np.vstack([nystrom(positive), nystrom(bent), nystrom(negative)])
+        y = np.concatenate([np.ones(len(positive) + len(bent)), -np.ones(len(negative))])
+        often = np.array([outside[number[u]] for u in negative], float)  # a unit of many other texts is the dearer mistake
+        support = np.sqrt(np.append(times, np.tile(times, BENT)))
+        w = _svm(features, y, np.append(support * (0.5 * often.sum() / support.sum()), often))
         del features
-        table = np.zeros(1 << 18, np.float32)
+        table = np.zeros(1 << 3 * BITS, np.float32)
         table[columns] = (whiten @ w[:-1]) @ base
-        used = np.unique(np.concatenate(words))
-        value = np.zeros(len(names))
-        for part in np.array_split(used, max(1, len(used) // 50_000)):
+        for part in np.array_split(np.arange(size), max(1, size // 50_000)):
             length = np.array([len(names[i]) for i in part])
             value[part] = unit_scores(np.frombuffer(b"".join(names[i] for i in part), np.uint8), np.cumsum(length) - length, table, norm)
-        score = np.array([value[own].max() for own in words])
-        # the units of other rows that come closest are the next round's negatives
+        bound = -w[-1]
+        # the units of other texts that come closest are the next round's negatives
         hard.update(dict.fromkeys(names[i] for i in pool[value[pool] + w[-1] > -0.5]))
-    y = np.array(labels, float)
+    score, y = np.array([value[b].max() for b in bags]), labels.astype(float)
     a, b = 1.0, float(w[-1])
     share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     for _ in range(50):  # Platt's calibration with a little shrinkage, both kinds weighing the same
@@ -265,14 +317,15 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_cha
     marks = marks.filter((fold(F.col("doc_id"), FOLDS) != HELD) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = chosen(marks.filter("toxic = 1"), "doc_id", sample).unionAll(chosen(marks.filter("toxic = 0"), "doc_id", sample))  # at most 2 * sample rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") <= sample_chars).join(F.broadcast(few), "doc_id")
-    found = rows.select(F.col("doc_id").cast("string").alias("k"), "text", "toxic").toArrow().sort_by([("k", "ascending"), ("text", "ascending")])
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # of repeated ids one text
+    found = rows.select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
     return fit(zip(found["text"].to_pylist(), found["toxic"].to_pylist(), strict=True))
 
 
 class Judge:
     def __init__(self, model: dict | None):
         self.model, self.norm = model, norms(64)
-        self.table = np.zeros(1 << 18, np.float32)
+        self.table = np.zeros(1 << 3 * BITS, np.float32)
         if model:
             self.table[model["codes"]] = model["weights"]
 

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from sparkwright.llm import bpe, decontam, dedup, html, language, lm, search, tokencounts, toxicity, urls, words
+from sparkwright.llm import bpe, decontam, dedup, html, language, lm, search, shared, tokencounts, toxicity, urls, words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -512,16 +512,77 @@ def test_unit_scores_are_the_kernel():
             for b in range(2, toxicity.SPAN + 1):
                 for a in range(1, b):
                     if i + b < len(x):
-                        out[(int(x[i]) << 12) | (int(x[i + a]) << 6) | int(x[i + b])] += toxicity.DECAY ** (b - 2)
+                        out[(int(x[i]) << 2 * toxicity.BITS) | (int(x[i + a]) << toxicity.BITS) | int(x[i + b])] += toxicity.DECAY ** (b - 2)
         return out
 
-    table = np.zeros(1 << 18, np.float32)
+    table = np.zeros(1 << 3 * toxicity.BITS, np.float32)
     for k, w in phi(l).items():
         table[k] = w
     want = sum(w * table[k] for k, w in phi(u).items()) / toxicity.norms(9)[9]
     assert abs(toxicity.unit_scores(u, np.array([0]), table, toxicity.norms(9))[0] - want) < 1e-4
 
 
+def test_toxicity_in_other_scripts():
+    """Words of one length in one script are told apart."""
+    rng = random.Random(12)
+    letters = "абвгдежзиклмнопрстуфхцч"
+    clean = ["".join(rng.choice(letters) for _ in range(5)) for _ in range(80)]
+    bad, rows = ["идиот", "дурак"], []
+    for i in range(300):
+        w = [rng.choice(clean) for _ in range(rng.randint(4, 25))]
+        if i % 3 == 0:
+            w.insert(rng.randint(0, len(w)), rng.choice(bad))
+        rows.append((" ".join(w[:8]) + ". " + " ".join(w[8:]), int(i % 3 == 0)))
+    judge = toxicity.Judge(toxicity.fit(rows[:200]))
+    assert ((judge.scores([t for t, _ in rows[200:]]) >= 0.5) == np.array([y == 1 for _, y in rows[200:]])).mean() > 0.97
+    assert list(judge.scores(["идиот", "и д и о т", "кошка", clean[0]]) >= 0.5) == [True, True, False, False]
+
+
+def test_toxicity_scores_by_plain_loops(spark):
+    """Whole texts through the operator against the kernel expansion of the highest unit, unit by unit."""
+    rng = random.Random(13)
+    rows = [(f"alpha beta{'' if i % 2 else ' grumblefink'} " + re.sub(r"\d", "x", prose(rng, 6)), 1 - i % 2) for i in range(80)]
+    model = toxicity.fit(rows)
+    weight = dict(zip(model["codes"].tolist(), model["weights"].tolist(), strict=True))
+
+    def score(text):
+        words, run = [], ""
+        for w in [*re.split(r"[ \n\t]+", re.sub(r"[.!-]", "", (text or "").lower())), "end of all"]:
+            if len(w) == 1:
+                run += w
+                continue
+            words += [x for x in (run, w) if x and w != "end of all" or x == run and x]
+            run = ""
+        best = -math.inf
+        for w in words:
+            x = [int(toxicity.classes()[ord(c)]) for c in w]
+            total = square = 0.0
+            for i in range(len(x)):
+                for b in range(2, toxicity.SPAN + 1):
+                    for a in range(1, b):
+                        if i + b < len(x):
+                            k = toxicity.DECAY ** (b - 2)
+                            total += k * weight.get((x[i] << 2 * toxicity.BITS) | (x[i + a] << toxicity.BITS) | x[i + b], 0.0)
+                            square += k * k
+            if square:
+                best = max(best, total / math.sqrt(square))
+        return 1 / (1 + math.exp(-(model["a"] * (best if best > -math.inf else -1.0) + model["b"])))
+
+    texts = [t for t, _ in rows[:20]] + [None, "", "a b", "g r u m b l e f i n k", "grum-blefink! so", "grumblexfink", "x" * 3000, ("alpha " * 4000) + "grumblefink"]
+    got = {r["doc_id"]: r for r in toxicity.scored(frame(spark, list(enumerate(texts))), model).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i]["score"] - score(t)) < 1e-4 and got[i]["predicted"] == int(got[i]["score"] >= 0.5)
+    assert toxicity.scored(frame(spark, []), model).count() == 0 and toxicity.civil_documents(frame(spark, []), model).count() == 0
+
+
+def test_a_sample_is_bounded_in_rows_and_keys(spark):
+    rows = frame(spark, [(7, f"t{k}") for k in range(50)] + [(8, "a"), (9, None), (10, "b")]).select("doc_id", "text", "lang")
+    got = shared.chosen(rows, "doc_id", 3).collect()
+    assert len(got) == 3 and len({r["doc_id"] for r in got}) == 3 and all(r["text"] == "t0" for r in got if r["doc_id"] == 7)
+    assert sorted(r["doc_id"] for r in shared.chosen(rows, "doc_id", 100).collect()) == [7, 8, 9, 10]
+    assert shared.chosen(rows.limit(0), "doc_id", 3).count() == 0
+
+
 # --- all together ---
 
 
