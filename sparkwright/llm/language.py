@@ -2,22 +2,24 @@
 language; an unseen word backs off to its character 5-grams, then 4-, 3-, 2- and 1-grams, until
 one of them is known.
 
-A word is a maximal run of letters, in lower case, framed by spaces for its n-grams.
-Scores are mean negative log10 frequencies over a text's words, absent entries at PENALTY; the
-lowest wins, ties to the language that sorts first. The confidence is the softmax over the languages of
+A word is a letter and the letters and combining marks that follow it, in lower case, framed by spaces for its
+n-grams; a frame alone is no evidence. Scores are mean negative log10 frequencies over a text's known words, absent entries at
+PENALTY; the lowest wins, ties to the language that sorts first. The confidence is the softmax over the languages of
 the summed scores of MOST_EVIDENCE words at most.
 
 The model is fitted on at most SAMPLE_DOCS labelled training rows, those whose id hashes
 lowest among rows of at most SAMPLE_CHARS characters, so the fit is bounded and the same for any partitioning.
-Prediction reads whole texts.
+Prediction reads whole texts, in slices: words are found and hashed in arrays, and each distinct word is scored once.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0; a null
-doc_id is not held out and never a training row; without training rows all are ``und``;
-extra columns are ignored.
+Defined results: null texts and texts without a letter are ``und`` with score 0; a text with letters but without any known
+word or n-gram (a script never seen) gets the language that sorts first with score 0; a null
+doc_id is not held out and never a training row; without training rows all are ``und``; repeated rows each have a
+result; of repeated ids one row is learned from; texts of any length are read whole; extra columns of any names are ignored, and pass through
+``known_language``; an empty table gives no rows.
 """
 
 import math
-import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import words as W
 from .shared import chosen, documents, fold
 
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 20_000
@@ -33,19 +36,61 @@ ORDERS, PENALTY, MOST_EVIDENCE, MEMO = (5, 4, 3, 2, 1), 7.0, 20, 200_000
 FOLDS, HELD = 3, 1
 LEAST_SCORE = 0.5
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Characters of text handled at once; code points whose kind is in the table.
+SLICE_CHARS, TOP = 1 << 20, 0x20000
+OTHER, LETTER, MARK = 0, 1, 2
+U64 = np.uint64
+_STEP = U64(0x9E3779B97F4A7C15)
+_made: list[np.ndarray] = []
+
+
+def kinds() -> np.ndarray:
+    """Whether a code point is a letter or a combining mark; all beyond TOP count as letters (rare ideographs)."""
+    if not _made:
+        category = [unicodedata.category(chr(c))[0] for c in range(TOP)]
+        _made.append(np.array([LETTER if k == "L" else MARK if k == "M" else OTHER for k in category] + [LETTER], np.uint8))
+    return _made[0]
+
+
+def words(texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The lowered texts in one; where words begin and end in it; the text of each."""
+    lowered = [(t or "").lower() for t in texts]
+    joined = "\n".join(lowered)
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = kinds()[np.minimum(code, TOP)]
+    inside = kind != OTHER
+    before = np.append(False, inside[:-1])
+    while (stray := inside & (kind == MARK) & ~before).any():  # marks that follow no letter
+        inside &= ~stray
+        before[1:] = inside[:-1]
+    begin = np.flatnonzero(inside & ~before)
+    end = np.flatnonzero(inside & ~np.append(inside[1:], False)) + 1
+    return joined, begin, end, np.searchsorted(np.cumsum([len(t) + 1 for t in lowered]), begin, side="right")
+
+
+def hashes(joined: str, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words."""
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(U64)
+    length = end - begin
+    first = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(first, length)
+    power = np.full(int(length.max()), _STEP, U64)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    return W.mix(np.add.reduceat(W.mix(code[np.repeat(begin, length) + place]) * power[place], first) + length.astype(U64))
 
 
 def grams(word: str, n: int) -> list[str]:
     framed = f" {word} "
-    return [framed[i : i + n] for i in range(len(framed) - n + 1)]
+    return [g for i in range(len(framed) - n + 1) if (g := framed[i : i + n]) != " "]
 
 
 def fit(rows) -> dict:
     """The model of (text, lang) rows: languages, and by order (0: words) each entry's cost in every language."""
     counts: dict[int, dict[str, Counter]] = {n: {} for n in (0, *ORDERS)}
     for text, lang in rows:
-        counts[0].setdefault(lang, Counter()).update(WORD.findall((text or "").lower()))
+        joined, begin, end, _ = words([text])
+        counts[0].setdefault(lang, Counter()).update(joined[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True))
     languages = sorted(counts[0])
     for lang, seen in counts[0].items():
         for n in ORDERS:
@@ -71,9 +116,9 @@ class Scorer:
         self.reset()
 
     def reset(self):
-        self.place: dict[str, int] = {}
-        self.costs = np.zeros((MEMO + 1, len(self.languages)))
-        self.known = np.zeros(MEMO + 1, bool)
+        self.place: dict[int, int] = {}
+        self.costs = np.zeros((MEMO, len(self.languages)))
+        self.known = np.zeros(MEMO, bool)
 
     def cost(self, word: str) -> list[float] | None:
         if (own := self.tables[0].get(word)) is not None:
@@ -84,34 +129,55 @@ class Scorer:
                 return [sum(x) / len(found) for x in zip(*found, strict=True)]
         return None
 
-    def look(self, word: str) -> int:
-        i = self.place[word] = len(self.place)
-        if (own := self.cost(word)) is not None:
-            self.costs[i], self.known[i] = own, True
-        return i
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(WORD.findall((text or "").lower()))
-        if not counts or not self.languages:
-            return "und", 0.0
-        if len(self.place) + len(counts) > MEMO:
-            self.reset()
-        total, n = np.zeros(len(self.languages)), 0
-        items = list(counts.items())
-        for k in range(0, len(items), MEMO // 2):
-            part = items[k : k + MEMO // 2]
+    def looked_up(self, joined: str, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word its cost in every language and whether it has one."""
+        distinct, first, inverse = np.unique(hashes(joined, begin, end), return_index=True, return_inverse=True)
+        costs, known = np.zeros((len(distinct), len(self.languages))), np.zeros(len(distinct), bool)
+        for low in range(0, len(distinct), MEMO):
+            part = distinct[low : low + MEMO].tolist()
             if len(self.place) + len(part) > MEMO:
                 self.reset()
-            place, look = self.place, self.look
-            at = np.array([i if (i := place.get(w)) is not None else look(w) for w, _ in part])
-            times = np.array([c for _, c in part]) * self.known[at]
-            total += times @ self.costs[at]
-            n += int(times.sum())
-        if not n:
-            return "und", 0.0
-        mean = total / n
-        best = int(mean.argmin())
-        return self.languages[best], float(1 / np.exp((mean[best] - mean) * math.log(10) * min(n, MOST_EVIDENCE)).sum())
+            for h, k in zip(part, first[low : low + MEMO].tolist(), strict=True):
+                if h not in self.place:
+                    i = self.place[h] = len(self.place)
+                    if (own := self.cost(joined[begin[k] : end[k]])) is not None:
+                        self.costs[i], self.known[i] = own, True
+            at = np.fromiter(map(self.place.__getitem__, part), np.int64, len(part))
+            costs[low : low + MEMO], known[low : low + MEMO] = self.costs[at], self.known[at]
+        return costs[inverse], known[inverse]
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out: list[tuple[str, float]] = []
+        if not self.languages:
+            return [("und", 0.0)] * len(texts)
+        while len(out) < len(texts):
+            i = j = len(out)
+            size = 0
+            while j < len(texts) and (j == i or size + len(texts[j] or "") <= SLICE_CHARS):
+                size += len(texts[j] or "")
+                j += 1
+            out += self._slice(texts[i:j])
+        return out
+
+    def _slice(self, texts):
+        n, total, every = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        joined, begin, end, text = words(texts)
+        step = SLICE_CHARS // 4  # words of one very long text, a part at a time
+        for k in range(0, len(begin), step):
+            costs, known = self.looked_up(joined, begin[k : k + step], end[k : k + step])
+            own = text[k : k + step]
+            every += np.bincount(own, minlength=len(texts))
+            n += np.bincount(own, known, len(texts))
+            for lang in range(len(self.languages)):
+                total[:, lang] += np.bincount(own, costs[:, lang], len(texts))
+        mean = total / np.maximum(n, 1)[:, None]
+        best = mean.argmin(axis=1)
+        lead = (mean[np.arange(len(best)), best][:, None] - mean) * (math.log(10) * np.minimum(n, MOST_EVIDENCE))[:, None]
+        score = np.where(n > 0, 1 / np.exp(lead).sum(axis=1), 0.0)
+        return [(self.languages[b], float(s)) if e else ("und", 0.0) for b, s, e in zip(best.tolist(), score, every, strict=True)]
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.predict_all([text])[0]
 
 
 def trained(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict:
@@ -128,7 +194,7 @@ def identified(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         scorer = Scorer(held.value)
         for batch in batches:
-            found = [scorer.predict(t.as_py()) for t in batch.column("text")]
+            found = scorer.predict_all(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold(F.col("doc_id").cast("long"), FOLDS) == HELD, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -144,7 +210,7 @@ def known_language(docs: DataFrame, model: dict, least_score: float = LEAST_SCOR
     def run(batches):
         scorer = Scorer(held.value)
         for batch in batches:
-            found = [scorer.predict(t.as_py()) for t in batch.column(at)]
+            found = scorer.predict_all(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != "und" and score >= least_score for lang, score in found], pa.bool_()))
 
     rows = docs.toDF(*(f"c{i}" for i in range(len(names))))

@@ -328,7 +328,69 @@ def test_backoff_goes_to_shorter_grams():
     s = language.Scorer(language.fit([("abcdef abcdef", "x"), ("uvwxyz uvwxyz", "y")]))
     assert s.cost("abcdef") == s.tables[0]["abcdef"]
     assert s.cost("abcdeq")[0] < s.cost("abcdeq")[1] and s.cost("qa")[0] < s.cost("qa")[1]
-    assert len(set(s.cost("qq"))) == 1  # only the frame is known: no language is likelier
+    assert s.cost("qq") is None and s.predict("漢字 qq") == ("x", 0.0)  # the frame is no evidence
+    assert s.predict("漢字 qq uvw")[0] == "y"
+
+
+def test_language_by_plain_loops(spark):
+    """Words, costs and scores, word by word."""
+    import regex
+
+    rng = random.Random(14)
+    alphabets = {"aa": "abcde\u0301fé", "bb": "defghß", "hi": "नमस्तेदुनिया"}
+    text = lambda a, n: " ".join("".join(rng.choice(a) for _ in range(rng.randint(1, 7))) for _ in range(n))
+    rows = [(text(alphabets[k], rng.randint(1, 40)), k) for k in alphabets for _ in range(30)]
+    model = language.fit(rows)
+    word = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+    counts = {k: Counter(w for t, l in rows if l == k for w in word.findall(t.lower())) for k in alphabets}
+
+    def table(n):
+        out = {}
+        for k, c in counts.items():
+            own = Counter()
+            for w, m in c.items():
+                f = f" {w} "
+                for g in [w] if n == 0 else [f[i : i + n] for i in range(len(f) - n + 1) if f[i : i + n] != " "]:
+                    own[g] += m
+            out[k] = {g: min(7.0, -math.log10(m / sum(own.values()))) for g, m in own.items() if m > 1}
+        return out
+
+    tables = {n: table(n) for n in range(6)}
+
+    def cost(w):
+        f = f" {w} "
+        for n in (0, 5, 4, 3, 2, 1):
+            parts = [w] if n == 0 else [f[i : i + n] for i in range(len(f) - n + 1)]
+            known = [g for g in parts if any(g in tables[n][k] for k in counts)]
+            if known:
+                return [sum(tables[n][k].get(g, 7.0) for g in known) / len(known) for k in sorted(counts)]
+        return None
+
+    def predict(t):
+        own = word.findall((t or "").lower())
+        if not own:
+            return "und", 0.0
+        known = [c for w in own if (c := cost(w))]
+        if not known:
+            return "aa", 0.0
+        mean = [sum(x) / len(known) for x in zip(*known, strict=True)]
+        best = min(range(3), key=lambda k: mean[k])
+        return sorted(counts)[best], 1 / sum(10 ** ((mean[best] - m) * min(len(known), 20)) for m in mean)
+
+    texts = [t for t, _ in rows[::5]] + [text(a + "xyz1 \u0301-", 30) for a in alphabets.values() for _ in range(8)] + [None, "", "\u0301\u0301 12", "漢字", "A\u0301B \u0301c", "नमस्ते दुनिया", "bé " * 9000, "İI ẞ"]
+    texts += ["q" * 3000 + f" {k} ab" for k in range(3)]
+    got = {r["doc_id"]: r for r in language.identified(frame(spark, list(enumerate(texts))), model).collect()}
+    for i, t in enumerate(texts):
+        lang, score = predict(t)
+        assert abs(got[i]["score"] - score) < 1e-9 and got[i]["lang_pred"] == lang, t
+    old = language.SLICE_CHARS, language.MEMO
+    language.SLICE_CHARS, language.MEMO = 40, 7  # many slices, a memory that overflows
+    try:
+        again = language.Scorer(model).predict_all(texts[:40])
+    finally:
+        language.SLICE_CHARS, language.MEMO = old
+    assert [(l, round(s, 9)) for l, s in again] == [(got[i]["lang_pred"], round(got[i]["score"], 9)) for i in range(40)]
+    assert language.identified(frame(spark, []), model).count() == 0 and language.known_language(frame(spark, []), model).count() == 0
 
 
 # --- 7 ---
