@@ -10,9 +10,16 @@ The labelled pages are written here by a seeded generator (``labelled_pages``):
 with menus, headers, sidebars, notices, adverts, forms, comments and footers about an
 article, in invented words. So training is bounded, the same everywhere, and reads no corpus.
 
+Only scripts and styles are left out before the field sees a page; everything else is its decision. A page is read in
+one pass, in time and memory that follow its length: an element knows its parent and which of its tag and names no
+ancestor has, so that a block's ancestors are one sum.
+
 Defined results: null, empty or text-free html gives the empty string; character
-references are decoded once; white space inside a block becomes one space; broken markup is read as far as
-tags can be told; repeated rows each have a result.
+references are decoded once (numbers of 8 digits or more are U+FFFD); white space inside a block becomes one space; broken
+markup is read as far as tags can be told: a tag that no ``>`` ends is text, an end tag that nothing opened is
+ignored, what is open at the end of the page ends there; repeated rows each have a result; states that tie are not main
+text; pages of any length and depth are read whole; only page_id, url and html are read, whatever other columns there are; an empty table
+gives no rows.
 """
 
 import html as references
@@ -31,32 +38,45 @@ TRAINING_PAGES, STEPS, RATE, L2 = 300, 120, 0.2, 1e-3
 
 #: Elements by the HTML standard.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object param svg".split())
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object param svg g path text tspan defs use".split())
 #: Of MathML, whose text is part of the line that it stands in.
 INLINE |= set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced maction msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd mlabeledtr semantics annotation annotation-xml".split())
-HIDDEN = "script|style|noscript|template|textarea|select|svg|iframe"
-ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+HIDDEN = "script|style"
 
 TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?!svg(?=[\s/]){ATTRIBUTES}(?<=/)>)(?P<hidden>{HIDDEN})(?=[\s/>]){ATTRIBUTES}>.*?(?:</(?P=hidden)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][\w:-]*)(?P<attributes2>[^>]*+)>|<[!?][^>]*+>",
+    rf"<!--.*?(?:(?P<ended>-->)|\Z)|<(?P<hidden>{HIDDEN})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:(?P<ended2></(?P=hidden)\s*+>)|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][\w:-]*+)(?P<attributes2>[^>]*+)>|<[!?][^>]*+>",
     re.S | re.I,
 )
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+NAMES = re.compile(r"""\b(?:class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""", re.I)
 WORD = re.compile(r"[a-z]+")
+#: Numeric references that are no code point; Python refuses to read very long ones.
+HUGE = re.compile(r"&#(?:0*+[0-9]{8,}+|[xX]0*+[0-9a-fA-F]{7,}+);?")
+
+
+class Element:
+    """An open element: its parent, its tag, and those of its tag and names that no ancestor has."""
+
+    __slots__ = ("parent", "tag", "fresh", "named", "gain")
+
+    def __init__(self, parent, tag, fresh, named):
+        self.parent, self.tag, self.fresh, self.named, self.gain = parent, tag, fresh, named, None
 
 
-def leaf_blocks(page: str | None) -> list[tuple[str, int, tuple]]:
-    """(text, characters inside links, ancestors) of each block with text; an ancestor is (tag, names)."""
+def leaf_blocks(page: str | None) -> list[tuple[str, int, Element | None]]:
+    """(text, characters inside links, innermost element) of each block with text."""
     page = page or ""
     out, stack, parts, linked, links = [], [], [], 0, 0
+    tags: dict[str, int] = {}  # of open elements, how many have a tag, a name
+    names: dict[str, int] = {}
+    own_names: list[tuple] = []
 
     def close_block():
         nonlocal parts, linked
         if parts:
-            text = " ".join(references.unescape("".join(parts)).split())
+            text = " ".join(references.unescape(HUGE.sub("\ufffd", "".join(parts))).split())
             if text:
-                out.append((text, min(linked, len(text)), tuple(stack)))
+                out.append((text, min(linked, len(text)), stack[-1] if stack else None))
         parts, linked = [], 0
 
     def add(text):
@@ -65,11 +85,18 @@ def leaf_blocks(page: str | None) -> list[tuple[str, int, tuple]]:
         if links:
             linked += len(text)
 
+    def pop():
+        tags[stack.pop().tag] -= 1
+        for n in own_names.pop():
+            names[n] -= 1
+
     at = 0
-    for tag in TAG.finditer(page):
+    for tag in TAG.finditer(page, 0, page.rfind(">") + 1):  # beyond the last > there is no tag's end to look for
         if tag.start() > at:
             add(page[at : tag.start()])
         at = tag.end()
+        if (tag["hidden"] or page.startswith("<!--", tag.start())) and not (tag["ended"] or tag["ended2"]):
+            at = len(page)  # what is not ended hides the rest
         name = tag["name"] or tag["name2"]
         if name is None:
             continue
@@ -82,26 +109,40 @@ def leaf_blocks(page: str | None) -> list[tuple[str, int, tuple]]:
             continue
         close_block()
         links = 0
+        attributes = tag["attributes"] or tag["attributes2"] or ""
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-        elif name not in VOID and not (tag["attributes"] or tag["attributes2"] or "").endswith("/"):
-            if stack and stack[-1][0] == "p" or name in ("li", "dt", "dd", "option", "td", "th", "tr") and stack and stack[-1][0] == name:
-                stack.pop()  # these end where the next block begins
-            names = " ".join(x for found in NAMES.findall(tag["attributes"] or tag["attributes2"] or "") for x in found)
-            stack.append((name, tuple(dict.fromkeys(WORD.findall(names.lower())))))
+            if tags.get(name):
+                while stack[-1].tag != name:
+                    pop()
+                pop()
+        elif name not in VOID and not attributes.endswith("/"):
+            if stack and stack[-1].tag == "p" or name in ("li", "dt", "dd", "option", "td", "th", "tr") and stack and stack[-1].tag == name:
+                pop()  # these end where the next block begins
+            own = tuple(dict.fromkeys(WORD.findall(" ".join(x for found in NAMES.findall(attributes) for x in found).lower())))
+            fresh = [*([] if tags.get(name) else [f"in {name}"]), *(f"name {n}" for n in own if not names.get(n))]
+            tags[name] = tags.get(name, 0) + 1
+            for n in own:
+                names[n] = names.get(n, 0) + 1
+            parent = stack[-1] if stack else None
+            stack.append(Element(parent, name, fresh, bool(own) or parent is not None and parent.named))
+            own_names.append(own)
     if at < len(page):
-        add(page[at:])
+        add(page[at:].partition("<!--")[0])
     close_block()
     return out
 
 
-def ancestor_features(ancestors: tuple) -> list[str]:
-    tags = dict.fromkeys(t for t, _ in ancestors)
-    names = dict.fromkeys(n for _, own in ancestors for n in own)
-    return [*(f"in {t}" for t in tags), *(f"name {n}" for n in names), f"leaf {ancestors[-1][0] if ancestors else '-'}", "named" if names else "unnamed"]
+def own_features(element: Element | None) -> list[str]:
+    """Of a block in an element, besides the elements' own."""
+    return [f"leaf {element.tag if element else '-'}", "named" if element and element.named else "unnamed"]
+
+
+def ancestor_features(element: Element | None) -> list[str]:
+    out, at = own_features(element), element
+    while at is not None:
+        out += at.fresh
+        at = at.parent
+    return out
 
 
 def text_features(text: str, linked: int, place: float) -> list[str]:
@@ -189,7 +230,13 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7):
                 truth.append((own, False))
                 return f"<{tag}>{own}</{tag.split()[0]}>"
             if kind == "form":
-                return f"<form>{block('label', word(), False)}<input name=q>{block('button', word(), False)}</form>"
+                own = block("label", word(), False) + "<input name=q>"
+                if rng.random() < 0.4:
+                    own += "<select name=s>" + "".join(block("option", word(), False) for _ in range(rng.randint(1, 3))) + "</select>"
+                if rng.random() < 0.3:
+                    own += block("textarea", sentence(1, 8), False)
+                own += block("button", word(), False)
+                return f"<form>{own}</form>" if rng.random() < 0.8 else f"<div>{own}</div>"
             if kind == "side":
                 tag = rng.choice(["aside", "aside" + named("side"), "div" + named("side")])
                 return f"<{tag}>{block('h3', sentence(1, 3), False)}{listing() if rng.random() < 0.5 else block('p', prose(), False)}</{tag.split()[0]}>"
@@ -225,10 +272,12 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7):
                 page.append(f"<blockquote>{block('p', prose(), True)}</blockquote>")
             elif roll < 0.92:
                 page.append(block("pre", prose(), True))
+            elif roll < 0.925:
+                page.append(f"<{(t := rng.choice(['noscript', 'details', 'figure', 'template']))}>{block('p', prose(), True)}</{t}>")
             elif roll < 0.94:
                 page.append("<table><tr>" + "".join(block("td", sentence(1, 3), True) for _ in range(2)) + "</tr></table>")
             else:
-                page.append(rest(rng.choice(["advert", "notice", "side"])))
+                page.append(rest(rng.choice(["advert", "notice", "side", "form"])))
         if rng.random() < 0.2:
             page.append(rest("comments"))
         page += [f"</{wrapper.split()[0]}>", "</main>" if outer else ""]
@@ -294,19 +343,26 @@ def train(pages=None, steps: int = STEPS) -> dict:
 
 class Extractor:
     def __init__(self, model: dict):
-        self.model, self.memo = model, {}
+        self.model, self.weights = model, model["weights"]
+
+    def gain(self, element: Element | None) -> float:
+        """The sum over an element and its ancestors; each element's is made once."""
+        way = []
+        while element is not None and element.gain is None:
+            way.append(element)
+            element = element.parent
+        total = element.gain if element is not None else 0.0
+        for e in reversed(way):
+            total = e.gain = total + sum(self.weights.get(f, 0.0) for f in e.fresh)
+        return total
 
     def main_blocks(self, blocks) -> list[bool]:
         """Viterbi."""
-        weights, (to0, to1), n = self.model["weights"], self.model["move"], len(blocks)
+        weights, (to0, to1), n = self.weights, self.model["move"], len(blocks)
         back: list[tuple[int, int]] = []
         rest, main = self.model["start"]
-        for k, (text, linked, ancestors) in enumerate(blocks):
-            fixed = self.memo.get(ancestors)
-            if fixed is None:
-                if len(self.memo) > 10_000:
-                    self.memo.clear()
-                fixed = self.memo[ancestors] = sum(weights.get(f, 0.0) for f in ancestor_features(ancestors))
+        for k, (text, linked, element) in enumerate(blocks):
+            fixed = self.gain(element) + sum(weights.get(f, 0.0) for f in own_features(element))
             gain = fixed + sum(weights.get(f, 0.0) for f in text_features(text, linked, k / n))
             if k:
                 a, b, c, d = rest + to0[0], main + to1[0], rest + to0[1], main + to1[1]

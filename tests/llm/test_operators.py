@@ -283,13 +283,61 @@ def test_html(spark):
     assert len(got) == 7 and all(r["n_chars"] == len(r["text"]) for r in got) and {r["text"] for r in got if r["page_id"] in (1, 2, 5)} == {""}
 
 
-def test_html_only_hidden_elements_are_dropped():
+def test_html_only_scripts_and_styles_are_hidden():
     texts = lambda page: [t for t, *_ in html.leaf_blocks(page)]
     assert texts('<article><p>one <svg class="i"/> two</p><p>three</p></article>') == ["one two", "three"]
     assert texts("<p>a <math/> b <object data='x'/> c <SVG/> d</p><p>e</p>") == ["a b c d", "e"]
     assert texts("<select-box>one</select-box><p>two</p><object-x>three</object-x><template-x>four</template-x>") == ["one", "two", "three", "four"]
     assert texts("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then <object><param name=a>plain</object> text</p>") == ["if x=1 then plain text"]
-    assert texts("<p>a<svg viewBox='0 0 1 1'><text>no</text></svg><script>no</script><select><option>no</select>b</p><style/>no</style>c") == ["ab", "c"]
+    assert texts("<p>a<svg viewBox='0 0 1 1'><text>x</text></svg><script>no</script><select><option>one</select>b</p><style/>no</style>c") == ["ax", "one", "b", "c"]
+    assert texts("<article><noscript><p>kept</p></noscript><template>also</template></article>") == ["kept", "also"]
+    assert texts("<p>a<!-- no <p>x</p> --><!-- open <p>no</p>") == texts("<p>a<script>no <p>x</p>") == texts("a <!-- no") == ["a"]
+    assert texts("a <b c") == ["a <b c"] and texts("&#" + "9" * 5000 + ";&#x110000;") == ["\ufffd\ufffd"] and texts("&amp;lt; &#65;") == ["&lt; A"]
+
+
+@pytest.mark.parametrize("page", ["<a " * 700_000, "<div>x" * 350_000, "<div>" * 200_000 + "</p>" * 200_000, "<a '>" * 400_000, '<a "' * 500_000 + ">", "<script>" + "</script " * 250_000, "".join(f"<div class='n{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}'>t" for i in range(80_000))], ids=range(7))
+def test_html_time_follows_the_length(page):
+    import time
+
+    e, began = html.Extractor(html.train(steps=3)), time.process_time()
+    e.text(page)
+    assert time.process_time() - began < 8  # about 2 MB; a quadratic scan takes minutes
+
+
+def test_html_articles_of_the_given_pages(spark):
+    """Against an independent parser that knows these pages' layout: the blocks of their article."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside = self.inside or tag == "article"
+            if tag == "br":
+                self.blocks[-1] += " "
+            elif tag != "b":
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            self.inside = self.inside and tag != "article"
+            if tag != "b":
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    sf = "/root/testdata/sf0.01"
+    got = {r["page_id"]: r["text"] for r in html.op5(spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        parser = Article()
+        parser.feed(r["html"])
+        parser.close()
+        assert got[r["page_id"]] == "\n".join(" ".join(b.split()) for b in parser.blocks if b.split())
+    empty = spark.createDataFrame([], "page_id long, url string, html string, text int, n_chars string")
+    assert html.extracted(empty, html.train(steps=2)).count() == 0
 
 
 def test_viterbi_is_the_best_path():
