@@ -13,5 +13,7 @@ QUERIES = {
     "op8_lm_scoring": lm.op8,
     "op9_token_counts": tokencounts.op9,
     "op10_toxicity": toxicity.op10,
+    # what SQL can express of an operator
+    "url_parts": urls.url_parts,
 }
-ORACLE_SQL = {"op7_exact_top_k": search.OP7_SQL}
+ORACLE_SQL = {"op7_exact_top_k": search.OP7_SQL, "url_parts": urls.PARTS_SQL}

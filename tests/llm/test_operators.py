@@ -119,6 +119,81 @@ def test_url_mining_equals_counting(spark):
     assert got == want
 
 
+def plain_tokens(url):
+    """The tokens of a url, by string methods."""
+    if not url or "://" not in url:
+        rest = ""
+    else:
+        rest = url[url.index("://") + 3 :]
+    host = re.split("[/?#]", rest)[0].translate(LOWER)
+    path = re.split("[?#]", rest[len(host) :])[0]
+    out, labels, steps = set(), host.split("."), [x for x in path.split("/") if x]
+    if host:
+        out.add("top=" + labels[-1])
+    if len(labels) > 1:
+        out.add("site=" + ".".join(labels[-2:]))
+    out |= {"label=" + x for x in labels[:-2]} | {"step=" + x for x in steps} | {"next=" + x[0] for x in steps[1:]}
+    if m := re.search(r"\.([A-Za-z0-9]{1,5})$", path):
+        out.add("end=" + m[1].lower())
+    if "#" in (url or ""):
+        out.add("mark=yes")
+    if "?" in (url or "").split("#")[0]:
+        out |= {"query=" + k.split("=")[0] for k in url.split("#")[0].split("?", 1)[1].split("&") if k}
+    return out
+
+
+def test_mined_verdicts_of_unmatched_urls_equal_counting(spark):
+    from itertools import combinations
+
+    rng, urls_ = random.Random(21), []
+    for _ in range(400):
+        lang = rng.choice(["de", "fr", "es", "en", "it"])
+        urls_.append(f"http://{rng.choice(['m.', 'www.a.', ''])}{rng.choice(['shop', 'blog', 'news'])}.{rng.choice(['com'] * 5 + ['net', 'org', 'example.org', 'info'])}/{lang}/{rng.randint(1, 30)}{rng.choice(['', '/deep/page.HTML', '/x?ref=1&utm=2', '#top', '?ref=9'])}")
+    urls_ += ["http://z.net/de/5", "HTTP://z.net/fr/deep/page.html?utm=1", None, "no scheme?ref=1", "x://z.info/" + "long/" * 5000, "x://" + "a." * 3000 + "net/de/1?&a&=b"]
+    support, confidence = 0.05, 0.7
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls_)], "page_id long, url string, items string")
+    got = {r["page_id"]: r for r in urls.judged(pages, support=support, confidence=confidence).collect()}
+    fixed = {r["page_id"]: r["verdict"] for r in urls.parts(pages).collect() if r["rule"]}
+    labelled = [(plain_tokens(urls_[i]), v) for i, v in fixed.items()]
+    rules = {}
+    frequent = [t for t, n in Counter(t for own, _ in labelled for t in own).items() if n >= support * len(labelled)]
+    for k in (1, 2, 3):
+        for own in combinations(sorted(frequent), k):
+            inside = [v for items, v in labelled if set(own) <= items]
+            for v in ("allow", "block"):
+                n = inside.count(v)
+                if n and n >= support * len(labelled) and n / len(inside) >= confidence:
+                    rules[own, v] = n / len(inside)
+    rules = {(own, v): c for (own, v), c in rules.items() if not any(rules.get((less, v), 0) >= c for k in range(1, len(own)) for less in combinations(own, k))}
+    seen = set()
+    for i, u in enumerate(urls_):
+        if i in fixed:
+            assert got[i]["verdict"] == fixed[i] and got[i]["mined_tokens"] is None
+            continue
+        fits = {c for (own, v), c in rules.items() if set(own) <= plain_tokens(u)}
+        if not fits:
+            assert got[i]["verdict"] == "allow" and got[i]["mined_tokens"] is None
+        else:
+            own = tuple(got[i]["mined_tokens"])
+            assert abs(got[i]["mined_confidence"] - max(fits)) < 1e-9 and abs(rules[own, got[i]["verdict"]] - max(fits)) < 1e-9
+        seen.add((got[i]["verdict"], bool(fits)))
+    assert {("allow", True), ("block", True), ("allow", False)} <= seen and len(got) == len(urls_)
+    old, urls.MOST_BROADCAST = urls.MOST_BROADCAST, 0  # the index joined by shuffle
+    try:
+        assert {r["page_id"]: r for r in urls.judged(pages, support=support, confidence=confidence).collect()} == got
+    finally:
+        urls.MOST_BROADCAST = old
+
+
+def test_url_parts_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.01/pages.parquet'")
+    want = sorted(c.execute(f"SELECT page_id, host, path, rule, verdict FROM ({urls.PARTS_SQL})").fetchall(), key=str)
+    assert sorted(map(tuple, urls.url_parts(spark, "/root/testdata/sf0.01").collect()), key=str) == want
+
+
 # --- 3 ---
 
 
