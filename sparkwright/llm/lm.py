@@ -16,13 +16,12 @@ comes once from each block. Nothing that grows is broadcast or collected. ``Auto
 in one piece, for small counts.
 
 Defined results: null and empty texts are one end; a null doc_id is not held out and no
-training row; repeated rows each have a result; without training rows N and V are 0 and all
-tokens are equally unlikely; an empty table gives no rows.
+training row; repeated rows each have a result, and each counts in training; texts of any length are read whole, a longer one than a block
+being a block of its own; ties cannot occur; only doc_id and text are read, whatever other columns there are; without training rows N and V are 0
+and all tokens are equally unlikely; an empty table gives no rows.
 """
 
-import gc
 import math
-import time
 from functools import reduce
 
 import numpy as np
@@ -35,7 +34,7 @@ from .shared import cut, documents, fold
 
 DISCOUNT = 0.75
 #: Tokens of a block and of a range; at least so many ranges, counted in so many waves, so that only one wave's shuffle lies on disk.
-BLOCK, ENTRIES, RANGES, WAVES = 1_500_000, 4_000_000, 64, 2
+BLOCK, ENTRIES, RANGES, WAVES = 1_000_000, 4_000_000, 64, 2
 FOLDS, HELD = 5, 1
 
 U64 = np.uint64
@@ -393,22 +392,15 @@ def tokens(rows: DataFrame) -> tuple[int, int]:
 
     def run(batches):
         for batch in batches:
-            train = np.asarray(batch.column("train"))
-            for i, j, h, at in _slices(batch):
-                yield pa.RecordBatch.from_arrays([pa.array([len(h)]), pa.array([int((np.diff(at) - 1)[train[i:j]].sum())])], ["every", "n"])
+            train, (data, offsets) = np.asarray(batch.column("train")), W.buffers(batch.column("text"))
+            for i, j in W.slices(offsets):
+                n = W.counted(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) + 1
+                yield pa.RecordBatch.from_arrays([pa.array([int((n + 1).sum())]), pa.array([int(n[train[i:j]].sum())])], ["every", "n"])
 
     found = rows.mapInArrow(run, "every long, n long").agg(F.sum("every"), F.sum("n")).first()
     return found[0] or 0, found[1] or 0
 
 
-def _release(spark: SparkSession) -> None:
-    """Shuffle files go only when the driver collects the frames that made them: Python's first, then the JVM's."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def scored(docs: DataFrame, share: float = 0.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Pairs and triples under ``share`` of the training tokens are left out."""
     spark, rows = docs.sparkSession, _rows(docs)
@@ -417,10 +409,8 @@ def scored(docs: DataFrame, share: float = 0.0) -> DataFrame:
     waves = []
     for k in range(WAVES):
         waves.append(cut(pairs_counted(rows, ranges, range(k * ranges // WAVES, (k + 1) * ranges // WAVES), share * n)))
-        _release(spark)
     pairs = reduce(DataFrame.unionAll, waves)
     words = cut(words_counted(rows, pairs.filter(F.col("kind") == PART), ranges))
-    _release(spark)
     v = words.filter(F.col("kind") == SEEN).agg(F.sum("at")).first()[0] or 0
     back = pairs.filter(F.col("kind") == PAIRS_BACK).unionAll(words.filter(F.col("kind") == WORDS_BACK))
     return traversed(rows, back, ranges, blocks, share * n, n, int(v))

@@ -82,6 +82,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes, np.searchsorted(starts, offsets)
 
 
+def counted(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The number of words of each text."""
+    n = len(data)
+    if not n:
+        return np.zeros(len(offsets) - 1, np.int64)
+    inside = ~SEPARATOR[data]
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    first = offsets[:-1][offsets[:-1] < n]
+    start[first] |= inside[first]
+    return np.diff(np.append(0, np.cumsum(start, dtype=np.int64))[offsets])
+
+
 def runs(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hashes of each ``size`` words in a row, without regard to the texts' ends; shorter input gives none."""
     m = len(hashes) - size + 1

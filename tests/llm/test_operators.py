@@ -49,6 +49,7 @@ def test_words_are_the_words(texts):
         assert len(own) == len(split(t))
         for h, w in zip(own.tolist(), split(t), strict=True):
             assert mine.setdefault(h, w) == w
+    assert words.counted(*words.buffers(pa.array(texts, pa.string()))).tolist() == [len(split(t)) for t in texts]
 
 
 # --- 1 ---
@@ -564,7 +565,7 @@ def test_lm_base_score_and_normalisation(spark):
     assert lm.scored(frame(spark, [])).count() == 0
 
 
-def test_lm_keeps_every_ngram(spark):
+def test_lm_keeps_every_ngram(spark, monkeypatch):
     rng = random.Random(11)
     rows = [(i, " ".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(0, 30)))) for i in range(300)]
     train = [split(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
@@ -578,6 +579,8 @@ def test_lm_keeps_every_ngram(spark):
         triple.update((a * size + b) * size + d for a, b, d in zip(way, way[1:], way[2:], strict=False))
     assert min(triple.values()) == 1
     whole = lm.Automaton(ones, double, triple, int(ones[1:].sum()), size - 1)
+    monkeypatch.setattr(lm, "BLOCK", 400)  # several blocks and ranges
+    monkeypatch.setattr(lm, "ENTRIES", 60)
     got = {r["doc_id"]: r["score"] for r in lm.scored(frame(spark, rows).repartition(5, "doc_id")).collect()}
     assert len(got) == len(rows)
     assert all(abs(got[i] - whole.traverse([*(ids[w] for w in split(t)), lm.END])) < 1e-6 for i, t in rows)
