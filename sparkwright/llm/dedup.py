@@ -23,8 +23,8 @@ probability (1 - 0.75**4)**32 < 6e-6, of 0.8 < 5e-8. Of 128 sketch bits such a p
 in 16 on average, deviation 3.8; pairs of more than MOST_BITS = 44 are not verified.
 
 Hot groups: all buckets are tables before they are joined, so that a join's sides are plain shuffles, which
-adaptive execution splits where one band is large; the pairs of a large bucket are dealt by pairs of its chunks
-of CHUNK members.
+adaptive execution splits where one band is large; the links of a document that is the least of many, and the pairs of a
+large bucket, are dealt by chunks of CHUNK members.
 
 Defined results: null or empty text, or one of white space only, has 0 shingles and is linked with nothing; a null
 doc_id takes no part in linking, is kept and has a null component_id; repeated rows
@@ -51,8 +51,8 @@ TASK_LINKS = 50_000
 SMALL = 8
 #: Similarity at least NUM / DEN.
 NUM, DEN = 75, 100
-#: Members of a large bucket that meet in one group of its pairs.
-CHUNK = 1024
+#: Members of a star or of a large bucket that meet in one group of its links.
+CHUNK = 512
 #: Bits of the filter that finds linked candidates in the second scan, at most (8 MB): with 16 a document, as many documents as it can tell.
 MOST_FILTER_BITS = 1 << 26
 #: Rows of keys up to which they are broadcast (about 64 MB); more are joined by shuffle.
@@ -175,11 +175,16 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     if pairs.isEmpty():
         return pairs
     items = cut(full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
+    # the least document of many has its set in several parts of its star
+    hot = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks")).filter("chunks > 1"))
+    hot = F.broadcast(hot) if hot.count() <= MOST_BROADCAST else hot
+    one = F.coalesce("chunks", F.lit(1).cast("long"))
     left = items.join(pairs.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-    right = items.join(pairs.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
+    left = left.join(hot, "a", "left").select("a", "x", F.explode(F.sequence(F.lit(0).cast("long"), one - 1)).alias("part"))
+    right = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), one).alias("part")).join(items.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     similar = shared * DEN >= NUM * (F.size("x") + F.size("y") - shared)
-    return cut(pairs.join(right, "b").join(left, "a").filter(similar).select("a", "b").distinct())
+    return cut(right.join(left, ["a", "part"]).filter(similar).select("a", "b").distinct())
 
 
 def close(n_a, n_b, s1_a, s1_b, s2_a, s2_b):
