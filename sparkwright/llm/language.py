@@ -9,7 +9,7 @@ the summed scores of MOST_EVIDENCE words at most.
 
 The model is fitted on at most SAMPLE_DOCS labelled training rows, those whose id hashes
 lowest among rows of at most SAMPLE_CHARS characters, so the fit is bounded and the same for any partitioning.
-Prediction reads whole texts, in slices: words are found and hashed in arrays, and each distinct word is scored once.
+Prediction reads whole texts, in slices, in arrays: words and n-grams are hashed, and looked up by their hashes.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; a text with letters but without any known
 word or n-gram (a script never seen) gets the language that sorts first with score 0; a null
@@ -32,7 +32,7 @@ from . import words as W
 from .shared import chosen, documents, fold
 
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 20_000
-ORDERS, PENALTY, MOST_EVIDENCE, MEMO = (5, 4, 3, 2, 1), 7.0, 20, 200_000
+ORDERS, PENALTY, MOST_EVIDENCE = (5, 4, 3, 2, 1), 7.0, 20
 FOLDS, HELD = 3, 1
 LEAST_SCORE = 0.5
 
@@ -41,6 +41,7 @@ SLICE_CHARS, TOP = 1 << 20, 0x20000
 OTHER, LETTER, MARK = 0, 1, 2
 U64 = np.uint64
 _STEP = U64(0x9E3779B97F4A7C15)
+_places = W.mix(np.arange(300, 305, dtype=U64)) | U64(1)
 _made: list[np.ndarray] = []
 
 
@@ -68,16 +69,35 @@ def words(texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np.ndar
     return joined, begin, end, np.searchsorted(np.cumsum([len(t) + 1 for t in lowered]), begin, side="right")
 
 
+def codes(joined: str, begin: np.ndarray, end: np.ndarray, frame: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' code points, mixed, one word after the other, with ``frame`` spaces before and after each; where each begins; its length."""
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    length = end - begin
+    wide = length + 2 * frame
+    first = np.cumsum(wide) - wide
+    out = np.full(int(wide.sum()), ord(" "), U64)
+    place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    out[np.repeat(first + frame, length) + place] = code[np.repeat(begin, length) + place]
+    return W.mix(out + U64(1)), first, wide
+
+
 def hashes(joined: str, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words."""
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(U64)
-    length = end - begin
-    first = np.cumsum(length) - length
-    place = np.arange(int(length.sum())) - np.repeat(first, length)
+    own, first, length = codes(joined, begin, end)
     power = np.full(int(length.max()), _STEP, U64)
     power[0] = 1
     np.multiply.accumulate(power, out=power)
-    return W.mix(np.add.reduceat(W.mix(code[np.repeat(begin, length) + place]) * power[place], first) + length.astype(U64))
+    place = np.arange(len(own)) - np.repeat(first, length)
+    return W.mix(np.add.reduceat(own * power[place], first) + length.astype(U64))
+
+
+def gram_hashes(own: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of each n code points in a row."""
+    m = max(0, len(own) - n + 1)
+    total = np.full(m, U64(n))
+    for k in range(n):
+        total += own[k : k + m] * _places[k]
+    return W.mix(total)
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -85,8 +105,14 @@ def grams(word: str, n: int) -> list[str]:
     return [g for i in range(len(framed) - n + 1) if (g := framed[i : i + n]) != " "]
 
 
+def _entry_hashes(entries: list[str], n: int) -> np.ndarray:
+    length = np.array([len(e) for e in entries], np.int64)
+    end = np.cumsum(length)
+    return hashes("".join(entries), end - length, end) if n == 0 else gram_hashes(codes("".join(entries), end - length, end)[0], n)[:: n]
+
+
 def fit(rows) -> dict:
-    """The model of (text, lang) rows: languages, and by order (0: words) each entry's cost in every language."""
+    """The model of (text, lang) rows: languages, and by order (0: words) the entries' hashes, ascending, and each one's cost in every language."""
     counts: dict[int, dict[str, Counter]] = {n: {} for n in (0, *ORDERS)}
     for text, lang in rows:
         joined, begin, end, _ = words([text])
@@ -106,44 +132,47 @@ def fit(rows) -> dict:
             for entry, c in by_lang[lang].items():
                 if c > 1:
                     table.setdefault(entry, [PENALTY] * len(languages))[k] = min(PENALTY, -math.log10(c / total))
-        tables[n] = table
+        h = _entry_hashes(list(table), n) if table else np.zeros(0, U64)
+        order = np.argsort(h)
+        tables[n] = h[order], np.array(list(table.values())).reshape(len(table), len(languages))[order]
     return {"languages": languages, "tables": tables}
 
 
 class Scorer:
     def __init__(self, model: dict):
         self.languages, self.tables = model["languages"], model["tables"]
-        self.reset()
-
-    def reset(self):
-        self.place: dict[int, int] = {}
-        self.costs = np.zeros((MEMO, len(self.languages)))
-        self.known = np.zeros(MEMO, bool)
 
-    def cost(self, word: str) -> list[float] | None:
-        if (own := self.tables[0].get(word)) is not None:
-            return own
-        for n in ORDERS:
-            table = self.tables[n]
-            if found := [c for g in grams(word, n) if (c := table.get(g)) is not None]:
-                return [sum(x) / len(found) for x in zip(*found, strict=True)]
-        return None
+    def found(self, n: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes have an entry of order n, and where."""
+        known = self.tables[n][0]
+        if not len(known):
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        return known[at] == h, at
 
     def looked_up(self, joined: str, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each word its cost in every language and whether it has one."""
+        """For each word its cost in every language and whether it has one: its own, or the mean of its longest n-grams that are known."""
         distinct, first, inverse = np.unique(hashes(joined, begin, end), return_index=True, return_inverse=True)
-        costs, known = np.zeros((len(distinct), len(self.languages))), np.zeros(len(distinct), bool)
-        for low in range(0, len(distinct), MEMO):
-            part = distinct[low : low + MEMO].tolist()
-            if len(self.place) + len(part) > MEMO:
-                self.reset()
-            for h, k in zip(part, first[low : low + MEMO].tolist(), strict=True):
-                if h not in self.place:
-                    i = self.place[h] = len(self.place)
-                    if (own := self.cost(joined[begin[k] : end[k]])) is not None:
-                        self.costs[i], self.known[i] = own, True
-            at = np.fromiter(map(self.place.__getitem__, part), np.int64, len(part))
-            costs[low : low + MEMO], known[low : low + MEMO] = self.costs[at], self.known[at]
+        costs = np.zeros((len(distinct), len(self.languages)))
+        known, at = self.found(0, distinct)
+        costs[known] = self.tables[0][1][at[known]]
+        rest = np.flatnonzero(~known)
+        for n in ORDERS:
+            if not len(rest):
+                break
+            own, start, length = codes(joined, begin[first[rest]], end[first[rest]], 1)
+            word = np.repeat(np.arange(len(rest)), length)
+            h = gram_hashes(own, n)
+            inside = np.arange(len(h)) + n <= (start + length)[word[: len(h)]]
+            hit, at = self.found(n, h)
+            hit &= inside
+            word, at = word[: len(h)][hit], at[hit]
+            many = np.bincount(word, minlength=len(rest))
+            has = many > 0
+            for lang in range(len(self.languages)):
+                costs[rest[has], lang] = (np.bincount(word, self.tables[n][1][at, lang], len(rest)) / np.maximum(many, 1))[has]
+            known[rest[has]] = True
+            rest = rest[~has]
         return costs[inverse], known[inverse]
 
     def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:

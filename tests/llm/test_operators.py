@@ -449,10 +449,15 @@ def test_language(spark):
 
 
 def test_backoff_goes_to_shorter_grams():
-    s = language.Scorer(language.fit([("abcdef abcdef", "x"), ("uvwxyz uvwxyz", "y")]))
-    assert s.cost("abcdef") == s.tables[0]["abcdef"]
-    assert s.cost("abcdeq")[0] < s.cost("abcdeq")[1] and s.cost("qa")[0] < s.cost("qa")[1]
-    assert s.cost("qq") is None and s.predict("漢字 qq") == ("x", 0.0)  # the frame is no evidence
+    s = language.Scorer(language.fit([("abcdef abcdef gh", "x"), ("uvwxyz uvwxyz", "y")]))
+
+    def cost(word):
+        costs, known = s.looked_up(word, np.array([0]), np.array([len(word)]))
+        return list(costs[0]) if known[0] else None
+
+    assert np.allclose(cost("abcdef"), [-math.log10(2 / 3), 7.0]) and cost("gh") != cost("abcdef")
+    assert cost("abcdeq")[0] < cost("abcdeq")[1] and cost("qa")[0] < cost("qa")[1]
+    assert cost("qq") is None and s.predict("漢字 qq") == ("x", 0.0)  # the frame is no evidence
     assert s.predict("漢字 qq uvw")[0] == "y"
 
 
@@ -507,12 +512,11 @@ def test_language_by_plain_loops(spark):
     for i, t in enumerate(texts):
         lang, score = predict(t)
         assert abs(got[i]["score"] - score) < 1e-9 and got[i]["lang_pred"] == lang, t
-    old = language.SLICE_CHARS, language.MEMO
-    language.SLICE_CHARS, language.MEMO = 40, 7  # many slices, a memory that overflows
+    old, language.SLICE_CHARS = language.SLICE_CHARS, 40  # many slices
     try:
         again = language.Scorer(model).predict_all(texts[:40])
     finally:
-        language.SLICE_CHARS, language.MEMO = old
+        language.SLICE_CHARS = old
     assert [(l, round(s, 9)) for l, s in again] == [(got[i]["lang_pred"], round(got[i]["score"], 9)) for i in range(40)]
     assert language.identified(frame(spark, []), model).count() == 0 and language.known_language(frame(spark, []), model).count() == 0
 
