@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next stage's docs. All but the last return the columns of documents.
+
+Defined results: a null or empty text is civil but in no language, so it goes at language ID; a null doc_id is in no
+training row or group of duplicates and stays if its text does; rows that repeat id and text are one document after
+near-dedup; of a group the least id stays; texts of any length are read whole; columns of other names stay as
+they are until the last stage; an empty table gives no rows in every stage.
 """
 
 import uuid
@@ -57,4 +62,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            removed(spark, f"{base}/{k - 1}")
     return docs
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a stage's table that its successor has read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
