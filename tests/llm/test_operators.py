@@ -793,6 +793,31 @@ def test_pipeline(spark):
     assert ids == firsts - leaks and ids
 
 
+def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(22)
+    given_docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plain = [(r["doc_id"] + 1000, r["text"], r["lang"]) for r in given_docs.collect()]
+    odd = [(i, t, None) for i, t in ODD] + [(900 + k, prose(rng, 40), "en") for k in range(3)]
+    rows = spark.createDataFrame([(i, t, lang, "s", len(t or ""), 1, "x") for i, t, lang in odd + plain], "doc_id long, text string, lang string, source string, n_chars long, c0 int, score string")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for docs, some in ((rows, True), (rows.limit(0), False)):
+        for name, stage in P.STAGES:
+            got = stage(spark, docs, str(tmp_path))
+            assert name == P.STAGES[-1][0] or got.schema == docs.schema
+            if some:
+                n, before = got.count(), docs.count()
+                assert n == before if name in ("toxicity", "benchmark decontamination", "byte-level BPE") else 0 < n < before  # without labels and items nothing goes
+                if name == "language ID":
+                    assert not {1, 2, 3} & {r["doc_id"] for r in got.collect()}
+            else:
+                assert got.count() == 0
+            if name != P.STAGES[-1][0]:
+                docs = spark.createDataFrame(got.toArrow(), docs.schema)
+
+
 def test_search_sql(spark):
     import duckdb
 
