@@ -195,32 +195,42 @@ def _sentence_machine(sentences: list[np.ndarray], text: np.ndarray, labels: np.
     """The score of each unit in ``used`` by an SVM on sentences (arrays of units), whose features are the sums of their units'."""
     place = np.full(len(names), -1)
     place[used] = np.arange(len(used))
-    word = place[np.concatenate(sentences)]
-    sentence = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])[word >= 0]
+    word = place[np.concatenate(sentences)].astype(np.int32)
+    sentence = np.repeat(np.arange(len(sentences), dtype=np.int32), [len(s) for s in sentences])[word >= 0]
     word = word[word >= 0]
     chars = np.frombuffer(b"".join(names[i] for i in used), np.uint8)
     length = np.array([len(names[i]) for i in used])
-    parts = [(np.flatnonzero(same), code[same], np.float32(weight), unit) for _, same, code, weight, unit in triples(chars, np.cumsum(length) - length)]
-    owner = np.concatenate([unit[at] for at, _, _, unit in parts])
-    codes, triple = np.unique(np.concatenate([code for _, code, _, _ in parts]), return_inverse=True)
-    value = np.concatenate([np.full(len(at), weight) for at, _, weight, _ in parts]) / norms(int(length.max()))[length][owner]
+    scale = norms(int(length.max()))[length]
+    begin = np.cumsum(length) - length
+    number = np.zeros(1 << 3 * BITS, np.int32)  # triples that occur, numbered
+    for _, same, code, _, _ in triples(chars, begin):
+        number[code[same]] = 1
+    count = int(number.sum())
+    number = np.cumsum(number, dtype=np.int32) - 1
+    # for each pair of offsets: units, triples and their weights
+    parts = [(own := unit[:n][same], number[code[same]], (weight / scale[own]).astype(np.float32)) for n, same, code, weight, unit in triples(chars, begin)]
+
+    def unit_values(w):
+        return sum(np.bincount(own, value * w[triple], len(used)) for own, triple, value in parts)
+
+    def triple_values(of):
+        return sum(np.bincount(triple, value * of[own], count) for own, triple, value in parts)
+
     y = np.where(labels[text] > 0, 1.0, -1.0)
     share = 1 / np.bincount(text)[text]  # each text counts once, however many sentences it has, and both labels weigh the same
     for kind in (1.0, -1.0):
         share[y == kind] *= 0.5 / share[y == kind].sum()
     scale = 1 / np.sqrt(np.maximum(1, np.bincount(sentence, minlength=len(sentences))))
-    w, first, second, bias = np.zeros((4, len(codes)))
-    bias = np.zeros(3)
+    (w, first, second), bias = np.zeros((3, count)), np.zeros(3)
     for step in range(1, SENTENCE_STEPS + 1):
-        score = np.bincount(owner, value * w[triple], len(used))
-        margin = 1 - y * (np.bincount(sentence, score[word], len(sentences)) * scale + bias[0])
+        margin = 1 - y * (np.bincount(sentence, unit_values(w)[word], len(sentences)) * scale + bias[0])
         pull = share * y * np.maximum(0, margin)  # of the squared hinge
-        gradient = np.bincount(triple, value * np.bincount(word, (pull * scale)[sentence], len(used))[owner], len(codes)) - SENTENCE_L2 * w
+        gradient = triple_values(np.bincount(word, (pull * scale)[sentence], len(used))) - SENTENCE_L2 * w
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         w += SENTENCE_RATE * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-7)
         bias[1:] = 0.9 * bias[1] + 0.1 * pull.sum(), 0.99 * bias[2] + 0.01 * pull.sum() ** 2
         bias[0] += SENTENCE_RATE * bias[1] / (1 - 0.9**step) / (np.sqrt(bias[2] / (1 - 0.99**step)) + 1e-7)
-    return np.bincount(owner, value * w[triple], len(used))
+    return unit_values(w)
 
 
 def fit(rows) -> dict | None:
