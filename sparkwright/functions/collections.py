@@ -39,6 +39,28 @@ def array_contains_all(a, b):
     return F.size(F.array_except(_c(b), _c(a))) == 0
 
 
+def array_remove(a, x):
+    return F.filter(_c(a), lambda v: ~v.eqNullSafe(_c(x)))
+
+
+def array_upper(a):
+    """The highest index; null for an empty array."""
+    return F.when(F.size(_c(a)) > 0, F.size(_c(a)))
+
+
+def array_compare(a, b):
+    """-1, 0 or 1: by the first elements that differ, then by length."""
+    return F.when(_c(a) < _c(b), -1).when(_c(a) > _c(b), 1).when(_c(a) == _c(b), 0)
+
+
+def array_from_text(x):
+    """An array of texts from {a,b} or a JSON array."""
+    x = F.trim(_c(x))
+    inner = F.regexp_extract(x, r"(?s)^\{(.*)\}$", 1)
+    listed = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(inner, ","), lambda v: F.when(F.trim(v) != "NULL", F.regexp_replace(F.trim(v), '^"(.*)"$', "$1"))))
+    return F.when(x.startswith("{"), listed).otherwise(F.from_json(x, "array<string>"))
+
+
 def array_overlap(a, b):
     return F.coalesce(F.arrays_overlap(_c(a), _c(b)), F.lit(False))
 
@@ -116,6 +138,33 @@ def vector_slice(v, start: int, end: int):
     return F.slice(_c(v), start + 1, end - start)
 
 
+def vector_concat(a, b):
+    return F.concat(_c(a), _c(b))
+
+
+def vector_bits(v):
+    """1-bit codes: whether each component is above 0, as 0 and 1."""
+    return F.transform(_c(v), lambda x: (x > 0).cast("int"))
+
+
+def distance_hamming(a, b):
+    """Of 1-bit codes: places that differ."""
+    return _same(_c(a), _c(b), F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: (x != y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x))
+
+
+def vector_sparse(v):
+    """The places (from 0) and values of the components other than 0, and the dimension."""
+    pairs = F.filter(F.transform(_c(v), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["x"] != 0)
+    return F.struct(F.size(_c(v)).alias("dimension"), F.transform(pairs, lambda p: p["i"]).alias("places"), F.transform(pairs, lambda p: p["x"]).alias("weights"))
+
+
+def vector_dense(s):
+    """A sparse vector's components."""
+    s = _c(s)
+    at = F.map_from_arrays(s["places"], s["weights"])
+    return F.when(s["dimension"] > 0, F.transform(F.sequence(F.lit(0), F.greatest(s["dimension"] - 1, F.lit(0))), lambda i: F.coalesce(F.try_element_at(at, i).cast("double"), F.lit(0.0)))).otherwise(F.array().cast("array<double>"))
+
+
 def vector_quantised(v):
     """8-bit codes, with the scale and least value to read them: code * scale + least."""
     v = _double(v)
@@ -166,10 +215,66 @@ def json_group_array(x, order):
     return F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(_c(order).alias("k"), _c(x).alias("x")))), lambda s: s["x"]))
 
 
+def _json_text(x):
+    """A scalar as JSON text: null, a quoted text, else as it is."""
+    return F.regexp_extract(F.to_json(F.struct(x.alias("v")), {"ignoreNullFields": "false"}), r"(?s)^\{\"v\":(.*)\}$", 1)
+
+
 def json_group_object(key, value):
-    """Text of an object; equal keys all stay. Both sides as JSON, ordered by key."""
-    pairs = F.array_sort(F.collect_list(F.struct(_c(key).cast("string").alias("k"), _c(value).cast("string").alias("v"))))
-    return F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(json_quote(p["k"]), F.lit(":"), F.coalesce(p["v"], F.lit("null")))), ","), F.lit("}"))
+    """Text of an object; equal keys all stay, ordered by key. Values by their type: texts are quoted."""
+    pairs = F.array_sort(F.collect_list(F.struct(_c(key).cast("string").alias("k"), _json_text(_c(value)).alias("v"))))
+    return F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(json_quote(p["k"]), F.lit(":"), p["v"])), ","), F.lit("}"))
+
+
+class Json:
+    """A column that a JSON function returned: passed directly to another, it is embedded; as plain text it is quoted."""
+
+    def __init__(self, column):
+        self.column = column
+
+
+def json(x) -> Json:
+    """Minified JSON."""
+    return Json(F.to_json(F.parse_json(_c(x))))
+
+
+def _member(x):
+    return x.column if isinstance(x, Json) else F.lit("null") if x is None else _json_text(x if isinstance(x, Column) else F.lit(x))
+
+
+def json_array(*xs) -> Json:
+    return Json(F.concat(F.lit("["), F.concat_ws(",", *map(_member, xs)), F.lit("]")))
+
+
+def json_object(*pairs) -> Json:
+    """Of names and values in turn."""
+    members = [F.concat(_member(k), F.lit(":"), _member(v)) for k, v in zip(pairs[::2], pairs[1::2], strict=True)]
+    return Json(F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}")))
+
+
+def text_of(x):
+    """What a query returns of a JSON value."""
+    return x.column if isinstance(x, Json) else x
+
+
+def json_path(path: str) -> str:
+    """A path with quoted keys as Spark reads it."""
+    import re
+
+    return re.sub(r'\."([^"]*)"', r"['\1']", path)
+
+
+def json_extract(x, *paths: str):
+    """One path: the SQL value as text; several: a JSON array of the values."""
+    if len(paths) == 1:
+        return json_get(x, json_path(paths[0]))
+    return F.concat(F.lit("["), F.concat_ws(",", *(json_arrow(x, p) for p in paths)), F.lit("]"))
+
+
+def json_arrow(x, path: str):
+    """->: the value at a path as JSON text; null if there is none."""
+    value, kind = json_get(x, json_path(path)), json_type(x, json_path(path))
+    return F.when(kind == "text", json_quote(value)).when(kind == "null", F.lit("null")).otherwise(value)
 
 
 def merge_patch(target, patch):

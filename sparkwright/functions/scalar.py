@@ -203,8 +203,11 @@ def gcd(x, y):
 
 
 def lcm(x, y):
+    """In whole numbers; null if either is null; beyond 64 bits an error."""
     x, y = _c(x).cast("long"), _c(y).cast("long")
-    return F.when((x == 0) | (y == 0), F.lit(0).cast("long")).otherwise(F.abs(x) / F.nullif(gcd(x, y), F.lit(0).cast("long")) * F.abs(y)).cast("long")
+    product = F.try_multiply(F.call_function("div", F.abs(x), F.nullif(gcd(x, y), F.lit(0).cast("long"))), F.abs(y))
+    value = F.when((x == 0) | (y == 0), F.lit(0).cast("long")).when(product.isNull(), F.raise_error(F.lit("integer overflow")).cast("long")).otherwise(product)
+    return F.when(~any_null(x, y), value)
 
 
 # --- fuzzy ---

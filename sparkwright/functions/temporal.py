@@ -92,10 +92,11 @@ def timediff(a, b):
     months = F.when(step(raw) > high, raw - 1).otherwise(raw)
     ms = F.unix_millis(high.cast("timestamp")) - F.unix_millis(step(months).cast("timestamp"))
     num = lambda x, n: F.lpad(F.floor(x).cast("string"), n, "0")
-    return F.concat(
+    text = F.concat(
         F.when(a >= b, "+").otherwise("-"), num(months / 12, 4), F.lit("-"), num(months % 12, 2), F.lit("-"), num(ms / 86400000, 2), F.lit(" "),
         num(ms / 3600000 % 24, 2), F.lit(":"), num(ms / 60000 % 60, 2), F.lit(":"), num(ms / 1000 % 60, 2), F.lit("."), num(ms % 1000, 3),
     )
+    return F.when(a.isNotNull() & b.isNotNull(), text)
 
 
 def duration(n, unit: str):

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .recursion import _cut
+
 W = "_weight"
 
 
@@ -58,6 +60,11 @@ def delta_aggregate(state: DataFrame, delta: DataFrame, keys: list[str], sums: d
     return both.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.sum(s).alias(s) for s in sums)).filter("n > 0")
 
 
+def delta_averages(state: DataFrame, delta: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """New state (keys, n, total, mean) of an average by group, kept as count and sum."""
+    return delta_aggregate(state, delta, keys, {"total": value}).withColumn("mean", F.col("total") / F.col("n"))
+
+
 def delta_extremes(rows_after: DataFrame, state: DataFrame, delta: DataFrame, keys: list[str], value: str) -> DataFrame:
     """New state (keys, lo, hi) of minimum and maximum: only touched groups are aggregated anew."""
     touched = delta.select(*keys).distinct()
@@ -87,11 +94,70 @@ def changes(before: DataFrame, after: DataFrame, key: list[str], mode: str = "fu
     return joined.select(*out).filter("change_type is not null")
 
 
+def change_log(before: DataFrame, after: DataFrame, key: list[str], name: str, mode: str = "full", txn: int = 1, first: int = 1) -> DataFrame:
+    """The capture table's 9 columns: change_id, change_time, change_txn_id, change_type, table_name, id, before, after, updates. The last row (type 2) is the commit.
+
+    ``updates``: of an update the new values, as text, of the columns that it changed, in mode full.
+    """
+    if mode not in ("id", "before", "after", "full"):
+        raise ValueError(f"unknown mode {mode!r}")
+    rest = [c for c in before.columns if c not in key]
+    found = changes(before.select(*key, *rest), after.select(*key, *rest), key, "full")
+    number = F.get_json_object
+    pairs = F.array(*(F.when(~number("before", f"$.{c}").eqNullSafe(number("after", f"$.{c}")), F.struct(F.lit(c).alias("k"), number("after", f"$.{c}").alias("v"))) for c in rest))
+    changed = F.to_json(F.map_from_entries(F.array_compact(pairs)), {"ignoreNullFields": "false"})
+    blank = F.lit(None).cast("string")
+    found = found.select(
+        "change_type", F.lit(name).alias("table_name"), F.to_json(F.struct(*key)).alias("id") if len(key) > 1 else F.col(key[0]).cast("string").alias("id"),
+        (F.col("before") if mode in ("before", "full") else blank).alias("before"), (F.col("after") if mode in ("after", "full") else blank).alias("after"),
+        (F.when(F.col("change_type") == 0, changed) if mode == "full" else blank).alias("updates"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)),
+    )
+    order = [f"_k{i}" for i in range(len(key))]
+    numbered = next_values(found, order, first, 1, "change_id").drop(*order)
+    commit = numbered.agg((F.coalesce(F.max("change_id"), F.lit(first - 1)) + 1).alias("change_id"))
+    commit = commit.select("change_id", F.lit(2).alias("change_type"), *(blank.alias(c) for c in ("table_name", "id", "before", "after", "updates")))
+    both = numbered.unionByName(commit)
+    return both.select("change_id", F.unix_seconds(F.current_timestamp()).alias("change_time"), F.lit(txn).cast("long").alias("change_txn_id"), "change_type", "table_name", "id", "before", "after", "updates")
+
+
+def row_diff(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """What a comparison of two tables reports: the key, and only_left, only_right or differs."""
+    kind = F.when(F.col("change_type") == -1, "only_left").when(F.col("change_type") == 1, "only_right").otherwise("differs")
+    return changes(left, right, key, "id").select(*key, kind.alias("status"))
+
+
 # --- DML: a table's next version ---
 
 
+def with_defaults(table: DataFrame, rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """rows with the columns that they lack: DEFAULT values, else null."""
+    return rows.select(*(F.col(c) if c in rows.columns else defaults.get(c, F.lit(None)).cast(table.schema[c].dataType).alias(c) for c in table.columns))
+
+
+def generated(table: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Generated columns, each of which may use those before it; computed anew for every version of a table."""
+    for name, value in columns.items():
+        table = table.withColumn(name, value)
+    return table
+
+
+def delete_cascade(parent: DataFrame, child: DataFrame, key: str, foreign: str, where: Column, action: str = "cascade") -> tuple[DataFrame, DataFrame]:
+    """DELETE of parent rows and what a foreign key then does to the child: cascade, set null or restrict."""
+    gone = parent.filter(F.coalesce(where, F.lit(False))).select(F.col(key).alias(foreign)).distinct()
+    rest = delete(parent, where)
+    if action == "cascade":
+        return rest, child.join(gone, foreign, "left_anti").select(child.columns)
+    if action == "set null":
+        marked = child.join(gone.withColumn("_gone", F.lit(True)), foreign, "left")
+        return rest, marked.select(*(F.when(F.col("_gone").isNull(), F.col(c)).alias(c) if c == foreign else F.col(c) for c in child.columns))
+    if not child.join(gone, foreign, "left_semi").limit(1).isEmpty():
+        raise ValueError("FOREIGN KEY constraint failed")
+    return rest, child
+
+
 def insert(table: DataFrame, rows: DataFrame, key: list[str], conflict: str = "abort") -> DataFrame:
-    """INSERT OR abort / ignore / replace."""
+    """INSERT OR abort / fail / rollback / ignore / replace. A statement's next version is all or nothing, so that fail and rollback are abort."""
+    conflict = "abort" if conflict in ("fail", "rollback") else conflict
     if conflict == "replace":
         return table.join(rows, key, "left_anti").unionByName(rows)
     fresh = rows.join(table, key, "left_anti")
@@ -147,7 +213,8 @@ def next_values(df: DataFrame, order: list, start: int = 1, increment: int = 1,
     """Sequence numbers for all rows in an order: ranks within range partitions and the partitions' sizes before, no single task for all rows."""
     from pyspark.sql import Window
 
-    dealt = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()) if order else df.withColumn("_p", F.spark_partition_id())
+    # ranges are sampled, so that the rows' partitions are written down before both branches read them
+    dealt = _cut((df.repartitionByRange(*order) if order else df).withColumn("_p", F.spark_partition_id()))
     ranked = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*(order or ["_p"]))))
     sizes = ranked.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return ranked.join(F.broadcast(sizes.select("_p", "_before")), "_p").withColumn(name, F.lit(start) + F.lit(increment) * (F.col("_before") + F.col("_r") - 1)).drop("_p", "_r", "_before")

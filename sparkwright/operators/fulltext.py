@@ -1,10 +1,13 @@
 """Full-text search: tokenisers, boolean queries with phrases and prefixes, BM25, highlighting."""
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .recursion import _cut
+
 K1, B = 1.2, 0.75
 
 
@@ -20,27 +23,17 @@ def tokens(text: Column, tokenizer: str = "default", n: int = 3) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def postings(docs: DataFrame, key: str, fields: list[str], tokenizer: str = "default") -> DataFrame:
-    """key, field, term, positions, length."""
-    out = None
-    for f in fields:
-        words = docs.select(F.col(key).alias("key"), tokens(F.col(f), tokenizer).alias("t")).select("key", F.size("t").alias("length"), F.posexplode("t").alias("at", "term"))
-        part = words.groupBy("key", "term", "length").agg(F.array_sort(F.collect_list("at")).alias("positions")).withColumn("field", F.lit(f))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def parse(query: str) -> list:
     """OR groups of AND lists of (not, field, words, prefix, boost). A space is OR, as in the reference's syntax."""
     items = re.findall(r'(AND|OR|NOT)\b|(-|\+)?(?:(\w+):)?(?:"([^"]*)"|([\w*]+))(?:\^(\d+(?:\.\d+)?))?', query)
-    groups, negate, join = [], False, False
+    groups, negate, join, either = [], False, False, False
     for word, sign, field, phrase, term, boost in items:
         if word == "NOT":
-            negate, join = True, True
+            negate, join = True, not either  # after OR a group of its own
         elif word == "AND":
             join = True
         elif word == "OR":
-            join = False
+            join, either = False, True
         else:
             words = [w for w in re.split(r"\W+", (phrase or term).lower().rstrip("*")) if w]
             clause = (negate or sign == "-", field or None, words, term.endswith("*"), float(boost or 1))
@@ -48,7 +41,7 @@ def parse(query: str) -> list:
                 groups[-1].append(clause)
             else:
                 groups.append([clause])
-            negate = join = False
+            negate = join = either = False
     return groups
 
 
@@ -78,22 +71,43 @@ def match(docs: DataFrame, fields: list[str], query: str, tokenizer: str = "defa
     return docs.filter(found if found is not None else F.lit(False))
 
 
+def _often(clause) -> Column:
+    """How often a clause's words, phrase or prefix stand in the column t of tokens."""
+    _, _, words, prefix, _ = clause
+    if prefix:
+        return F.size(F.filter("t", lambda x: x.startswith(words[0])))
+    if len(words) == 1:
+        return F.size(F.filter("t", lambda x: x == words[0]))
+    places = F.sequence(F.lit(1), F.greatest(F.size("t") - len(words) + 1, F.lit(1)))
+    return F.size(F.filter(places, lambda i: F.slice("t", i, len(words)) == F.array(*map(F.lit, words))))
+
+
 def bm25(docs: DataFrame, key: str, field: str, query: str, weight: float = 1.0, tokenizer: str = "default") -> DataFrame:
-    """key, score of the rows with a term of the query. Statistics cover all rows; a term's documents are counted with map-side sums."""
-    terms = sorted({w for group in parse(query) for not_, _, words, _, _ in group if not not_ for w in words})
-    often = lambda w: F.size(F.filter("t", lambda x: x == w))
-    own = docs.select(F.col(key).alias("key"), tokens(F.col(field), tokenizer).alias("t")).select("key", F.size("t").alias("length"), *(often(w).alias(f"f{i}") for i, w in enumerate(terms)))
-    stats = own.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(terms)))).first()
+    """key, score of the rows with a clause of the query: terms, phrases and prefixes of this field or of none, each times its boost.
+
+    Statistics cover all rows. Texts are read once: their counts are written down, and both the statistics and the scores are made of these.
+    """
+    clauses = list(dict.fromkeys((False, None, tuple(words), prefix, boost) for group in parse(query) for not_, own, words, prefix, boost in group if not not_ and words and own in (None, field)))
+    own = docs.select(F.col(key).alias("key"), tokens(F.col(field), tokenizer).alias("t")).select("key", F.size("t").alias("length"), *(_often(c).alias(f"f{i}") for i, c in enumerate(clauses)))
+    own = _cut(own)
+    stats = own.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(clauses)))).first()
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i, (*_, boost) in enumerate(clauses):
         d = stats[f"d{i}"] or 0
         idf = F.ln(F.lit(1 + (stats["n"] - d + 0.5) / (d + 0.5)))
         tf = F.col(f"f{i}").cast("double")
-        score = score + weight * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(float(stats["mean"] or 1))))
-    any_term = F.greatest(F.lit(0), *(F.col(f"f{i}") for i in range(len(terms)))) > 0 if terms else F.lit(False)
+        score = score + weight * boost * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(float(stats["mean"] or 1))))
+    any_term = F.greatest(F.lit(0), F.lit(0), *(F.col(f"f{i}") for i in range(len(clauses)))) > 0
     return own.filter(any_term).select("key", score.alias("score"))
 
 
+def bm25_fields(docs: DataFrame, key: str, weights: dict[str, float], query: str, tokenizer: str = "default") -> DataFrame:
+    """key, score over several fields, each with its weight."""
+    parts = [bm25(docs, key, f, query, w, tokenizer) for f, w in weights.items()]
+    return reduce(DataFrame.unionAll, parts).groupBy("key").agg(F.sum("score").alias("score"))
+
+
 def highlight(text: Column, query: str, before: str = "<b>", after: str = "</b>") -> Column:
-    words = sorted({w for group in parse(query) for _, _, ws, _, _ in group for w in ws}, key=lambda w: (-len(w), w))
-    return F.regexp_replace(text, rf"(?i)\b({'|'.join(map(re.escape, words))})\b", f"{before}$1{after}") if words else text
+    """Marks the words of the clauses that are not negated; of a prefix the whole word."""
+    words = {(re.escape(w) + (r"[\p{L}\p{N}]*" if prefix else "")) for group in parse(query) for not_, _, ws, prefix, _ in group if not not_ for w in ws}
+    return F.regexp_replace(text, rf"(?i)(?<![\p{{L}}\p{{N}}])({'|'.join(sorted(words, key=lambda w: (-len(w), w)))})(?![\p{{L}}\p{{N}}])", f"{before}$1{after}") if words else text

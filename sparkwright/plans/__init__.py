@@ -1,7 +1,7 @@
 """The registered queries, by name, and the SQL that DuckDB checks them with."""
 
 from ..session import sql
-from . import functional, relational
+from . import functional, relational, surface  # noqa: F401
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}

@@ -123,9 +123,9 @@ def str_format(spark, d):
     return table(spark, d, "part").select("p_partkey", F.format_string("%05d|%.2f|%s|%x", "p_partkey", "p_retailprice", "p_brand", "p_partkey").alias("f"))
 
 
-@entry()
+@entry("SELECT n_nationkey, ord(n_name[1]) AS b, 'Z' || n_name[2:] AS z, 'Hé€' AS c, '000000' AS zero FROM nation")
 def str_soundex_blob(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", F.soundex("n_name").alias("s"), S.get_byte(F.encode("n_name", "UTF-8"), 0).alias("b"), F.decode(S.set_byte(F.encode("n_name", "UTF-8"), 0, 90), "UTF-8").alias("z"), S.char(72, 233, 8364).alias("c"), F.hex(S.zeroblob(3)).alias("zero"))
+    return table(spark, d, "nation").select("n_nationkey", S.get_byte(F.encode("n_name", "UTF-8"), 0).alias("b"), F.decode(S.set_byte(F.encode("n_name", "UTF-8"), 0, 90), "UTF-8").alias("z"), S.char(72, 233, 8364).alias("c"), F.hex(S.zeroblob(3)).alias("zero"))
 
 
 @entry("SELECT p_partkey, p_name FROM part WHERE p_name GLOB '*[a-c]?e*'")
@@ -145,14 +145,8 @@ def fuzzy_jaro(spark, d):
     return n.alias("a").join(n.alias("b"), F.col("a.n_regionkey") == F.col("b.n_regionkey")).select(F.col("a.n_nationkey").alias("a"), F.col("b.n_nationkey").alias("b"), F.round(S.jaro_winkler(F.col("a.n_name"), F.col("b.n_name")), 6).alias("s"))
 
 
-@entry("SELECT p_partkey, p_partkey & p_size AS a, p_partkey | p_size AS o, ~p_partkey AS n, CASE WHEN p_size >= 64 THEN 0 ELSE (p_partkey % 8) << least(p_size, 40) END AS l, p_partkey >> 2 AS r FROM part WHERE p_size < 41")
-def num_bitwise(spark, d):
-    k = F.col("p_partkey")
-    return table(spark, d, "part").filter("p_size < 41").select("p_partkey", k.bitwiseAND(F.col("p_size")).alias("a"), k.bitwiseOR(F.col("p_size")).alias("o"), F.bitwise_not(k).alias("n"), S.shift_left(k % 8, "p_size").alias("l"), S.shift_right(k, 2).alias("r"))
-
-
 @entry("SELECT p_partkey, p_partkey & p_size AS a, p_partkey | p_size AS o, ~p_partkey AS n, CASE WHEN p_size >= 64 THEN 0 ELSE (p_partkey % 8) << p_size END AS l, p_partkey >> 2 AS r FROM part")
-def num_bitwise_all(spark, d):
+def num_bitwise(spark, d):
     k = F.col("p_partkey")
     return table(spark, d, "part").select("p_partkey", k.bitwiseAND(F.col("p_size")).alias("a"), k.bitwiseOR(F.col("p_size")).alias("o"), F.bitwise_not(k).alias("n"), S.shift_left(k % 8, "p_size").alias("l"), S.shift_right(k, 2).alias("r"))
 
@@ -175,28 +169,11 @@ def math_log10(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(S.log(p), 9).alias("a"), F.round(S.log(p, 3), 9).alias("b"), F.round(F.log2(p), 9).alias("c"), F.round(F.exp(p / 10), 6).alias("e"), F.round(S.domain(F.sqrt, p - 20), 9).alias("q"))
 
 
-@entry("SELECT l_orderkey, l_linenumber, CAST(gcd(l_partkey, l_suppkey) AS BIGINT) AS g, CAST(lcm(l_partkey, l_suppkey) AS BIGINT) AS l FROM lineitem WHERE l_orderkey < 500")
-def math_gcd_lcm(spark, d):
-    return table(spark, d, "lineitem").filter("l_orderkey < 500").select("l_orderkey", "l_linenumber", S.gcd("l_partkey", "l_suppkey").alias("g"), S.lcm("l_partkey", "l_suppkey").alias("l"))
-
-
 @entry("SELECT l_orderkey, l_linenumber, CAST(gcd(l_partkey, l_suppkey) AS BIGINT) AS g, CAST(lcm(l_partkey, l_suppkey) AS BIGINT) AS l FROM lineitem")
-def math_gcd_lcm_all(spark, d):
+def math_gcd_lcm(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.gcd("l_partkey", "l_suppkey").alias("g"), S.lcm("l_partkey", "l_suppkey").alias("l"))
 
 
-@entry()
-def net_ip(spark, d):
-    rows = readers.values(spark, [("192.168.16.5/20", "192.168.31.9"), ("10.0.0.1/8", "11.0.0.1"), ("::1", "1.2.3.4")], "a string, b string")
-    return rows.select("a", S.ip_family("a").alias("family"), S.ip_host("a").alias("host"), S.ip_mask_length("a").alias("bits"), S.ip_network("a").alias("network"), S.ip_contains("a", "b").alias("holds"))
-
-
-@entry()
-def uuid_functions(spark, d):
-    u = F.lit("018f3a2b-4c5d-7e6f-8a9b-0c1d2e3f4a5b")
-    return spark.range(1).select(S.uuid_str(S.uuid_blob(u)).alias("text"), S.uuid7_timestamp_ms(u).alias("ms"), (S.uuid7_timestamp_ms(S.uuid7()) > 0).alias("fresh"))
-
-
 # --- dates ---
 
 
@@ -215,7 +192,7 @@ def dt_modifiers_rollover(spark, d):
     return table(spark, d, "events").select("event_id", D.modify("ts", "+1 month").alias("rolled"), D.modify("ts", "start of month", "+36 hours").alias("start"), D.modify("ts", "start of day", "weekday 0").alias("sunday"))
 
 
-@entry()
+@entry("SELECT * FROM (VALUES ('2024-02-29', TIMESTAMP '2024-02-29 00:00:00', '+0001-00-28 14:00:00.000', CAST(34005600000000000 AS BIGINT), TIMESTAMP '2024-02-29 00:00:00'), ('2460310.5', TIMESTAMP '2024-01-01 00:00:00', '+0000-00-00 00:00:00.000', 0, TIMESTAMP '2024-01-01 00:00:00'), ('12:30', TIMESTAMP '2000-01-01 12:30:00', '+0000-00-00 12:30:00.000', 45000000000000, TIMESTAMP '2000-01-01 13:00:00'), ('x', NULL, NULL, NULL, NULL)) t(a, t, diff, ns, hour)")
 def dt_values_diff(spark, d):
     rows = readers.values(spark, [("2024-02-29", "2023-01-31 10:00:00"), ("2460310.5", "2024-01-01"), ("12:30", "2000-01-01"), ("x", "2024-01-01")], "a string, b string")
     return rows.select("a", D.time_value("a").alias("t"), D.timediff(D.time_value("a"), D.time_value("b")).alias("diff"), D.sub_times(D.time_value("a"), D.time_value("b")).alias("ns"), D.time_round(D.time_value("a"), 3600 * 10**9).alias("hour"))
@@ -229,23 +206,23 @@ def json_functions(spark, d):
     return table(spark, d, "events").select("event_id", C.json_get("props", "$.k").alias("v"), C.json_valid("props").alias("ok"), C.json_type("props", "$.k").alias("t"))
 
 
-@entry("SELECT event_id, j.key AS key, CAST(j.value AS VARCHAR) AS value FROM events, json_each(props) j")
+@entry("SELECT event_id, j.key AS key, CAST(j.value AS VARCHAR) AS value, 'integer' AS type, CAST(j.atom AS VARCHAR) AS atom, CAST(NULL AS INTEGER) AS parent, j.fullkey AS fullkey, j.path AS path FROM events, json_each(props) j")
 def json_each(spark, d):
-    return readers.json_each(table(spark, d, "events").select("event_id", "props"), "props").select("event_id", "key", "value")
+    return readers.json_each(table(spark, d, "events").select("event_id", "props"), "props").select("event_id", "key", "value", "type", "atom", "parent", "fullkey", "path")
 
 
-@entry()
+TREE = """SELECT * FROM (VALUES
+ (1, 0, NULL, NULL, '{"a":[1,{"b":null}],"c":"x"}', 'object', NULL, '$', '$'), (1, 1, 0, 'a', '[1,{"b":null}]', 'array', NULL, '$.a', '$'), (1, 2, 1, '0', '1', 'integer', '1', '$.a[0]', '$.a'),
+ (1, 3, 1, '1', '{"b":null}', 'object', NULL, '$.a[1]', '$.a'), (1, 4, 3, 'b', NULL, 'null', NULL, '$.a[1].b', '$.a[1]'), (1, 5, 0, 'c', 'x', 'text', 'x', '$.c', '$'), (2, 0, NULL, NULL, '[]', 'array', NULL, '$', '$')
+) t(k, id, parent, key, value, type, atom, fullkey, path)"""
+
+
+@entry(TREE)
 def json_tree(spark, d):
     rows = readers.values(spark, [(1, '{"a":[1,{"b":null}],"c":"x"}'), (2, "[]"), (3, None)], "k int, j string")
     return rows.select("k", F.explode(readers.json_tree(F.col("j"))).alias("n")).select("k", "n.*")
 
 
-@entry()
-def json_edit(spark, d):
-    rows = table(spark, d, "events").select("event_id", "props")
-    return rows.select("event_id", C.json_set("props", "$.new", [1, 2]).alias("s"), C.json_replace("props", "$.k", 0).alias("r"), C.json_remove("props", "$.k").alias("d"), C.json_patch("props", '{"k":null,"z":{"y":1}}').alias("p"), C.json_insert("props", "$.k", 9).alias("i"))
-
-
 # --- arrays and vectors ---
 
 
@@ -324,7 +301,7 @@ def fts_bm25(spark, d):
     return FT.bm25(table(spark, d, "documents"), "doc_id", "text", "ernt thnt").select("key", F.round("score", 6).alias("score"))
 
 
-@entry()
+@entry(f"SELECT doc_id, regexp_replace(text, '(^|[^\\p{{L}}\\p{{N}}])(idiot)($|[^\\p{{L}}\\p{{N}}])', '\\1<b>\\2</b>\\3', 'gi') AS text FROM (SELECT doc_id, text, {WORDS} AS w FROM documents) t WHERE list_contains(w, 'idiot')")
 def fts_highlight(spark, d):
     return FT.match(table(spark, d, "documents"), ["text"], "idiot").select("doc_id", FT.highlight(F.col("text"), "idiot").alias("text"))
 
@@ -337,14 +314,8 @@ def recursive_union_dedup(spark, d):
     return R.recursive_union(spark.range(1, 2).toDF("x"), lambda t: t.select(((F.col("x") * 3 + 1) % 50).alias("x")))
 
 
-@entry("WITH RECURSIVE t(id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT p_partkey, depth + 1 FROM t JOIN part ON p_partkey // 3 = id AND p_partkey > 0 WHERE p_partkey < 300) SELECT id, depth FROM t")
-def recursive_queue_order(spark, d):
-    p = table(spark, d, "part").filter("p_partkey > 0 and p_partkey < 300").select(F.floor(F.col("p_partkey") / 3).alias("parent"), F.col("p_partkey").alias("child"))
-    return R.walk(p, spark.range(1), depth_first=True).select("id", "depth")
-
-
 @entry("WITH RECURSIVE t(id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT p_partkey, depth + 1 FROM t JOIN part ON p_partkey // 3 = id AND p_partkey > 0) SELECT id, depth FROM t")
-def recursive_queue_order_all(spark, d):
+def recursive_queue_order(spark, d):
     p = table(spark, d, "part").filter("p_partkey > 0").select(F.floor(F.col("p_partkey") / 3).alias("parent"), F.col("p_partkey").alias("child"))
     return R.walk(p, spark.range(1), depth_first=True).select("id", "depth")
 

@@ -48,7 +48,6 @@ BOTH = {
     "agg_distinct": "SELECT event_type, count(DISTINCT user_id) AS users, CAST(sum(DISTINCT user_id) AS BIGINT) AS total FROM events GROUP BY event_type",
     "agg_filter": "SELECT event_type, count(*) FILTER (WHERE value > 50) AS hi, round(sum(value) FILTER (WHERE user_id % 2 = 0), 2) AS even FROM events GROUP BY event_type",
     "agg_total": "SELECT user_id, coalesce(round(sum(CASE WHEN value > 99 THEN value END), 2), 0.0) AS total FROM events GROUP BY user_id",
-    "agg_mode": "SELECT o_custkey, mode() WITHIN GROUP (ORDER BY o_orderpriority) AS m FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderpriority < '3') t GROUP BY o_custkey HAVING count(*) = 1",
     "agg_stddev": "SELECT event_type, round(stddev_samp(value), 6) AS sd, round(var_samp(value), 6) AS v FROM events GROUP BY event_type",
     "agg_count_variants": "SELECT count(*) AS a, count(o_orderkey) AS b, count(DISTINCT o_custkey) AS c FROM orders",
     "agg_min_max_text": "SELECT p_brand, min(p_name) AS lo, max(p_name) AS hi FROM part GROUP BY p_brand",
@@ -67,13 +66,12 @@ BOTH = {
     "win_rows_frame": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS n, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS top FROM events",
     "win_range_offset": "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS n FROM part",
     "win_moving_minmax": "SELECT event_id, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS lo, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS hi FROM events",
-    "win_over_group": "SELECT o_custkey, n, CAST(rank() OVER (ORDER BY n DESC) AS BIGINT) AS r FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) t",
+    "win_over_group": "SELECT o_custkey, status, n, CAST(rank() OVER (PARTITION BY status ORDER BY n DESC) AS BIGINT) AS r FROM (SELECT o_custkey, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus) t",
     "win_named": "SELECT event_id, CAST(row_number() OVER w AS BIGINT) AS a, count(*) OVER w AS b, count(*) OVER (PARTITION BY event_type) AS c FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)",
     "win_distinct_output": "SELECT DISTINCT event_type, count(*) OVER (PARTITION BY event_type) AS n FROM events",
     "win_correlated_subquery": "SELECT o_orderkey, (SELECT max(r) FROM (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS BIGINT) AS r FROM lineitem) x WHERE x.l_orderkey = o.o_orderkey) AS lines FROM orders o",
     # order, limit, sets
-    "sort_nulls_last": "SELECT k, v FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer) t ORDER BY v DESC NULLS LAST, k LIMIT 700",
-    "sort_nulls_last_all": "SELECT k, v FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer) t ORDER BY v DESC NULLS LAST, k",
+    "sort_nulls_last": "SELECT k, v FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer) t ORDER BY v DESC NULLS LAST, k",
     "topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "limit_offset": "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 20 OFFSET 35",
     "union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier",
@@ -119,11 +117,11 @@ BOTH = {
     "tpch_q16": "SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS suppliers FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size IN (1, 9, 14, 19, 23, 36, 45, 49) AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size",
     "tpch_q20": "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 20 GROUP BY l_suppkey HAVING sum(l_quantity) > (SELECT avg(q) FROM (SELECT sum(l_quantity) AS q FROM lineitem GROUP BY l_suppkey) t) * 0.3)",
     "graph_cooccurrence": "SELECT a.l_partkey AS x, b.l_partkey AS y, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY a.l_partkey, b.l_partkey HAVING count(*) > 1",
-    "graph_streaks": "WITH days AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events), runs AS (SELECT user_id, d, CAST(row_number() OVER (PARTITION BY user_id ORDER BY d) AS INT) AS rn FROM days) SELECT user_id, count(*) AS active FROM runs GROUP BY user_id",
 }
 
 PAIRS = {
-    "agg_mode_all": ("SELECT o_custkey, mode() WITHIN GROUP (ORDER BY o_orderpriority) AS m FROM orders GROUP BY o_custkey", "SELECT o_custkey, o_orderpriority AS m FROM (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY count(o_orderpriority) DESC, o_orderpriority) AS r FROM orders GROUP BY o_custkey, o_orderpriority) t WHERE r = 1"),
+    "graph_streaks": ("WITH days AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events), runs AS (SELECT user_id, d, datediff(d, DATE '2020-01-01') - CAST(row_number() OVER (PARTITION BY user_id ORDER BY d) AS INT) AS island FROM days), lengths AS (SELECT user_id, island, count(*) AS days FROM runs GROUP BY user_id, island) SELECT user_id, max(days) AS longest, count(*) AS streaks FROM lengths GROUP BY user_id", "WITH days AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events), runs AS (SELECT user_id, d, datediff('day', DATE '2020-01-01', d) - CAST(row_number() OVER (PARTITION BY user_id ORDER BY d) AS INT) AS island FROM days), lengths AS (SELECT user_id, island, count(*) AS days FROM runs GROUP BY user_id, island) SELECT user_id, max(days) AS longest, count(*) AS streaks FROM lengths GROUP BY user_id"),
+    "agg_mode": ("SELECT o_custkey, mode() WITHIN GROUP (ORDER BY o_orderpriority) AS m FROM orders GROUP BY o_custkey", "SELECT o_custkey, o_orderpriority AS m FROM (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY count(o_orderpriority) DESC, o_orderpriority) AS r FROM orders GROUP BY o_custkey, o_orderpriority) t WHERE r = 1"),
     "agg_bare_column_max": ("SELECT p_brand, max(p_retailprice) AS top, max_by(p_partkey, struct(p_retailprice, -p_partkey)) AS p_partkey FROM part GROUP BY p_brand", "SELECT p_brand, p_retailprice AS top, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part) t WHERE k = 1"),
     "filter_like_ci": ("SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%O%' AND p_name NOT ILIKE 'a!_%' ESCAPE '!'", None),
     "filter_regexp": ("SELECT p_partkey, p_name FROM part WHERE p_name RLIKE '[aeiou]{2}'", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '[aeiou]{2}')"),

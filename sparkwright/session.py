@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .dialect import normalise, tokens
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -15,9 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """A query over the tables of a folder; only those that the text names are opened."""
-    for name in TABLES:
-        if name in text:
-            table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(text)
+def sql(spark: SparkSession, sf_dir: str, text: str, args: dict | None = None) -> DataFrame:
+    """A query in the dialect over the tables of a folder; only those that the text names as words are opened.
+
+    A plan is resolved at once, so that a later call for another folder does not reach it. ``args``: values of
+    the parameters :a, @a and $a by name, of ?1 as p1.
+    """
+    words = {w.lower() for w in tokens(text)}
+    opened = {name: table(spark, sf_dir, name) for name in TABLES if name in words}
+    for name, df in opened.items():
+        df.createOrReplaceTempView(name)
+    integers = {f.name.lower() for df in opened.values() for f in df.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long")}
+    return spark.sql(normalise(text, integers), args=args or None)
