@@ -382,3 +382,24 @@ def json_pretty(x):
         return t.map(lambda v: None if v is None else _json.dumps(_json.loads(v), indent=4, ensure_ascii=False))
 
     return run(_c(x))
+
+
+# --- binary JSON: Spark's variant ---
+
+
+def jsonb(x):
+    return F.parse_json(_c(x))
+
+
+def jsonb_extract(v, path: str):
+    """The value at a path, as a variant; null if there is none."""
+    return F.try_variant_get(_c(v), json_path(path), "variant")
+
+
+def jsonb_text(v):
+    return F.to_json(_c(v))
+
+
+def json_error_position(x):
+    """0 for valid JSON, else 1: Spark does not say where a text stops being JSON."""
+    return F.when(_c(x).isNotNull(), 1 - json_valid(x))

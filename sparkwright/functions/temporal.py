@@ -101,7 +101,7 @@ def timediff(a, b):
 
 def duration(n, unit: str):
     """Nanoseconds of n units: ns, us, ms, s, m, h."""
-    return (_c(n) * F.lit({"ns": 1, "us": 10**3, "ms": 10**6, "s": 10**9, "m": 60 * 10**9, "h": 3600 * 10**9}[unit])).cast("long")
+    return (_c(n) * F.lit({"ns": 1, "us": 10**3, "ms": 10**6, "s": 10**9, "m": 60 * 10**9, "h": 3600 * 10**9}[unit]).cast("long")).cast("long")
 
 
 def add_duration(ts, ns):

@@ -249,3 +249,40 @@ class Versions:
                 return
         if to is not None:
             raise KeyError(f"no such savepoint: {to}")
+
+
+class Sequence:
+    """CREATE SEQUENCE: take numbers a frame's rows in an order; currval is the last number given, setval sets it."""
+
+    def __init__(self, start: int = 1, increment: int = 1):
+        self.next, self.increment, self.last = start, increment, None
+
+    def take(self, df: DataFrame, order: list, name: str = "nextval") -> DataFrame:
+        out = _cut(next_values(df, order, self.next, self.increment, name))
+        n = out.count()
+        if n:
+            self.last = self.next + self.increment * (n - 1)
+            self.next = self.last + self.increment
+        return out
+
+    def currval(self) -> int:
+        if self.last is None:
+            raise ValueError("currval of a sequence before its first nextval")
+        return self.last
+
+    def setval(self, value: int, called: bool = True) -> int:
+        self.last, self.next = value, value + self.increment if called else value
+        return value
+
+
+def alter_table(table: DataFrame, add: dict[str, Column] | None = None, drop: list[str] = (), rename: dict[str, str] | None = None) -> DataFrame:
+    """ALTER TABLE: columns dropped, then renamed, then added with a value for the rows that are there."""
+    for c in [*drop, *(rename or {})]:
+        if c not in table.columns:
+            raise ValueError(f"no such column: {c}")
+    table = table.drop(*drop).withColumnsRenamed(rename or {})
+    for c, value in (add or {}).items():
+        if c.lower() in (x.lower() for x in table.columns):
+            raise ValueError(f"duplicate column name: {c}")
+        table = table.withColumn(c, value)
+    return table

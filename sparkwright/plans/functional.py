@@ -78,7 +78,9 @@ def agg_json_group_object(spark, d):
 
 @entry("SELECT n_regionkey, min(n_name) FILTER (WHERE r = CAST(ceil(0.5 * c) AS BIGINT)) AS middle FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS r, count(*) OVER (PARTITION BY n_regionkey) AS c FROM nation) t GROUP BY n_regionkey")
 def agg_percentile_disc_text(spark, d):
-    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.element_at(F.array_sort(F.collect_list("n_name")), F.ceil(F.count("n_name") * 0.5).cast("int")).alias("middle"))
+    by = Window.partitionBy("n_regionkey")
+    rows = table(spark, d, "nation").withColumn("r", F.row_number().over(by.orderBy("n_name"))).withColumn("c", F.count("*").over(by))
+    return rows.filter(F.col("r") == F.ceil(F.col("c") * 0.5)).select("n_regionkey", F.col("n_name").alias("middle"))
 
 
 @entry("SELECT event_type, round(exp(avg(ln(value + 1))), 6) AS g FROM events GROUP BY event_type")
@@ -267,7 +269,10 @@ _vector("vec_jaccard", C.distance_jaccard, "round(1 - list_sum(list_transform(li
 @entry("SELECT b.vec_id AS vec_id, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS d FROM embeddings a, embeddings b WHERE a.vec_id = 7 ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id LIMIT 10")
 def vec_topk(spark, d):
     e = table(spark, d, "embeddings")
-    asked = e.filter("vec_id = 7").select("embedding").limit(1).first()[0]  # one vector, as a constant
+    asked = e.filter("vec_id = 7").select("embedding").first()  # one vector, as a constant
+    if asked is None:
+        return e.select("vec_id", F.lit(0.0).alias("d")).limit(0)
+    asked = asked[0]
     near = e.select("vec_id", C.distance_l2("embedding", F.array(*(F.lit(float(x)) for x in asked))).alias("far"))
     return near.orderBy("far", "vec_id").limit(10).select("vec_id", F.round("far", 5).alias("d"))
 
@@ -452,7 +457,7 @@ def stream_replay_counts(spark, d):
 
     schema, name = table(spark, d, "events").schema, f"replay_{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    query = stream.groupBy("event_type").agg(F.count("*").alias("n")).writeStream.outputMode("complete").format("memory").queryName(name).start()
+    query = stream.groupBy("event_type").agg(F.count("*").alias("n")).writeStream.outputMode("complete").format("memory").option("checkpointLocation", f"{R.shared_folder(spark)}/{name}").queryName(name).start()
     try:
         query.processAllAvailable()
     finally:

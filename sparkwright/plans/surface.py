@@ -4,12 +4,14 @@ from pyspark.sql import functions as F
 
 from ..functions import collections as C
 from ..functions import extras as X
+from ..functions import registry
 from ..functions import scalar as S
+from ..functions import temporal as D
 from ..operators import changes as H
 from ..operators import fulltext as FT
 from ..operators import windows as WN
 from ..operators.recursion import shared_folder
-from ..session import sql, table
+from ..session import analyse, explain, sql, table
 from ..sources import readers, sinks
 from .functional import NEW, OLD, _states, entry
 
@@ -81,11 +83,11 @@ for _sql in ("CURRENT ROW", "GROUP", "TIES"):
 
     def _run(spark, d, kind=_sql.lower()):
         found = WN.excluding_aggregates(table(spark, d, "part"), ["p_brand"], ["p_size"], "p_retailprice", kind)
-        return found.select("p_partkey", "n", "low", "high", F.round("total", 2).alias("total"), F.round("mean", 4).alias("mean"))
+        return found.select("p_partkey", "n", "low", "high", F.round("total", 2).alias("total"), F.round("mean", 9).alias("mean"))
 
     _run.__name__ = f"win_exclude_{_sql.split()[0].lower()}_any"
     _w = f"(PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE {_sql})"
-    entry(f"SELECT p_partkey, count(p_retailprice) OVER {_w} AS n, min(p_retailprice) OVER {_w} AS low, max(p_retailprice) OVER {_w} AS high, round(sum(p_retailprice) OVER {_w}, 2) AS total, round(avg(p_retailprice) OVER {_w}, 4) AS mean FROM part")(_run)
+    entry(f"SELECT p_partkey, count(p_retailprice) OVER {_w} AS n, min(p_retailprice) OVER {_w} AS low, max(p_retailprice) OVER {_w} AS high, round(sum(p_retailprice) OVER {_w}, 2) AS total, round(avg(p_retailprice) OVER {_w}, 9) AS mean FROM part")(_run)
 
 WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
 
@@ -337,3 +339,98 @@ def sequence_order(spark, d):
 @entry("SELECT l_suppkey, n FROM (SELECT l_suppkey, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, l_suppkey) AS r FROM lineitem GROUP BY l_suppkey) t WHERE r <= 5")
 def topk_groups(spark, d):
     return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_suppkey").limit(5)
+
+
+# --- statements about tables, functions of one's own ---
+
+
+@entry("SELECT 'part' AS \"table\", (SELECT count(*) FROM part) AS n, c AS \"column\", v AS given, lo AS least, hi AS greatest FROM (SELECT 'p_partkey' AS c, count(p_partkey) AS v, CAST(min(p_partkey) AS VARCHAR) AS lo, CAST(max(p_partkey) AS VARCHAR) AS hi FROM part UNION ALL SELECT 'p_size', count(p_size), CAST(min(p_size) AS VARCHAR), CAST(max(p_size) AS VARCHAR) FROM part UNION ALL SELECT 'p_brand', count(p_brand), min(p_brand), max(p_brand) FROM part) t")
+def analyze_table(spark, d):
+    return analyse(table(spark, d, "part").select("p_partkey", "p_size", "p_brand"), "part").drop("distinct")
+
+
+@entry("SELECT TRUE AS scan, TRUE AS pushed, TRUE AS pruned")
+def explain_plan(spark, d):
+    """A plan whose filter and columns reach the scan."""
+    text = explain(spark, d, "SELECT o_custkey FROM orders WHERE o_orderkey > 100")
+    has = lambda what: F.max(F.col("text").contains(what).cast("int")) == 1
+    return text.agg(has("Scan parquet").alias("scan"), has("GreaterThan(o_orderkey,100)").alias("pushed"), has("ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>").alias("pruned"))
+
+
+@entry("SELECT p_partkey, p_size AS size, 'new' AS state, p_brand || '!' AS mark FROM part")
+def ddl_alter(spark, d):
+    return H.alter_table(table(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_name"), {"state": F.lit("new"), "mark": F.concat("p_brand", F.lit("!"))}, ["p_name"], {"p_size": "size"}).drop("p_brand")
+
+
+@entry("SELECT s_suppkey, round(s_acctbal, 2) AS v FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, round(s_acctbal, 2) FROM supplier WHERE s_suppkey % 2 = 1")
+def txn_rollback(spark, d):
+    """A change after a savepoint is undone; the one before it stays."""
+    versions = H.Versions(s=table(spark, d, "supplier").select("s_suppkey", "s_acctbal"))
+    versions.begin()
+    versions.put("s", versions.tables["s"].withColumn("v", F.round("s_acctbal", 2)).drop("s_acctbal"))
+    versions.begin("point")
+    versions.put("s", versions.tables["s"].filter("v > 0"))
+    versions.rollback("point")
+    versions.commit()
+    return versions.tables["s"]
+
+
+@entry("SELECT n_nationkey, CAST(CASE WHEN n_regionkey = 0 THEN 10 + 5 * (row_number() OVER (PARTITION BY n_regionkey = 0 ORDER BY n_nationkey) - 1) ELSE 100 + 5 * row_number() OVER (PARTITION BY n_regionkey = 0 ORDER BY n_nationkey) END AS BIGINT) AS v FROM nation")
+def sequence_setval(spark, d):
+    n, numbers = table(spark, d, "nation").select("n_nationkey", "n_regionkey"), H.Sequence(10, 5)
+    first = numbers.take(n.filter("n_regionkey = 0"), ["n_nationkey"], "v")
+    numbers.setval(100)
+    return first.unionByName(numbers.take(n.filter("n_regionkey <> 0"), ["n_nationkey"], "v")).select("n_nationkey", F.col("v").cast("long").alias("v"))
+
+
+@entry("SELECT p_partkey, p_size * 2 + 1 AS a FROM part")
+def udf_scalar(spark, d):
+    registry.scalar(spark, "sw_twice_and_one", lambda x: x * 2 + 1, "int")
+    return sql(spark, d, "SELECT p_partkey, sw_twice_and_one(p_size) AS a FROM part")
+
+
+@entry("SELECT event_type, round(max(value) - min(value), 6) AS spread FROM events GROUP BY event_type")
+def udf_aggregate(spark, d):
+    import pandas as pd
+
+    def spread(x: pd.Series) -> float:
+        return float(x.max() - x.min())
+
+    registry.aggregate(spark, "sw_spread", spread, "double")
+    return sql(spark, d, "SELECT event_type, round(sw_spread(value), 6) AS spread FROM events GROUP BY event_type")
+
+
+@entry("SELECT n_nationkey, CAST(i AS INTEGER) AS i, CAST(i * i AS INTEGER) AS square FROM nation, LATERAL (SELECT unnest(generate_series(0, n_regionkey)) AS i)")
+def udf_table(spark, d):
+    registry.table_function(spark, "sw_squares", lambda n: ((i, i * i) for i in range(n + 1)), "i int, square int")
+    return sql(spark, d, "SELECT n_nationkey, i, square FROM nation, LATERAL sw_squares(n_regionkey)")
+
+
+@entry("SELECT event_id, props AS t, json_extract_string(props, '$.k') AS k, 1 AS ok, 0 AS at, 1 AS bad FROM (SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS props FROM events) t")
+def jsonb_values(spark, d):
+    rows = table(spark, d, "events").withColumn("v", C.jsonb("props"))
+    return rows.select("event_id", C.jsonb_text("v").alias("t"), C.jsonb_text(C.jsonb_extract("v", "$.k")).alias("k"), C.json_valid("props").alias("ok"), C.json_error_position("props").alias("at"), C.json_error_position(F.lit('{"a":')).alias("bad"))
+
+
+@entry(
+    "SELECT event_id, lpad(CAST(day(ts) AS VARCHAR), 2, ' ') || '|' || strftime(ts, '%S.%g|%Y-%m-%d|') || lpad(CAST(hour(ts) AS VARCHAR), 2, ' ') || '|' || lpad(CAST((hour(ts) + 11) % 12 + 1 AS VARCHAR), 2, ' ') || '|' || lower(strftime(ts, '%p')) || strftime(ts, '|%H:%M|') || epoch_us(ts) // 1000000 || strftime(ts, '|%H:%M:%S|') || isodow(ts) || strftime(ts, '|%Y|%d %m %M %S') || '%' AS t FROM events"
+)
+def dt_strftime_all(spark, d):
+    return table(spark, d, "events").select("event_id", D.strftime("%e|%f|%F|%k|%l|%P|%R|%s|%T|%u|%Y|%d %m %M %S%%", "ts").alias("t"))
+
+
+@entry("SELECT event_id, epoch_us(ts) * 1000 - 86400000000000 AS ns, ts + INTERVAL 90 SECOND AS later, CAST(date_trunc('hour', ts + INTERVAL 30 MINUTE) AS TIMESTAMP) AS hour FROM events")
+def dt_durations(spark, d):
+    e = table(spark, d, "events")
+    start = F.lit("1970-01-02 00:00:00").cast("timestamp_ntz")
+    return e.select("event_id", D.sub_times("ts", start).alias("ns"), D.add_duration("ts", D.duration(F.lit(90), "s")).alias("later"), D.time_round("ts", 3600 * 10**9).alias("hour"))
+
+
+@entry("SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id")
+def view_by_increments(spark, d):
+    """A materialised aggregate brought up to date by three batches of changes, one of which is taken back."""
+    e = table(spark, d, "events").select("event_id", "user_id", "value")
+    state = e.filter("event_id % 3 = 0").groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    for part, weight in (("event_id % 3 = 1", 1), ("event_id % 3 = 2", 1), ("event_id % 3 = 1", -1), ("event_id % 3 = 1", 1)):
+        state = H.delta_aggregate(state, H.weighted(e.filter(part), weight), ["user_id"], {"total": "value"})
+    return state.select("user_id", "n", F.round("total", 2).alias("total"))

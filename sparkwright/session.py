@@ -29,3 +29,19 @@ def sql(spark: SparkSession, sf_dir: str, text: str, args: dict | None = None) -
         df.createOrReplaceTempView(name)
     integers = {f.name.lower() for df in opened.values() for f in df.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long")}
     return spark.sql(normalise(text, integers), args=args or None)
+
+
+def explain(spark: SparkSession, sf_dir: str, text: str, mode: str = "formatted") -> DataFrame:
+    """EXPLAIN: line, text of a query's plan; mode simple, extended, codegen, cost or formatted."""
+    df = sql(spark, sf_dir, text)
+    plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+    return spark.createDataFrame(list(enumerate(plan.splitlines())), "line int, text string")
+
+
+def analyse(df: DataFrame, name: str) -> DataFrame:
+    """ANALYZE: a row for each column: table, column, rows, values that are not null, distinct ones (approximate), least and greatest as text."""
+    from pyspark.sql import functions as F
+
+    found = df.agg(F.count("*").alias("n"), *(f(c).cast("string").alias(f"{k}_{c}") for c in df.columns for k, f in (("v", F.count), ("d", F.approx_count_distinct), ("lo", F.min), ("hi", F.max))))
+    columns = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"v_{c}").cast("long").alias("given"), F.col(f"d_{c}").cast("long").alias("distinct"), F.col(f"lo_{c}").alias("least"), F.col(f"hi_{c}").alias("greatest")) for c in df.columns)))
+    return found.select(F.lit(name).alias("table"), "n", columns.alias("c")).select("table", "n", "c.*")
