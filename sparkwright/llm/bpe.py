@@ -7,7 +7,8 @@ place, and no match looks behind, so that the pieces' tokens are the text's toke
 Decoding joins raw bytes, so any id sequence decodes, valid UTF-8 or not.
 
 Defined results: null and empty texts have no ids; lone surrogates cannot occur in
-Arrow strings; repeated rows give repeated results; an empty table gives no rows.
+Arrow strings; repeated rows give repeated results; of neighbours that tie in rank the leftmost merge first; texts of any
+length are read whole; only doc_id and text are read, whatever other columns there are; an empty table gives no rows.
 """
 
 import base64
