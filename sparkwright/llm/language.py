@@ -37,7 +37,7 @@ FOLDS, HELD = 3, 1
 LEAST_SCORE = 0.5
 
 #: Characters of text handled at once; code points whose kind is in the table.
-SLICE_CHARS, TOP = 1 << 20, 0x20000
+SLICE_CHARS, TOP = 1 << 19, 0x20000
 OTHER, LETTER, MARK = 0, 1, 2
 U64 = np.uint64
 _STEP = U64(0x9E3779B97F4A7C15)

@@ -47,7 +47,7 @@ SPAN, DECAY = 5, 0.6
 MOST_LANDMARKS, OTHER_LANDMARKS, OTHER_UNITS, ROUNDS, RIDGE, SLACK, LIKELIER, BENT = 256, 64, 8000, 4, 1e-3, 0.1, 10, 3
 SENTENCE_STEPS, SENTENCE_RATE, SENTENCE_L2 = 60, 0.1, 1e-4
 FOLDS, HELD = 5, 0
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 #: Bits of a character's class. 0 separates, SKIP is left out, 1-26 a-z, 27-58 ß-ÿ, 59 digits, from 60 other letters.

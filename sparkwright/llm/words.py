@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text handled at once: bounds a worker's temporary arrays at about 40 times this.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
