@@ -8,9 +8,9 @@ the weighted shingles, in 16 blocks of 16 bits.
 The index has every item under each value within REACH = 3 bits of each of its blocks. By the
 pigeonhole principle two fingerprints within RADIUS = 63 bits are within 3 bits in one block at
 least, so that looking up a window's 16 blocks misses no item within the radius. It proposes one item in
-six at random (measured: 0.157 of unrelated pairs); those beyond MOST_BITS = 80 go, and the rest are
+six at random (measured: 0.158 of 1,200,000 pairs of random fingerprints); those beyond MOST_BITS = 80 go, and the rest are
 verified on the shingles, sum of least weights over sum of greatest, at NUM / DEN or more. At
-similarity 0.75 fingerprints differ in 44 bits on average with deviation 6, so a miss has a probability
+similarity 0.75 fingerprints differ in 44 bits on average with deviation 6, so a miss has an estimated probability
 below 1e-6 (measured recall in the tests: 1). A window that shares no shingle with any item has
 similarity 0 to all, so fingerprints are made only of windows about a shared shingle; that loses nothing.
 
