@@ -84,7 +84,6 @@ BOTH = {
     # subqueries and CTEs
     "sub_scalar": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT 1.9 * avg(o_totalprice) FROM orders)",
     "sub_scalar_correlated": "SELECT p_partkey, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey) AS uses FROM part",
-    "sub_in": "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.05)",
     "sub_exists": "SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity = 50 AND l.l_returnflag = 'R')",
     "sub_from": "SELECT segment, round(avg(n), 6) AS orders_each FROM (SELECT c_custkey, c_mktsegment AS segment, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_mktsegment) t GROUP BY segment",
     "sub_nonequi": "SELECT r_regionkey, n FROM region JOIN (SELECT a.r_regionkey AS k, count(b.n_nationkey) AS n FROM region a LEFT JOIN nation b ON b.n_regionkey < a.r_regionkey GROUP BY a.r_regionkey) t ON k = r_regionkey",
@@ -142,4 +141,6 @@ PAIRS = {
     "dt_date_parts": ("SELECT event_id, year(ts) AS y, month(ts) AS m, day(ts) AS d, hour(ts) AS h, dayofyear(ts) AS doy, weekofyear(ts) AS iso FROM events", "SELECT event_id, CAST(year(ts) AS INT) AS y, CAST(month(ts) AS INT) AS m, CAST(day(ts) AS INT) AS d, CAST(hour(ts) AS INT) AS h, CAST(dayofyear(ts) AS INT) AS doy, CAST(week(ts) AS INT) AS iso FROM events"),
     "dt_trunc": ("SELECT event_id, CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS h, CAST(date_trunc('month', ts) AS TIMESTAMP_NTZ) AS m FROM events", "SELECT event_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS h, CAST(date_trunc('month', ts) AS TIMESTAMP) AS m FROM events"),
     "json_extract": ("SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
+    # NOT IN as an anti-join: Spark broadcasts the right side of a null-aware one, of whatever size. Any null there excludes every row, a null key is kept by an empty side only
+    "sub_in": ("SELECT o_orderkey FROM orders o WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_discount > 0.05 AND l_orderkey = o.o_orderkey) AND (NOT EXISTS (SELECT 1 FROM lineitem WHERE l_discount > 0.05) OR (o_orderkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_discount > 0.05 AND l_orderkey IS NULL)))", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.05)"),
 }

@@ -279,3 +279,29 @@ def test_full_text_queries(spark):
     plain, boosted = score("quick fox"), score("quick^5 fox")
     assert boosted[1] > plain[1] and set(score("qui*")) == {1, 2, 4} and set(score('"quick fox"')) == {1} and score("other:fox") == {}
     assert score("fox NOT dog").keys() == {1, 4} and FT.bm25(d.limit(0), "k", "t", "fox").count() == 0
+
+
+def test_not_in_without_a_broadcast_of_its_side(spark, tmp_path):
+    import duckdb
+
+    from sparkwright import plans
+
+    def both(orders, lines):
+        tables = {"orders": (orders, "o_orderkey bigint, o_custkey bigint"), "lineitem": (lines, "l_orderkey bigint, l_discount double"), "customer": ([(1, "BUILDING"), (2, "AUTO")], "c_custkey bigint, c_mktsegment string")}
+        c = duckdb.connect()
+        for name, (rows, schema) in tables.items():
+            spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
+            c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        df = plans.QUERIES["sub_in"](spark, str(tmp_path))
+        assert sorted(map(tuple, df.collect()), key=repr) == sorted(c.execute(plans.ORACLE_SQL["sub_in"]).fetchall(), key=repr)
+        return df
+
+    orders = [(1, 1), (2, 1), (3, 2), (None, 1), (4, None), (5, 1)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "Broadcast" not in both(orders, [(1, 0.09), (1, 0.07), (5, 0.01)])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert both(orders, [(1, 0.09)]).count() == 2
+    assert both(orders, [(1, 0.09), (None, 0.07)]).count() == 0 and both(orders, [(1, 0.09), (None, 0.01)]).count() == 2
+    assert both(orders, [(1, 0.01)]).count() == 4 and both(orders, []).count() == 4 and both([], [(1, 0.09)]).count() == 0
