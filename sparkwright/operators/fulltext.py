@@ -45,14 +45,39 @@ def parse(query: str) -> list:
     return groups
 
 
+def _places(own: Column, words: list[str]) -> Column:
+    """At how many places the words follow each other: one pass over the tokens with the automaton of the phrase."""
+    if not words:
+        return F.size(own) + 1
+    size = len(words)
+    ends = [0] * (size + 1)  # the longest other prefix that a prefix of the phrase ends with
+    for i in range(1, size):
+        k = ends[i]
+        while k and words[i] != words[k]:
+            k = ends[k]
+        ends[i + 1] = k + (words[i] == words[k])
+
+    def step(at: int, word: str) -> int:
+        while at == size or words[at] != word:
+            if at == 0:
+                return 0
+            at = ends[at]
+        return at + 1
+
+    def read(s: Column, t: Column) -> Column:
+        at = reduce(lambda c, w: c.when(t == w, F.element_at(F.array(*(F.lit(step(k, w)) for k in range(size + 1))), s["at"] + 1)), dict.fromkeys(words), F).otherwise(0)
+        return F.struct(at.alias("at"), (s["n"] + (at == size).cast("int")).alias("n"))
+
+    return F.aggregate(own, F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")), read, lambda s: s["n"])
+
+
 def _holds(own: Column, clause) -> Column:
     _, _, words, prefix, _ = clause
     if prefix:
         return F.exists(own, lambda t: t.startswith(words[0]))
     if len(words) == 1:
         return F.array_contains(own, words[0])
-    places = F.sequence(F.lit(1), F.greatest(F.size(own) - len(words) + 1, F.lit(1)))
-    return F.exists(places, lambda i: F.slice(own, i, len(words)) == F.array(*map(F.lit, words)))
+    return _places(own, words) > 0
 
 
 def match(docs: DataFrame, fields: list[str], query: str, tokenizer: str = "default") -> DataFrame:
@@ -78,8 +103,7 @@ def _often(clause) -> Column:
         return F.size(F.filter("t", lambda x: x.startswith(words[0])))
     if len(words) == 1:
         return F.size(F.filter("t", lambda x: x == words[0]))
-    places = F.sequence(F.lit(1), F.greatest(F.size("t") - len(words) + 1, F.lit(1)))
-    return F.size(F.filter(places, lambda i: F.slice("t", i, len(words)) == F.array(*map(F.lit, words))))
+    return _places(F.col("t"), words)
 
 
 def bm25(docs: DataFrame, key: str, field: str, query: str, weight: float = 1.0, tokenizer: str = "default") -> DataFrame:

@@ -305,3 +305,21 @@ def test_not_in_without_a_broadcast_of_its_side(spark, tmp_path):
     assert both(orders, [(1, 0.09)]).count() == 2
     assert both(orders, [(1, 0.09), (None, 0.07)]).count() == 0 and both(orders, [(1, 0.09), (None, 0.01)]).count() == 2
     assert both(orders, [(1, 0.01)]).count() == 4 and both(orders, []).count() == 4 and both([], [(1, 0.09)]).count() == 0
+
+
+def test_phrases_in_one_pass(spark):
+    import time
+
+    texts = [(1, "to be or not to be"), (2, "to to be to be"), (3, "be to"), (4, ""), (5, None), (6, "TO, be! to -- be to be"), (7, "tob e")]
+    d = spark.createDataFrame(texts, "k int, t string")
+    keys = lambda q: sorted(r["k"] for r in FT.match(d, ["t"], q).collect())
+    assert keys('"to be"') == [1, 2, 6] and keys('"to be to be"') == [2, 6] and keys('"be to"') == [2, 3, 6] and keys('"to to be"') == [2] and keys('NOT "to be"') == [3, 4, 5, 7]
+    rows = [list("aabaabaaab"), list("abababa"), list("aaaa"), [], ["a"], list("baab")]
+    own = spark.createDataFrame([(r,) for r in rows], "w array<string>")
+    for words in (["a", "a"], ["a", "b", "a"], ["a", "a", "b", "a", "a"], ["b", "a"], ["a", "a", "a"]):
+        want = [sum(r[i : i + len(words)] == words for i in range(len(r))) for r in rows]
+        assert [r[0] for r in own.select(FT._places(F.col("w"), words)).collect()] == want
+    long = spark.createDataFrame([(1, "and so " * 10_000 + "and the end")], "k int, t string")
+    began = time.time()
+    assert FT.match(long, ["t"], '"and the"').count() == 1 and FT.match(long, ["t"], '"the and"').count() == 0
+    assert time.time() - began < 15  # a text split anew for every place takes far longer
