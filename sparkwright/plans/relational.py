@@ -35,7 +35,6 @@ BOTH = {
     "join_semi_in": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)",
     "join_anti_not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')",
     "join_not_in_null_aware": "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT CASE WHEN r_regionkey = 9 THEN NULL ELSE r_regionkey END FROM region)",
-    "join_theta_range": "SELECT a.p_partkey AS a_key, b.p_partkey AS b_key FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_retailprice < b.p_retailprice AND b.p_retailprice < a.p_retailprice + 5",
     "join_self": "SELECT a.s_suppkey AS a_key, b.s_suppkey AS b_key FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey",
     "join_three_way": "SELECT n_name, c_custkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'",
     "join_star": "SELECT n_name, p_brand, CAST(count(*) AS BIGINT) AS n, round(sum(l_extendedprice), 2) AS price FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name, p_brand",
@@ -143,4 +142,6 @@ PAIRS = {
     "json_extract": ("SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
     # NOT IN as an anti-join: Spark broadcasts the right side of a null-aware one, of whatever size. Any null there excludes every row, a null key is kept by an empty side only
     "sub_in": ("SELECT o_orderkey FROM orders o WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_discount > 0.05 AND l_orderkey = o.o_orderkey) AND (NOT EXISTS (SELECT 1 FROM lineitem WHERE l_discount > 0.05) OR (o_orderkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_discount > 0.05 AND l_orderkey IS NULL)))", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.05)"),
+    # equal prices of a size are one cell (of at most 1,024 keys); cells meet by slots of half the band's width, each pair in the one slot of its b
+    "join_theta_range": ("WITH cells AS (SELECT p_size, p_retailprice AS price, collect_list(struct(p_partkey)) AS rows FROM (SELECT p_partkey, p_size, p_retailprice, (row_number() OVER (PARTITION BY p_size, p_retailprice ORDER BY p_partkey) - 1) div 1024 AS chunk FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL) GROUP BY p_size, p_retailprice, chunk) SELECT a_key, b_key FROM (SELECT a.rows AS a_rows, b.rows AS b_rows FROM (SELECT *, explode(sequence(floor(least(greatest(price / 2.5D, -9e17D), 9e17D)), floor(least(greatest((price + 5) / 2.5D, -9e17D), 9e17D)))) AS slot FROM cells) a JOIN (SELECT *, floor(least(greatest(price / 2.5D, -9e17D), 9e17D)) AS slot FROM cells) b ON a.p_size = b.p_size AND a.slot = b.slot AND a.price < b.price AND b.price < a.price + 5) LATERAL VIEW inline(a_rows) AS a_key LATERAL VIEW inline(b_rows) AS b_key", "SELECT a.p_partkey AS a_key, b.p_partkey AS b_key FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_retailprice < b.p_retailprice AND b.p_retailprice < a.p_retailprice + 5"),
 }

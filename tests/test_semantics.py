@@ -323,3 +323,23 @@ def test_phrases_in_one_pass(spark):
     began = time.time()
     assert FT.match(long, ["t"], '"and the"').count() == 1 and FT.match(long, ["t"], '"the and"').count() == 0
     assert time.time() - began < 15  # a text split anew for every place takes far longer
+
+
+def test_band_join_by_slots(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    from sparkwright import plans
+
+    draw = random.Random(3)
+    inf, nan = float("inf"), float("nan")
+    odd = [(1, 0.0), (1, -0.0), (1, 5.0), (1, -5.0), (1, 4.999999999999999), (1, 1e300), (1, -1e300), (1, inf), (1, -inf), (1, nan), (1, None), (None, 1.0), (None, 2.0), (1, 9.1e18), (1, 2.0**53), (1, 2.0**53 + 2), (2, 1.0)]
+    rows = [(i, *r) for i, r in enumerate(odd + [(draw.randint(1, 3), draw.randint(-80, 80) / 8) for _ in range(400)] + [(3, 1.0)] * 2500)] + [(None, 2, 2.0), (None, 2, 3.0)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    df = plans.QUERIES["join_theta_range"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(c.execute(plans.ORACLE_SQL["join_theta_range"]).fetchall(), key=repr)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "slot" in next(line for line in plan.splitlines() if "Join Inner" in line)  # pairs meet by slots, not by size alone
