@@ -73,11 +73,12 @@ def strftime(pattern: str, ts):
     ts = _c(ts).cast("timestamp_ntz")
     num = lambda x, n, fill="0": F.lpad(x.cast("string"), n, fill)
     form = lambda f: F.date_format(ts, f)
+    year = F.when(F.year(ts).between(0, 9999), num(F.year(ts), 4)).otherwise(F.year(ts).cast("string"))  # yyyy counts years of the era and puts + before those of five digits
     hour12 = F.pmod(F.hour(ts) + 11, F.lit(12)) + 1
     own = {
-        "d": form("dd"), "e": num(F.dayofmonth(ts), 2, " "), "f": form("ss.SSS"), "F": form("yyyy-MM-dd"), "H": form("HH"), "I": num(hour12, 2), "j": num(F.dayofyear(ts), 3), "J": julianday(ts).cast("string"), "k": num(F.hour(ts), 2, " "), "l": num(hour12, 2, " "),
+        "d": form("dd"), "e": num(F.dayofmonth(ts), 2, " "), "f": form("ss.SSS"), "F": F.concat(year, form("-MM-dd")), "H": form("HH"), "I": num(hour12, 2), "j": num(F.dayofyear(ts), 3), "J": julianday(ts).cast("string"), "k": num(F.hour(ts), 2, " "), "l": num(hour12, 2, " "),
         "m": form("MM"), "M": form("mm"), "p": F.when(F.hour(ts) < 12, "AM").otherwise("PM"), "P": F.when(F.hour(ts) < 12, "am").otherwise("pm"), "R": form("HH:mm"), "s": unixepoch(ts).cast("string"), "S": form("ss"), "T": form("HH:mm:ss"),
-        "u": (F.pmod(F.dayofweek(ts) + 5, F.lit(7)) + 1).cast("string"), "w": (F.dayofweek(ts) - 1).cast("string"), "W": num(F.floor((F.dayofyear(ts) + 6 - F.pmod(F.dayofweek(ts) + 5, F.lit(7))) / 7), 2), "Y": form("yyyy"), "%": F.lit("%"),
+        "u": (F.pmod(F.dayofweek(ts) + 5, F.lit(7)) + 1).cast("string"), "w": (F.dayofweek(ts) - 1).cast("string"), "W": num(F.floor((F.dayofyear(ts) + 6 - F.pmod(F.dayofweek(ts) + 5, F.lit(7))) / 7), 2), "Y": year, "%": F.lit("%"),
     }
     parts = re.findall(r"%(.)|([^%]+)", pattern)
     return F.concat(*(own[code] if code else F.lit(text) for code, text in parts))

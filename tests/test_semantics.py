@@ -343,3 +343,20 @@ def test_band_join_by_slots(spark, tmp_path):
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(c.execute(plans.ORACLE_SQL["join_theta_range"]).fetchall(), key=repr)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "slot" in next(line for line in plan.splitlines() if "Join Inner" in line)  # pairs meet by slots, not by size alone
+
+
+def test_years_of_any_size(spark, tmp_path):
+    import duckdb
+
+    from sparkwright import plans
+
+    days = [0, 1, 2932896, 2932897, 2932898, 5999999, 20_000_000, -700_000, -719_162, -719_163, -719_528, -719_529, -800_000, None]
+    spark.createDataFrame([(d,) for d in days], "event_id bigint").write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute("SET TimeZone = 'UTC'")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got, want = sorted(map(tuple, plans.QUERIES["dt_numbers"](spark, str(tmp_path)).collect()), key=repr), sorted(c.execute(plans.ORACLE_SQL["dt_numbers"]).fetchall(), key=repr)
+    assert got == want and (2932897, "10000-01-01 00:00:00") in [r[:2] for r in got]
+    ts = F.timestamp_seconds(F.col("event_id") * 86400).cast("timestamp_ntz")
+    rows = spark.read.parquet(f"{tmp_path}/events.parquet").select("event_id", D.strftime("%F|%Y", ts)).collect()
+    assert {r[0]: r[1] for r in rows} == dict(c.execute("SELECT event_id, strftime(to_timestamp(event_id * 86400) AT TIME ZONE 'UTC', '%Y-%m-%d|%Y') FROM events").fetchall())
