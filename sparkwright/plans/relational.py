@@ -52,7 +52,6 @@ BOTH = {
     "agg_min_max_text": "SELECT p_brand, min(p_name) AS lo, max(p_name) AS hi FROM part GROUP BY p_brand",
     "agg_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "agg_grouping_sets": "SELECT event_type, user_id, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), (user_id), ())",
-    "agg_bare_column": "SELECT user_id, max(value) AS top, max_by(event_id, value) AS at FROM events GROUP BY user_id",
     "distinct_rows": "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem",
     # windows
     "win_row_number": "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS rn FROM events",
@@ -144,4 +143,6 @@ PAIRS = {
     "sub_in": ("SELECT o_orderkey FROM orders o WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_discount > 0.05 AND l_orderkey = o.o_orderkey) AND (NOT EXISTS (SELECT 1 FROM lineitem WHERE l_discount > 0.05) OR (o_orderkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_discount > 0.05 AND l_orderkey IS NULL)))", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.05)"),
     # equal prices of a size are one cell (of at most 1,024 keys); cells meet by slots of half the band's width, each pair in the one slot of its b
     "join_theta_range": ("WITH cells AS (SELECT p_size, p_retailprice AS price, collect_list(struct(p_partkey)) AS rows FROM (SELECT p_partkey, p_size, p_retailprice, (row_number() OVER (PARTITION BY p_size, p_retailprice ORDER BY p_partkey) - 1) div 1024 AS chunk FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL) GROUP BY p_size, p_retailprice, chunk) SELECT a_key, b_key FROM (SELECT a.rows AS a_rows, b.rows AS b_rows FROM (SELECT *, explode(sequence(floor(least(greatest(price / 2.5D, -9e17D), 9e17D)), floor(least(greatest((price + 5) / 2.5D, -9e17D), 9e17D)))) AS slot FROM cells) a JOIN (SELECT *, floor(least(greatest(price / 2.5D, -9e17D), 9e17D)) AS slot FROM cells) b ON a.p_size = b.p_size AND a.slot = b.slot AND a.price < b.price AND b.price < a.price + 5) LATERAL VIEW inline(a_rows) AS a_key LATERAL VIEW inline(b_rows) AS b_key", "SELECT a.p_partkey AS a_key, b.p_partkey AS b_key FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_retailprice < b.p_retailprice AND b.p_retailprice < a.p_retailprice + 5"),
+    # of equal values the least event_id, as the first row of a file in its order; a row without one of both gives no event_id
+    "agg_bare_column": ("SELECT user_id, max(value) AS top, max_by(event_id, struct(value, ~event_id)) FILTER (WHERE value IS NOT NULL AND event_id IS NOT NULL) AS at FROM events GROUP BY user_id", "SELECT user_id, max(value) AS top, max_by(event_id, value) AS at FROM events GROUP BY user_id"),
 }
